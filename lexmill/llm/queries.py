@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.sources.tables import table
 
-from . import unify
+from . import scan_repair, unify
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,8 +22,22 @@ def p4_texts(spark: SparkSession, folder: str) -> DataFrame:
     return unify.unified(table(spark, folder, "all_chunks")).select(F.col("id").alias("chunk_id"), F.col("body").alias("text"))
 
 
+def _repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_repair.repaired(table(spark, folder, "all_chunks"), terms=table(spark, folder, "gazetteer_terms"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = _repaired(spark, folder).where(F.size("kinds") > 0)
+    return found.select(F.col("id").alias("chunk_id"), F.explode("kinds").alias("kind")).distinct()
+
+
+def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of all_chunks as continuous paragraphs."""
+    return _repaired(spark, folder).select(F.col("id").alias("chunk_id"), F.col("body").alias("text"), "kinds")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_texts": p4_texts}
+    return {"p4_found": p4_found, "p4_texts": p4_texts, "p6_found": p6_found, "p6_texts": p6_texts}
 
 
 def oracle_sql() -> dict[str, str]:
