@@ -7,9 +7,59 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.functions.staging import staged
 from lexmill.sources.tables import table
 
-from . import scan_repair, unify
+from . import near_copies, pieces, scan_repair, term_counts, together, unify
+
+
+TAGS = ["herbs", "diseases", "doshas_mentioned"]
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = together.surprising_pairs(table(spark, folder, "all_chunks"), "chunk_id", TAGS, min_records=4, min_share=0.001)
+    return pairs.where("n_ab * n >= 2.1 * n_a * n_b").select("item_a", "item_b")
+
+
+def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of tags with its counts, the count the null expects, the tail and whether it is a discovery at a false-discovery rate of 1 %."""
+    return together.discovered(together.surprising_pairs(table(spark, folder, "all_chunks"), "chunk_id", TAGS))
+
+
+def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact counts behind p1_pairs."""
+    pairs = together.surprising_pairs(table(spark, folder, "all_chunks"), "chunk_id", TAGS)
+    return pairs.select("item_a", "item_b", "n_ab", "n_a", "n_b")
+
+
+def _terms(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "all_chunks")
+    n = chunks.select("chunk_id").distinct().count()
+    return term_counts.marked(term_counts.gram_counts(chunks, "chunk_id", ["herbs", "diseases"]), n)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _terms(spark, folder).where("size = 1 and use <> 'useful'").select("field", "term")
+
+
+def p2_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every single term with its counts and its use."""
+    return _terms(spark, folder).where("size = 1").select("field", "term", "total", "records", "use")
+
+
+def p2_grams(spark: SparkSession, folder: str) -> DataFrame:
+    """Every run of up to three neighbouring terms with its counts."""
+    return _terms(spark, folder).select("field", "size", "term", "total", "records")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The records that come out in more than one piece; every text above the limit does."""
+    cut = pieces.cuts(staged(pieces.oversized(table(spark, folder, "all_chunks"), "chunk_id", "text")))
+    return cut.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("chunk_id"))
+
+
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.split_texts(table(spark, folder, "all_chunks"), "chunk_id", "text").withColumnRenamed("id", "chunk_id")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,9 +86,49 @@ def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
     return _repaired(spark, folder).select(F.col("id").alias("chunk_id"), F.col("body").alias("text"), "kinds")
 
 
+def _flat(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_repair.repaired(table(spark, folder, "all_chunks"), terms=table(spark, folder, "gazetteer_terms"), join_lines=False)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_copies.similar_pairs(_flat(spark, folder))
+    return found.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Each chunk with its class of equal words, its group and the links of its class."""
+    return near_copies.groups(*near_copies.similar_classes(_flat(spark, folder))).withColumnRenamed("id", "chunk_id")
+
+
+_CLEAN = "trim(regexp_replace(lower(x), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))"
+_RECORDS = "r as (select chunk_id, any_value(herbs) herbs, any_value(diseases) diseases, any_value(doshas_mentioned) doshas_mentioned from all_chunks group by chunk_id)"
+
+
+def _items(fields: list[str]) -> str:
+    return " union all ".join(f"select chunk_id, '{f}' as field, {_CLEAN} as term from (select chunk_id, unnest({f}) as x from r) where x is not null and {_CLEAN} <> ''" for f in fields)
+
+
+_PAIRS = f"""with {_RECORDS}, i as (select distinct chunk_id, field || ':' || term as item from ({_items(TAGS)})), n as (select item, count(*) as n from i group by item),
+p as (select a.item as item_a, b.item as item_b, count(*) as n_ab from i a join i b on a.chunk_id = b.chunk_id and a.item < b.item group by 1, 2),
+c as (select item_a, item_b, n_ab, x.n as n_a, y.n as n_b from p join n x on x.item = item_a join n y on y.item = item_b)"""
+_COUNTS = f"""with {_RECORDS}, i as ({_items(["herbs", "diseases"])}), c as (select field, term, count(*) as total, count(distinct chunk_id) as records from i group by 1, 2),
+t as (select *, case when records <= 3 then 'rare' when records > 0.15 * (select count(*) from r) then 'common' else 'useful' end as use from c)"""
+
+#: What SQL can say over whole tables.
+ORACLE = {
+    "p1_counts": f"{_PAIRS} select * from c",
+    "p1_found": f"{_PAIRS}, k as (select count(*) as n from r) select item_a, item_b from c, k where n_ab >= 4 and n_ab >= 0.001 * k.n and n_ab * k.n >= 2.1 * n_a * n_b",
+    "p2_found": f"{_COUNTS} select field, term from t where use <> 'useful'",
+    "p2_terms": f"{_COUNTS} select * from t",
+    "p3_found": r"select distinct chunk_id from all_chunks where length(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))) - length(replace(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')), ' ', '')) >= 1024",
+}
+
+NAMES = """p1_found p1_pairs p1_counts p2_found p2_terms p2_grams p3_found p3_pieces p4_found p4_texts p5_found p5_groups p6_found p6_texts"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_texts": p4_texts, "p6_found": p6_found, "p6_texts": p6_texts}
+    return {name: globals()[name] for name in NAMES.split()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLE
