@@ -132,15 +132,20 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = re.compile(r"[^\W\d_]+")
         total: Counter[str] = Counter()
+        raw: Counter[str] = Counter()  # tokens as they stand; words are sought once in each distinct token
 
         def out() -> pa.RecordBatch:
+            for token, n in raw.items():
+                for w in word.findall(token.lower()):
+                    total[w] += n
+            raw.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
-                    total.update(word.findall(base_form(t).lower()))
-            if len(total) > 200_000:
+                    raw.update(base_form(t).split())
+            if len(raw) > 200_000:
                 yield out()
                 total.clear()
         yield out()
