@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.staging import staged
 
-SHINGLE, KMER, ORDER, SKETCHES = 3, 5, 2, 40
+SHINGLE, KMER, ORDER, SKETCHES = 3, 5, 2, 32
 TINY, TINY_SKETCHES = 30, 20
 CROWD = 64
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexmill.functions.staging import staged
 from lexmill.sources.tables import table
 
-from . import near_copies, pieces, scan_repair, term_counts, together, unify
+from . import encode, mixture, near_copies, pieces, private, scan_repair, term_counts, together, unify
 
 
 TAGS = ["herbs", "diseases", "doshas_mentioned"]
@@ -100,6 +100,52 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies.groups(*near_copies.similar_classes(_flat(spark, folder))).withColumnRenamed("id", "chunk_id")
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode.token_ids(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document decoded from its ids, beside the stored text (empty where null)."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    back = encode.decoded(encode.token_ids(docs, "doc_id", "text"), spark)
+    both = docs.join(back.select(F.col("id").alias("doc_id"), F.col("text").alias("back")), "doc_id")
+    return both.select("doc_id", (F.col("back") == F.coalesce("text", F.lit(""))).alias("same"))
+
+
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    sizes = encode.token_totals(docs, "doc_id", "text")
+    return staged(docs.select(F.col("doc_id").alias("id"), "source").join(sizes, "id"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    held = mixture.available(_sizes(spark, folder), table(spark, folder, "mix_plans"), table(spark, folder, "mix_targets"))
+    return held.where("short").select("mix_name", "source")
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of each mix with the number of their copies."""
+    return mixture.mixed(_sizes(spark, folder), table(spark, folder, "mix_plans"), table(spark, folder, "mix_targets")).withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual shares of each source."""
+    return mixture.report(_sizes(spark, folder), table(spark, folder, "mix_plans"), table(spark, folder, "mix_targets"))
+
+
+def _private(spark: SparkSession, folder: str) -> DataFrame:
+    return private.found_in(table(spark, folder, "documents"), table(spark, folder, "clinic_people"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = _private(spark, folder).select(F.col("id").alias("doc_id"), F.explode("found").alias("f"))
+    return found.select("doc_id", F.col("f.kind").alias("kind")).distinct()
+
+
+def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return private.redacted(_private(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
 _CLEAN = "trim(regexp_replace(lower(x), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))"
 _RECORDS = "r as (select chunk_id, any_value(herbs) herbs, any_value(diseases) diseases, any_value(doshas_mentioned) doshas_mentioned from all_chunks group by chunk_id)"
 
@@ -123,7 +169,8 @@ ORACLE = {
     "p3_found": r"select distinct chunk_id from all_chunks where length(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))) - length(replace(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')), ' ', '')) >= 1024",
 }
 
-NAMES = """p1_found p1_pairs p1_counts p2_found p2_terms p2_grams p3_found p3_pieces p4_found p4_texts p5_found p5_groups p6_found p6_texts"""
+NAMES = """p1_found p1_pairs p1_counts p2_found p2_terms p2_grams p3_found p3_pieces p4_found p4_texts p5_found p5_groups p6_found p6_texts
+p7_ids p7_round_trip p8_found p8_mix p8_shares p9_found p9_redacted"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
