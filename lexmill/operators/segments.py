@@ -38,7 +38,7 @@ def cleaned(text: Column) -> Column:
     The order of the steps matters: a line of two letters goes before hyphens are closed.
     """
     kept = F.filter(lines(text), lambda s: ~is_noise(s))
-    joined = F.array_join(F.transform(kept, F.trim), " ")
+    joined = F.array_join(F.transform(kept, lambda s: F.trim(s)), " ")
     for old, new in ((r"([a-z])[-¬] ([a-z])", "$1$2"), (r"([A-Za-z])- ([A-Z])", "$1-$2"), (r":-", ":—"), (r"(\w) ?-- ?(\w)", "$1—$2"), (r"[•|^~\\*§¶†‡]", " ")):
         joined = F.regexp_replace(joined, old, new)
     return F.regexp_replace(squeezed(joined), r"^[. ]+", "")
@@ -69,7 +69,7 @@ def chunk_name(source: Column, chapter: Column, index: Column) -> Column:
 
 def marker_parts(text: Column, markers: str) -> Column:
     """The text cut before each marker (a pattern), parts trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(text, rf"(?i)(?={markers})"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, rf"(?i)(?={markers})"), lambda s: F.trim(s)), lambda x: x != "")
 
 
 def merged_fragments(parts: DataFrame, group: list[str], order: str, size: str, text: str, least: int) -> DataFrame:

@@ -60,8 +60,8 @@ def coverage(texts: DataFrame, id: str, tags: DataFrame, vocabulary: DataFrame)
     """(category, texts_tagged, texts, terms_used, terms): how far each category reaches."""
     used = tags.groupBy("category").agg(F.count_distinct("id").alias("texts_tagged"), F.count_distinct("canonical").alias("terms_used"))
     size = vocabulary.groupBy("category").agg(F.count_distinct("canonical").alias("terms"))
-    total = texts.agg(F.count_distinct(id).alias("texts"))
-    rows = size.join(used, "category", "left").join(F.broadcast(total))
+    total = texts.agg(F.count_distinct(id)).first()[0]
+    rows = size.join(used, "category", "left").withColumn("texts", F.lit(total))
     return rows.select("category", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("texts_tagged", "terms_used", "terms", "texts")])
 
 
