@@ -37,7 +37,7 @@ def boundaries(text: str, overlap: int) -> tuple[np.ndarray, np.ndarray, list[in
         last = k + 1 == len(found)
         gap = "" if last else text[b : found[k + 1][0]]
         word = text[a:b]
-        r = 3 if last or gap.count("\n") > 1 or " " in gap else 2 if _sentence.search(word) else 1 if _clause.search(word) else 0
+        r = 3 if last or gap.count("\n") > 1 or "\u2029" in gap else 2 if _sentence.search(word) else 1 if _clause.search(word) else 0
         if r or k + 1 - at[-1] >= overlap:
             at.append(k + 1), rank.append(r)
     return np.array(at), np.array(rank), [a for a, _ in found] + [found[-1][1] if found else 0]

@@ -31,6 +31,7 @@ from lexmill.functions.staging import staged
 CYRILLIC_LOOKS = dict(zip("асԁеһіјӏорԛѕѵԝхуАВСЕНІЈКМОРЅТХҮ", "acdehijlopqsvwxyABCEHIJKMOPSTXY"))
 GREEK_LOOKS = dict(zip("ινορυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ivopuABEZHIKMNOPTYX"))
 LATIN_LOOKS = {"ɑ": "a", "ɡ": "g", "ı": "i", "ʟ": "L"}
+JOINERS = "\u200c\u200d\ufe0f"
 HYPHENS = {"‐": "-", "‑": "-", "﹣": "-"}
 LOOKS = CYRILLIC_LOOKS | GREEK_LOOKS | LATIN_LOOKS
 BACK = {"CYRILLIC": {v: k for k, v in CYRILLIC_LOOKS.items()}, "GREEK": {v: k for k, v in GREEK_LOOKS.items()}}
@@ -62,7 +63,7 @@ def _plain(ch: str) -> str:
 def _joins(text: str, at: int) -> bool:
     """Whether the joiner at this place shapes letters of a script that needs it, or an emoji."""
     near = text[max(0, at - 1) : at] + text[at + 1 : at + 2]
-    return text[at] in "‌‍️" and any(ord(c) > 0x8FF and ud.category(c) in ("Lo", "Mn", "Mc", "So") for c in near)
+    return text[at] in JOINERS and any(ord(c) > 0x8FF and ud.category(c) in ("Lo", "Mn", "Mc", "So") for c in near)
 
 
 def base_form(text: str | None) -> str | None:
@@ -72,7 +73,7 @@ def base_form(text: str | None) -> str | None:
     if "\r" in text:
         text = text.replace("\r\n", "\n")
     odd = {c: _plain(c) for c in set(ODD.findall(text))}
-    if any(c in odd for c in "‌‍️"):
+    if any(c in odd for c in JOINERS):
         text = "".join(c if c not in odd or _joins(text, i) else odd[c] for i, c in enumerate(text))
     else:
         text = text.translate({ord(c): p for c, p in odd.items() if p != c})
