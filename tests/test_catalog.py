@@ -21,9 +21,18 @@ def duck():
     return con
 
 
+def plain(v):
+    import numbers
+
+    import pandas as pd
+
+    if v is None or v is pd.NA or v is pd.NaT or v != v:
+        return ""
+    return repr(round(float(v), 4)) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
+
+
 def rows(frame):
-    frame = frame[sorted(frame.columns)]
-    return sorted(tuple("" if v is None or v != v else repr(round(float(v), 4)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in frame.astype(object).values.tolist())
+    return sorted(tuple(map(plain, r)) for r in frame[sorted(frame.columns)].astype(object).values.tolist())
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
