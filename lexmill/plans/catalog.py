@@ -136,6 +136,17 @@ def manifest_search(spark, folder):
     return retrieval.bm25(chunks(spark, folder, "text"), "chunk_id", "text", asked, 6)
 
 
+@query(
+    f"{_ASKED}, h as (select query_id, id, rank from lex where rank < 6), wn as (select distinct artifact_dir as query_id, r.chunk_id as id from (select artifact_dir, unnest(retrieved_chunks) as r from manifests)), "
+    "g as (select h.query_id, count(*) as hits, count(wn.id) as found, min(case when wn.id is not null then rank end) as first from h left join wn on wn.query_id = h.query_id and wn.id = h.id group by 1), "
+    "z as (select query_id, count(*) as wanted from wn group by 1) select query_id, coalesce(hits, 0) as hits, wanted, coalesce(found, 0) as found, first from z left join g using (query_id)"
+)
+def retrieval_eval(spark, folder):
+    """How much of each manifest's evidence its query finds among six hits."""
+    wanted = review.evidence(table(spark, folder, "manifests")).select(F.col("artifact_dir").alias("query_id"), F.col("chunk_id").alias("id")).distinct()
+    return retrieval.evaluated(manifest_search(spark, folder), wanted)
+
+
 # Tagging
 
 _TAGS = f"""with {CHUNKS}, fm as (select distinct category, canonical, unnest([{T.fold_sql('form')}, {T.fold_sql('form')} || 's']) as form from gazetteer_terms),
@@ -252,6 +263,14 @@ def chapter_headings(spark, folder):
     return segments.headings(_lines(spark, folder)).select("id", "line_no", "numeral", "number")
 
 
+@query(f"{_HEADINGS}, m as (select lt.id, lt.line_no, hn.numeral from lt left join hn on hn.id = lt.id and hn.line_no = lt.line_no), k as (select id, line_no, last_value(numeral ignore nulls) over (partition by id order by line_no rows between 10 preceding and 1 preceding) as seen from m) select * from k where seen is not null")
+def heading_lookback(spark, folder):
+    """Lines with the nearest heading among the ten lines before them."""
+    rows = segments.line_table(chunks(spark, folder, "text"), "chunk_id", "text")
+    numeral = F.regexp_extract("line", r"(?i)\bchap(?:ter|\.)?\s+([ivxlc1|]{1,7})\b", 1)
+    return segments.lookback(rows, F.nullif(numeral, F.lit(""))).where("seen is not null").select("id", "line_no", "seen")
+
+
 _PLACE = "chapter::bigint * 1000000000 + chunk_index::bigint * 100000 + line_no"
 
 
@@ -266,6 +285,13 @@ def chapter_spans(spark, folder):
     return segments.chapter_spans(segments.headings(rows), "source", "place", "number", ends)
 
 
+@query(f"{_HEADINGS}, k as (select source as volume, number::varchar as section, min({_PLACE}) as start from hn where number is not null group by 1, 2) select * from k")
+def section_entries(spark, folder):
+    """Where the numbers of headings are first entered in each volume, none twice."""
+    place = F.expr("cast(chapter as bigint) * 1000000000 + cast(chunk_index as bigint) * 100000 + line_no")
+    return segments.one_way_sections(segments.headings(_lines(spark, folder).withColumn("place", place)), "source", "place", "number")
+
+
 @query(f"with {_NUMBERS} select o_orderkey, number from (select o_orderkey, ['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X', 'VL', 'LIL', 'XL', 'LX', 'LXI', 'iv. note'][(o_orderkey % 16 + 1)::int] as s from orders) left join num on num.numeral = regexp_replace(upper(split_part(s, '.', 1)), '[^IVXLC]', '', 'g')")
 def roman_parse(spark, folder):
     forms = F.array(*map(F.lit, ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "VL", "LIL", "XL", "LX", "LXI", "iv. note"]))
