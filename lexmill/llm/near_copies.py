@@ -18,6 +18,7 @@ Null and blank texts, and texts without any word, are in no pair. Repeated ids c
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +35,27 @@ TINY, TINY_SKETCHES = 30, 20
 AGREE, CROWD = 3, 128
 
 _word = re.compile(r"[^\W_]+")
+_mark = re.compile(r"[^\x00-\x7f\w]")
+_blanks = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _odd = np.random.default_rng(11).integers(1, 2**63, SKETCHES + TINY_SKETCHES, dtype=np.uint64) | np.uint64(1)
 
 
+_places = np.random.default_rng(13).integers(1, 2**63, max(KMER, SHINGLE), dtype=np.uint64) | np.uint64(1)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     return x ^ (x >> np.uint64(27))
 
 
+def words_of(text: str) -> list[bytes]:
+    """What `_word` finds in the text in small letters, as UTF-8: everything that is no letter or digit becomes a blank."""
+    text = text.lower()
+    if not text.isascii() and (marks := set(_mark.findall(text))):
+        text = text.translate(dict.fromkeys(map(ord, marks), " "))
+    return text.encode("utf-8", "replace").translate(_blanks).split()
+
+
 def _grams(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each k-mer, its text, first k-mer of each text) for texts laid end to end; texts shorter than k have none."""
     n = np.maximum(sizes - k + 1, 0)
@@ -50,21 +64,26 @@ def _grams(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int) ->
     at = np.arange(len(text)) - first[text] + starts[text]
     h = np.zeros(len(text), np.uint64)
     for j in range(k):
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + words[at + j])
-    return h, text, first
+        h += words[at + j] * _places[j]
+    return _mix(_mix(h)), text, first
 
 
 def _labelled(h: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Hashes with the number of the occurrence within the text mixed in."""
     key = h ^ _mix(text.astype(np.uint64) + np.uint64(1))
-    order = np.argsort(key, kind="stable")
-    same = np.concatenate([[False], key[order][1:] == key[order][:-1]])
-    if not same.any():
+    ordered = np.sort(key)
+    again = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(again):
         return h
-    run = np.arange(len(key)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
-    label = np.empty(len(key), np.uint64)
-    label[order] = run.astype(np.uint64)
-    return np.where(label > 0, _mix(h + label), h)
+    at = np.searchsorted(again, key)
+    at[at == len(again)] = 0
+    rows = np.flatnonzero(again[at] == key)  # the few k-mers that occur again in their text
+    rows = rows[np.argsort(key[rows], kind="stable")]
+    same = np.concatenate([[False], key[rows][1:] == key[rows][:-1]])
+    run = np.arange(len(rows)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(rows))))
+    out = h.copy()
+    out[rows] = np.where(run > 0, _mix(h[rows] + run.astype(np.uint64)), h[rows])
+    return out
 
 
 def _sketches(h: np.ndarray, text: np.ndarray, first: np.ndarray, odd: np.ndarray, order: int) -> np.ndarray:
@@ -93,47 +112,52 @@ def _sketches(h: np.ndarray, text: np.ndarray, first: np.ndarray, odd: np.ndarra
 
 
 class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         self[word] = got = xxhash.xxh3_64_intdigest(word)
         return got
 
 
+def _lists(rows: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    sizes = np.zeros(n + 1, np.int32)
+    sizes[rows + 1] = values.shape[1] if len(rows) else 0
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array((values >> np.uint64(32)).astype(np.uint32).view(np.int32).ravel(), pa.int32()))
+
+
+def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, body, ...) as batches of (id, cls, words, sketches, tiny)."""
+    known = _Hashes()
+    for batch in batches:
+        ids, cls, said, flat, sizes = [], [], [], array("Q"), []
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ws = words_of(t) if t else []
+            if not ws:
+                continue
+            flat.extend(map(known.__getitem__, ws))
+            sizes.append(len(ws)), ids.append(i), said.append(b" ".join(ws))
+            cls.append(xxhash.xxh3_64_intdigest(said[-1]) - 2**63)
+        if len(known) > 500_000:
+            known.clear()
+        words, sizes = np.frombuffer(flat, np.uint64) if flat else np.zeros(0, np.uint64), np.array(sizes, np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else sizes
+        found = []
+        for pick, k, order, odd in ((sizes >= KMER + ORDER - 1, KMER, ORDER, _odd[:SKETCHES]), ((sizes >= SHINGLE) & (sizes <= TINY), SHINGLE, 1, _odd[SKETCHES:])):
+            rows = np.flatnonzero(pick)
+            s = np.zeros((0, len(odd)), np.uint64)
+            if len(rows):
+                h, text, first = _grams(words, starts[rows], sizes[rows], k)
+                s = _sketches(_labelled(h, text), text, first, odd, order)
+            found.append(_lists(rows, s, len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(cls, pa.int64()), pa.array(said, pa.string()), *found], ["id", "cls", "words", "sketches", "tiny"])
+
+
+def sketch_schema(kind: str) -> str:
+    return f"id {kind}, cls bigint, words string, sketches array<int>, tiny array<int>"
+
+
 def sketched(texts: DataFrame, id: str = "id", body: str = "body") -> DataFrame:
     """(id, cls, words, sketches, tiny): class, words (a string, blank between) and 32-bit sketches of each text with a word. cls is a 64-bit hash of the
     words."""
-
-    def lists(rows: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
-        sizes = np.zeros(n + 1, np.int32)
-        sizes[rows + 1] = values.shape[1] if len(rows) else 0
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array((values >> np.uint64(32)).astype(np.uint32).view(np.int32).ravel(), pa.int32()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
-        for batch in batches:
-            ids, cls, said, flat, sizes = [], [], [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ws = _word.findall(t.lower()) if t else []
-                if not ws:
-                    continue
-                flat.extend(map(known.__getitem__, ws))
-                sizes.append(len(ws)), ids.append(i), said.append(" ".join(ws))
-                cls.append(xxhash.xxh3_64_intdigest(said[-1]) - 2**63)
-            if len(known) > 500_000:
-                known.clear()
-            words, sizes = np.array(flat, np.uint64), np.array(sizes, np.int64)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else sizes
-            found = []
-            for pick, k, order, odd in ((sizes >= KMER + ORDER - 1, KMER, ORDER, _odd[:SKETCHES]), ((sizes >= SHINGLE) & (sizes <= TINY), SHINGLE, 1, _odd[SKETCHES:])):
-                rows = np.flatnonzero(pick)
-                s = np.zeros((0, len(odd)), np.uint64)
-                if len(rows):
-                    h, text, first = _grams(words, starts[rows], sizes[rows], k)
-                    s = _sketches(_labelled(h, text), text, first, odd, order)
-                found.append(lists(rows, s, len(ids)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(cls, pa.int64()), pa.array(said, pa.string()), *found], ["id", "cls", "words", "sketches", "tiny"])
-
-    kind = texts.schema[id].dataType.simpleString()
-    return texts.select(id, body).mapInArrow(run, f"id {kind}, cls bigint, words string, sketches array<int>, tiny array<int>")
+    return texts.select(id, body).mapInArrow(sketch, sketch_schema(texts.schema[id].dataType.simpleString()))
 
 
 def _buckets(classes: DataFrame) -> F.Column:
@@ -225,9 +249,9 @@ def similarity(a: list[str], b: list[str], least: float) -> float:
     return both / (len(sa) + len(sb) - both)
 
 
-def similar_classes(texts: DataFrame, id: str = "id", body: str = "body", least: float = 0.6) -> tuple[DataFrame, DataFrame]:
-    """(members, links): (id, cls) once per id, and (a, b) of different classes with similarity above `least`, a < b. Both staged."""
-    rows = staged(sketched(texts, id, body))
+def similar_classes(rows: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """(members, links): (id, cls) once per id, and (a, b) of different classes with similarity above `least`, a < b. rows: as of `sketched`."""
+    rows = staged(rows)
     members = rows.select("id", "cls").dropDuplicates(["id"])
     classes = rows.select("cls", "sketches", "tiny").dropDuplicates(["cls"])
     pairs = candidates(classes)
@@ -242,9 +266,9 @@ def similar_classes(texts: DataFrame, id: str = "id", body: str = "body", least:
     return members, staged(both.select("a", "b", "wa", "wb").mapInArrow(verify, "a bigint, b bigint"))
 
 
-def similar_pairs(texts: DataFrame, id: str = "id", body: str = "body", least: float = 0.6) -> DataFrame:
-    """(id_a, id_b), the smaller id first: every pair of ids with similarity above `least`, copies included."""
-    members, links = similar_classes(texts, id, body, least)
+def similar_pairs(rows: DataFrame, least: float = 0.6) -> DataFrame:
+    """(id_a, id_b), the smaller id first: every pair of ids with similarity above `least`, copies included. rows: as of `sketched`."""
+    members, links = similar_classes(rows, least)
     members = staged(members)
     a, b = members.select(F.col("id").alias("x"), F.col("cls").alias("a")), members.select(F.col("id").alias("y"), F.col("cls").alias("b"))
     across = links.join(a, "a").join(b, "b").select("x", "y")

@@ -87,17 +87,24 @@ def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _flat(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that p5 compares."""
     return scan_repair.repaired(table(spark, folder, "all_chunks"), terms=table(spark, folder, "gazetteer_terms"), join_lines=False)
 
 
+def _sketched(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches of the repaired texts; the texts never leave the task that repairs them."""
+    then = (near_copies.sketch, near_copies.sketch_schema)
+    return scan_repair.repaired(table(spark, folder, "all_chunks"), terms=table(spark, folder, "gazetteer_terms"), join_lines=False, then=then)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = near_copies.similar_pairs(_flat(spark, folder))
+    found = near_copies.similar_pairs(_sketched(spark, folder))
     return found.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
 def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Each chunk with its class of equal words, its group and the links of its class."""
-    return near_copies.groups(*near_copies.similar_classes(_flat(spark, folder))).withColumnRenamed("id", "chunk_id")
+    return near_copies.groups(*near_copies.similar_classes(_sketched(spark, folder))).withColumnRenamed("id", "chunk_id")
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:

@@ -106,7 +106,7 @@ def writings(token: str) -> tuple[str, ...]:
 
 def questions(text: str) -> list[str]:
     """Distinct tokens of a text in base form whose script is in question."""
-    if not FOREIGN.search(text):
+    if text.isascii() or not FOREIGN.search(text):
         return []
     return sorted({t for t in TOKEN.findall(text) if FOREIGN.search(t) and writings(t)})
 
@@ -119,7 +119,7 @@ def rewritten(text: str, answers: dict[str, str]) -> str:
 def looks_latin(text: str | None) -> str | None:
     """Base form, with every token in question in its Latin writing. For matching only: needs no vocabulary."""
     text = base_form(text)
-    if not text or not FOREIGN.search(text):
+    if not text or text.isascii() or not FOREIGN.search(text):
         return text
     return TOKEN.sub(lambda m: next((w for w in writings(m[0]) if not FOREIGN.search(w)), m[0]), text)
 

@@ -69,6 +69,12 @@ def test_cuts_cover_every_word(words, limit):
     assert covered == len(text.split())
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text())
+def test_words(text):
+    assert [w.decode() for w in near_copies.words_of(text)] == near_copies._word.findall(text.lower())
+
+
 def test_similarity_against_sets():
     dice = random.Random(4)
     for _ in range(300):
@@ -99,7 +105,7 @@ def test_crowds_lose_no_pair(spark, monkeypatch):
     base = [plate + [dice.choice(words) for _ in range(80)] for _ in range(60)]
     rows = [(2 * i, " ".join(t)) for i, t in enumerate(base)] + [(2 * i + 1, " ".join(t[:100] + ["edit"] + t[101:])) for i, t in enumerate(base)]
     monkeypatch.setattr(near_copies, "CROWD", 1)
-    got = {tuple(r) for r in near_copies.similar_pairs(spark.createDataFrame(rows, "id long, body string")).collect()}
+    got = {tuple(r) for r in near_copies.similar_pairs(near_copies.sketched(spark.createDataFrame(rows, "id long, body string"))).collect()}
     assert got == {(2 * i, 2 * i + 1) for i in range(60)}
 
 

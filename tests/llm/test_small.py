@@ -62,11 +62,11 @@ def test_unify(spark, chunks):
 
 def test_near_copies(spark, chunks):
     body = chunks.drop("body").withColumnRenamed("text", "body").drop("id").withColumnRenamed("chunk_id", "id")
-    assert sorted(run(near_copies.similar_pairs(body))) == [("a", "b"), ("a", "g"), ("b", "g")]
-    members, links = near_copies.similar_classes(body)
+    assert sorted(run(near_copies.similar_pairs(near_copies.sketched(body)))) == [("a", "b"), ("a", "g"), ("b", "g")]
+    members, links = near_copies.similar_classes(near_copies.sketched(body))
     got = {r.id: r for r in near_copies.groups(members, links).collect()}
     assert got["a"].grp == got["b"].grp == got["g"].grp != got["f"].grp and got["a"].cls == got["b"].cls and got["g"].n_links == 1 and got["f"].n_links == 0
-    assert run(near_copies.similar_pairs(body.limit(0))) == []
+    assert run(near_copies.similar_pairs(near_copies.sketched(body.limit(0)))) == []
 
 
 def test_repair(chunks):
