@@ -161,3 +161,41 @@ def test_drafts(spark):
     rows = [good, good, ("d2", "DRAFT", "yesterday", None, None, None, ("s", "r")), ("d3", "approved", good[2], None, None, None, ("s", "r")), ("d4", "DRAFT", good[2], "dosha", None, None, ("s", "r")), ("d5", "DRAFT", good[2], None, "x", None, ("s", None))]
     got = review.drafts(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r.artifact_dir, str(r.day), r.pillar, r.label) for r in got) == [("d1", "2025-03-03", "seasonal", "Mist"), ("d4", "2025-03-03", "dosha", "d4")]
+
+
+def test_sections_and_lookback(spark):
+    import random
+
+    dice = random.Random(5)
+    cases = [[dice.choice("abc") for _ in range(dice.randrange(1, 12))] for _ in range(30)]
+    hints = spark.createDataFrame([(v, i, s) for v, c in enumerate(cases) for i, s in enumerate(c)] + [(0, 99, None)], "v int, i int, s string")
+    got = {}
+    for r in segments.one_way_sections(hints, "v", "i", "s").orderBy("volume", "start").collect():
+        got.setdefault(r.volume, []).append((r.section, r.start))
+    for v, case in enumerate(cases):
+        seen, now, want = set(), None, []
+        for i, s in enumerate(case):
+            if s != now and s not in seen:
+                now = s
+                seen.add(s)
+                want.append((s, i))
+        assert got[v] == want
+    lines = spark.createDataFrame([("t", i, "x" if i in (2, 30) else None) for i in range(40)], "id string, line_no int, m string")
+    seen = {r.line_no for r in segments.lookback(lines, F.col("m")).where("seen = 'x'").collect()}
+    assert seen == {*range(3, 13), *range(31, 40)}
+
+
+def test_evaluated(spark):
+    hits = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (2, "c", 0)], "query_id int, id string, rank int")
+    wanted = spark.createDataFrame([(1, "b"), (1, "z"), (3, "q")], "query_id int, id string")
+    assert sorted(map(tuple, retrieval.evaluated(hits, wanted).collect()), key=str) == [(1, 2, 2, 1, 1), (3, 0, 1, 0, None)]
+
+
+def test_tables_without_rows(spark):
+    texts = spark.createDataFrame([], "id string, text string, source string")
+    vocabulary = spark.createDataFrame([], "category string, canonical string, form string")
+    tags = tagging.tagged(texts, "id", "text", vocabulary)
+    assert tags.count() == tagging.coverage(texts, "id", tags, vocabulary).count() == 0
+    assert tagging.untagged(texts, "id", tags).first().share is None
+    assert numbered(texts.select("id"), "id").count() == 0
+    assert files.stitched(texts, "source", "id", "id", "text").count() == 0
