@@ -34,6 +34,9 @@ TINY, TINY_SKETCHES = 30, 20
 #: Sketches that a pair must share, and the most classes of a bucket whose pairs are made as they are.
 AGREE, CROWD = 3, 128
 
+#: The most classes (8 bytes each) that every task may be given.
+FEW = 1_000_000
+
 _word = re.compile(r"[^\W_]+")
 _mark = re.compile(r"[^\x00-\x7f\w]")
 _blanks = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
@@ -254,8 +257,10 @@ def similar_classes(rows: DataFrame, least: float = 0.6) -> tuple[DataFrame, Dat
     rows = staged(rows)
     members = rows.select("id", "cls").dropDuplicates(["id"])
     classes = rows.select("cls", "sketches", "tiny").dropDuplicates(["cls"])
-    pairs = candidates(classes)
-    said = rows.select("cls", "words").join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi").dropDuplicates(["cls"])
+    pairs = staged(candidates(classes))
+    wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+    # Only the words of candidates are shuffled: the others are dropped where they are read, as long as the candidates are few enough to be told everywhere.
+    said = rows.select("cls", "words").join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "cls", "left_semi").dropDuplicates(["cls"])
     both = pairs.join(said.select(F.col("cls").alias("a"), F.col("words").alias("wa")), "a").join(said.select(F.col("cls").alias("b"), F.col("words").alias("wb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -76,7 +76,9 @@ def base_form(text: str | None) -> str | None:
     if any(c in odd for c in JOINERS):
         text = "".join(c if c not in odd or _joins(text, i) else odd[c] for i, c in enumerate(text))
     else:
-        text = text.translate({ord(c): p for c, p in odd.items() if p != c})
+        for c, p in odd.items():
+            if p != c:
+                text = text.replace(c, p)
     return ud.normalize("NFC", text)
 
 
