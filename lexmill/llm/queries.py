@@ -48,7 +48,7 @@ def p2_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_grams(spark: SparkSession, folder: str) -> DataFrame:
-    """Every run of up to three neighbouring terms with its counts."""
+    """Every run of neighbouring terms, of any length, with its counts."""
     return _terms(spark, folder).select("field", "size", "term", "total", "records")
 
 

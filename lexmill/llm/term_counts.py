@@ -1,9 +1,13 @@
 """Problem 2: how often every term and every run of terms occurs, and in how many records, from a distributed suffix array.
 
-Every position of a record's sequence of terms starts a suffix, cut off after `longest` terms. Equal suffixes are combined, then sorted over the
-cluster; an n-gram is an interval of suffixes whose common prefix is n terms or longer. The width of the interval is its number of occurrences. A
-suffix whose first d terms stand at an earlier place of the same record is a duplicate for all n <= d; records = width - duplicates. Intervals that
-cross from one partition into the next are summed, so a term of a third of all rows is never in one task.
+Every position of a record's sequence of terms starts a suffix that runs to the end of the sequence. Equal suffixes are combined, then sorted over the
+cluster; an n-gram is an interval of suffixes whose common prefix is n terms or longer. The width of the interval is its number of occurrences. Two
+suffixes of one record that follow each other in sorted order, with none of that record between them, share a prefix of d terms: the later one is a
+duplicate for all n <= d, and records = width - duplicates. Restricted to a record, the sorted array is the sorted list of the record's own suffixes, so
+the duplicates are read off that list before equal suffixes are combined. Intervals that cross from one partition into the next are summed, so a term of
+a third of all rows is never in one task.
+
+The text of a record's suffixes grows with the square of its number of terms, as the number of its n-grams does.
 
 Terms are trimmed and lower-cased, null and blank ones dropped (their neighbours then adjoin). Null arrays hold no term.
 """
@@ -21,73 +25,90 @@ from .together import terms_of
 SEPARATOR = "\x1f"
 
 
-def _suffixes(longest: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fields, out, dups = [], [], []
-            for field, terms in zip(batch.column("field").to_pylist(), batch.column("terms").to_pylist()):
-                seen: set[tuple[str, ...]] = set()
-                for i in range(len(terms)):
-                    s = tuple(terms[i : i + longest])
-                    grams = [s[:n] for n in range(1, len(s) + 1)]
-                    dups.append(sum(g in seen for g in grams))  # prefixes of a seen gram are seen
-                    seen.update(grams)
-                    fields.append(field), out.append(SEPARATOR.join(s))
-            yield pa.RecordBatch.from_arrays([pa.array(fields, pa.string()), pa.array(out, pa.string()), pa.array(dups, pa.int32())], ["field", "suffix", "dup"])
-
-    return run
-
-
-def _intervals(longest: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[str, int, str, int, int]] = []
-        open_: list[list] = []  # for n = 1..: [gram, width, duplicates] of the interval that reaches the suffix at hand
-        at = None
-
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*rows)) or [[]] * 5
-            rows.clear()
-            kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["field", "size", "gram", "total", "duplicates"])
-
-        def close(keep: int) -> None:
-            while len(open_) > keep:
-                gram, width, dup = open_.pop()
-                rows.append((at, len(open_) + 1, gram, width, dup))
-
-        for batch in batches:
-            dups = [batch.column(f"dup{n}").to_pylist() for n in range(1, longest + 1)]
-            for k, (field, suffix, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("field", "suffix", "n")))):
-                terms = suffix.split(SEPARATOR)
-                lcp = 0
-                if field == at:
-                    while lcp < len(open_) and lcp < len(terms) and open_[lcp][0] == SEPARATOR.join(terms[: lcp + 1]):
-                        lcp += 1
-                close(lcp)
-                at = field
-                for d in range(len(terms)):
-                    if d >= len(open_):
-                        open_.append([SEPARATOR.join(terms[: d + 1]), 0, 0])
-                    open_[d][1] += n
-                    open_[d][2] += dups[d][k]
-            if len(rows) > 50_000:
+#: Characters of suffixes or n-grams in one Arrow batch.
+BATCH = 1 << 22
+
+
+def _shared(a: list[str], b: list[str]) -> int:
+    """The number of terms at the start of both."""
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fields, out, dups = [], [], []
+
+    def flush() -> pa.RecordBatch:
+        got = pa.RecordBatch.from_arrays([pa.array(fields, pa.string()), pa.array(out, pa.string()), pa.array(dups, pa.int32())], ["field", "suffix", "dup"])
+        fields.clear(), out.clear(), dups.clear()
+        return got
+
+    size = 0
+    for batch in batches:
+        for field, terms in zip(batch.column("field").to_pylist(), batch.column("terms").to_pylist()):
+            last: list[str] = []
+            for i in sorted(range(len(terms)), key=lambda i: terms[i:]):
+                suffix = terms[i:]
+                fields.append(field), out.append(SEPARATOR.join(suffix)), dups.append(_shared(last, suffix))
+                last = suffix
+                size += len(out[-1])
+                if size > BATCH:
+                    yield flush()
+                    size = 0
+    yield flush()
+
+
+def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple[str, int, str, int, int]] = []
+    path: list[str] = []  # the suffix at hand
+    open_: list[list[int]] = []  # for n = 1..: [width, duplicates] of its interval, without those of longer intervals still open
+    at, size = None, 0
+
+    def flush() -> pa.RecordBatch:
+        cols = list(zip(*rows)) or [[]] * 5
+        rows.clear()
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["field", "size", "gram", "total", "duplicates"])
+
+    def close(keep: int) -> Iterator[pa.RecordBatch]:
+        nonlocal size
+        while len(open_) > keep:
+            width, dup = open_.pop()
+            if open_:
+                open_[-1][0] += width
+                open_[-1][1] += dup
+            rows.append((at, len(open_) + 1, SEPARATOR.join(path[: len(open_) + 1]), width, dup))
+            size += len(rows[-1][2])
+            if size > BATCH:
                 yield flush()
-        close(0)
-        yield flush()
-
-    return run
-
-
-def gram_counts(records: DataFrame, id: str, fields: list[str], longest: int = 3) -> DataFrame:
-    """(field, size, term, total, records): every n-gram of up to `longest` terms of the array columns, over distinct ids. term: its terms, blank between."""
+                size = 0
+
+    for batch in batches:
+        for field, suffix, dup, n in zip(*(batch.column(c).to_pylist() for c in ("field", "suffix", "dup", "n"))):
+            terms = suffix.split(SEPARATOR)
+            yield from close(_shared(path, terms) if field == at else 0)
+            at, path = field, terms
+            open_ += [[0, 0] for _ in range(len(terms) - len(open_))]
+            open_[-1][0] += n
+            if dup:
+                open_[dup - 1][1] += n
+    yield from close(0)
+    yield flush()
+
+
+def gram_counts(records: DataFrame, id: str, fields: list[str]) -> DataFrame:
+    """(field, size, term, total, records): every n-gram of the array columns, of any length, over distinct ids. term: its terms, blank between."""
     stacked = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), terms_of(f).alias("terms")) for f in fields]))
     rows = records.dropDuplicates([id]).select(stacked.alias("s")).select("s.field", "s.terms").where(F.size("terms") > 0)
-    suffixes = rows.mapInArrow(_suffixes(longest), "field string, suffix string, dup int")
-    dups = [F.count_if(F.col("dup") >= n).alias(f"dup{n}") for n in range(1, longest + 1)]
-    equal = suffixes.groupBy("field", "suffix").agg(F.count("*").alias("n"), *dups)
+    suffixes = rows.mapInArrow(_suffixes, "field string, suffix string, dup int")
+    equal = suffixes.groupBy("field", "suffix", "dup").agg(F.count("*").alias("n"))
     # \x1f sorts before every letter, so a suffix stands right before its extensions.
     order = equal.repartitionByRange("field", "suffix").sortWithinPartitions("field", "suffix")
-    parts = order.mapInArrow(_intervals(longest), "field string, size int, gram string, total bigint, duplicates bigint")
+    parts = order.mapInArrow(_intervals, "field string, size int, gram string, total bigint, duplicates bigint")
     whole = parts.groupBy("field", "size", "gram").agg(F.sum("total").alias("total"), (F.sum("total") - F.sum("duplicates")).alias("records"))
     return whole.select("field", "size", F.translate("gram", SEPARATOR, " ").alias("term"), "total", "records")
 
