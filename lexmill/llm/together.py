@@ -88,8 +88,9 @@ def upper_tail(seen: np.ndarray, xa: np.ndarray, xb: np.ndarray, y: np.ndarray,
 
 
 def surprising_pairs(records: DataFrame, id: str, fields: list[str], min_records: int = 1, min_share: float = 0.0) -> DataFrame:
-    """(item_a, item_b, n_ab, n_a, n_b, n, lift, expected, log10_p): pairs in at least min_records records and min_share of all; item_a < item_b.
+    """(item_a, item_b, n_ab, n_a, n_b, n, lift, expected, log10_p, tests): pairs in at least min_records records and min_share of all; item_a < item_b.
 
+    tests, the same in every row, is the number of pairs of items there are, those never seen together and those below the limits included.
     Items below the two limits cannot be in such a pair and are dropped before pairs are made (they still count in the null's margins). Pair counts
     are combined before the shuffle; items of a third of all records cost no more than others.
     """
@@ -98,6 +99,7 @@ def surprising_pairs(records: DataFrame, id: str, fields: list[str], min_records
     least = max(min_records, int(np.ceil(min_share * n - 1e-9)), 1)
     counts = staged(rows.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n_item")))
     hist = [(r[0], r[1]) for r in counts.groupBy("n_item").count().orderBy("n_item").collect()]
+    items = sum(c for _, c in hist)
     sizes = [(r[0], r[1]) for r in rows.where(F.size("items") > 0).groupBy(F.size("items").alias("k")).count().orderBy("k").collect()]
     x, y = fitted_null(hist, sizes) if hist else (np.ones(1), np.ones(1))
     spark = records.sparkSession
@@ -119,16 +121,18 @@ def surprising_pairs(records: DataFrame, id: str, fields: list[str], min_records
             yield b.drop(columns=["x_a", "x_b"]).assign(expected=mean, log10_p=tail)
 
     found = pairs.select("item_a", "item_b", "n_ab", "n_a", "n_b", "x_a", "x_b").mapInPandas(surprise, "item_a string, item_b string, n_ab bigint, n_a bigint, n_b bigint, expected double, log10_p double")
-    return found.withColumn("n", F.lit(n).cast("bigint")).withColumn("lift", F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b")))
+    found = found.withColumn("n", F.lit(n).cast("bigint")).withColumn("lift", F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b")))
+    return found.withColumn("tests", F.lit(items * (items - 1) // 2).cast("bigint"))
 
 
 def discovered(pairs: DataFrame, rate: float = 0.01) -> DataFrame:
-    """The pairs with a flag `discovery` under the false-discovery rate, by Benjamini-Hochberg over all rows of `pairs`.
+    """The pairs with a flag `discovery` under the false-discovery rate, by Benjamini-Hochberg over all pairs of items that there are.
 
-    The threshold is the largest p with p <= rate * #(p' <= p) / m. It is found by counting again and again from above, which needs no global order.
+    m is the number of those (`tests`), as a pair never seen together is a hypothesis too, with p = 1. The threshold is the largest p with
+    p <= rate * #(p' <= p) / m. It is found by counting again and again from above, which needs no global order.
     """
     pairs = staged(pairs)
-    m = pairs.count()
+    m = pairs.agg(F.max("tests")).first()[0]
     limit, last = float(np.log10(rate)), -1
     while m:
         k = pairs.where(F.col("log10_p") <= limit).count()
@@ -136,4 +140,4 @@ def discovered(pairs: DataFrame, rate: float = 0.01) -> DataFrame:
             limit = limit if k else -np.inf
             break
         last, limit = k, float(np.log10(rate * k / m))
-    return pairs.withColumn("discovery", F.col("log10_p") <= F.lit(limit))
+    return pairs.drop("tests").withColumn("discovery", F.col("log10_p") <= F.lit(limit))

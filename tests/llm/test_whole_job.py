@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from lexmill.llm import term_counts
+from lexmill.llm import term_counts, together
 
 
 def test_runs_of_any_length(spark):
@@ -22,3 +22,23 @@ def test_runs_of_any_length(spark):
     got = term_counts.gram_counts(df, "id", ["herbs", "diseases"]).collect()
     assert {(r.field, r.size, r.term): (r.total, r.records) for r in got} == {g: (n, records[g]) for g, n in total.items()}
     assert len(got) == len(total) and max(r.size for r in got) == 40
+
+
+def test_pairs_never_seen_together_are_tests(spark):
+    """Benjamini-Hochberg over all pairs of items, against a sorted list with p = 1 for the pairs that no record has."""
+    dice = random.Random(8)
+    rows = [(i, [f"c{i % 30}", f"c{(i * 7 + dice.randrange(2)) % 30}"] + (["u", "v"] if i % 40 == 0 else []) + (["s", "t"] if i % 100 == 1 else [])) for i in range(400)]
+    rows += [(1000 + i, [f"lone{i}"]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, tags array<string>")
+    items = len({t for _, tags in rows for t in tags})
+    for rate in (0.01, 0.2):
+        got = together.discovered(together.surprising_pairs(df, "id", ["tags"]), rate).collect()
+        m = items * (items - 1) // 2
+        p = sorted([10**r.log10_p for r in got] + [1.0] * (m - len(got)))
+        limit = max([v for k, v in enumerate(p, 1) if v <= rate * k / m], default=-1)
+        narrow = max([v for k, v in enumerate(p[: len(got)], 1) if v <= rate * k / len(got)], default=-1)
+        flagged = sum(r.discovery for r in got)
+        assert flagged == sum(10**r.log10_p <= limit for r in got) < sum(10**r.log10_p <= narrow for r in got)
+        assert flagged > 0
+    # Limits drop rows and tests stay.
+    assert {r.tests for r in together.surprising_pairs(df, "id", ["tags"], min_records=4).collect()} == {m}
