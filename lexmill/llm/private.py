@@ -6,8 +6,8 @@ tokens of one document that are equal or nearly so (capitalised words and long n
 the others. Labels come from loopy belief propagation over all documents of an Arrow batch at once; spans are runs of one label.
 
 The field is fitted on at most SAMPLE documents (those of the least hashes), labelled at a distance: formats with their cue words for numbers and
-addresses, the table of known people and titles for names; capitalised words of which neither is sure are left out of the fit. The corpus itself is
-never gathered. A found stretch must finally pass a check of form: digits of a phone, a house number of an address and so on.
+addresses, the table of known people and titles for names; capitalised words of which neither is sure are left out of the fit. Which words are common
+is no matter of the fit: words are counted by case over all documents. The corpus itself is never gathered. A found stretch must finally pass a check of form: digits of a phone, a house number of an address and so on.
 
 Null, empty and blank texts hold nothing. Full-width and similar characters are read as plain ones; offsets are those of the stored text.
 """
@@ -19,7 +19,7 @@ import unicodedata as ud
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -27,8 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.staging import staged
+
 LABELS = ("none", "email", "phone", "id_number", "address", "name")
 SAMPLE, SLOTS, ROUNDS = 2500, 1 << 16, 6
+#: A common word stands in small letters at least LEAST times and in the share SMALL of its uses. Names do so by mistake only, words of addresses and headings often.
+LEAST, SMALL = 3, 0.05
+#: Most common words that are broadcast; beyond, they are joined to each CHUNK (a power of two) of documents.
+WORDS, CHUNK = 200_000, 512
 #: Nodes around a token that may be personal.
 AROUND = 4
 
@@ -40,6 +46,7 @@ PHONE_CUES = "call dial number tel whatsapp phone contact mobile ring".split()
 CUES = dict.fromkeys(NOT_CUES, "not") | dict.fromkeys(PHONE_CUES, "phone") | dict.fromkeys(ID_CUES, "id")
 STREETS = "street st road rd lane layout cross avenue ave nagar colony towers block marg".split()
 
+_letters = re.compile(r"[^\W\d_]+")
 _token = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 _email = re.compile(r"(?i)[a-z0-9][a-z0-9._+-]*(?: ?@ ?|\s*[(\[]at[)\]]\s*)[a-z0-9-]+(?:(?:\.|\s*[(\[]dot[)\]]\s*)[a-z0-9-]+)*(?:\.|\s*[(\[]dot[)\]]\s*)[a-z]{2,}")
 _phone = re.compile(r"(?<![\w/.-])(?:\+|00)?\(?\d[\d ()./-]{5,18}\d(?: ?(?:ext|x)\.? ?\d{1,5})?(?![\w/])")
@@ -91,7 +98,7 @@ class Page:
 
 @dataclass
 class Field:
-    """A fitted field. common: words that occur in small letters. heads, tails: how known names begin and end."""
+    """A fitted field. common: words usual in small letters. heads, tails: how known names begin and end."""
 
     common: frozenset[str]
     heads: frozenset[str]
@@ -195,12 +202,56 @@ def far_labels(text: str, page: Page, people: set[str], field: Field) -> list[in
     return labels
 
 
-def fitted(sample: list[str], people: list[str], rounds: int = 4) -> Field:
-    """The field of at most SAMPLE texts and the names of known people. Softmax regression by AdaGrad; transitions and skip potentials from counts."""
-    words = Counter(w for t in sample for w in re.findall(r"\b[^\W\d_A-Z][^\W\d_]+", folded(t)))
+def count_cases(text: str, small: Counter[str], capital: Counter[str]) -> None:
+    """Adds a text's words to the counts of each case. E-mail addresses say nothing of a word's case."""
+    t = folded(text)
+    if "@" in t or "(" in t or "[" in t:
+        t = _email.sub(" ", t)
+    for w in _letters.findall(t):
+        (capital if w[0].isupper() else small)[w.lower()] += 1
+
+
+def is_common(small, capital):
+    """Of two numbers or two columns."""
+    return (small >= LEAST) & (small >= SMALL * (small + capital))
+
+
+def common_words(documents: DataFrame, text: str) -> DataFrame:
+    """(word): the common words of all documents, counted in each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small, capital = Counter(), Counter()
+
+        def flush() -> pa.RecordBatch:
+            words = list(small.keys() | capital.keys())
+            got = [pa.array(words, pa.string()), pa.array([small[w] for w in words], pa.int64()), pa.array([capital[w] for w in words], pa.int64())]
+            small.clear(), capital.clear()
+            return pa.RecordBatch.from_arrays(got, ["word", "small", "capital"])
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                count_cases(t or "", small, capital)
+                if len(small) + len(capital) > 200_000:
+                    yield flush()
+        yield flush()
+
+    counts = documents.select(text).mapInArrow(run, "word string, small bigint, capital bigint").groupBy("word").agg(F.sum("small").alias("small"), F.sum("capital").alias("capital"))
+    return counts.where(is_common(F.col("small"), F.col("capital"))).select("word")
+
+
+def fitted(sample: list[str], people: list[str], rounds: int = 4, common: frozenset[str] | None = None) -> Field:
+    """The field of at most SAMPLE texts and the names of known people. Softmax regression by AdaGrad; transitions and skip potentials from counts.
+
+    common: the common words of the corpus that hold the sample; where none are given, the sample is the corpus.
+    """
+    if common is None:
+        small, capital = Counter(), Counter()
+        for t in sample:
+            count_cases(t, small, capital)
+        common = frozenset(w for w, n in small.items() if is_common(n, capital[w]))
     parts = [w.lower() for p in people for w in re.findall(r"[^\W\d_]{4,}", p)]
     heads, tails = Counter(w[:3] for w in parts), Counter(w[-3:] for w in parts)
-    field = Field(frozenset(w for w, n in words.items() if n > 2), frozenset(w for w, n in heads.items() if n > 1), frozenset(w for w, n in tails.items() if n > 1))
+    field = Field(common, frozenset(w for w, n in heads.items() if n > 1), frozenset(w for w, n in tails.items() if n > 1))
     pages = [field.page(t) for t in sample]
     truth = [far_labels(t, p, set(parts), field) for t, p in zip(sample, pages)]
     x = np.array([f for p in pages for f in p.features], np.int64).reshape(-1, 20)
@@ -328,25 +379,51 @@ def stretches(text: str, page: Page, labels: np.ndarray) -> list[tuple[int, int,
 
 def found_in(documents: DataFrame, people: DataFrame, id: str = "doc_id", text: str = "text", name: str = "full_name") -> DataFrame:
     """(id, text, found): each row with its stretches (start, end, kind), offsets in characters of the stored text. people is a bounded reference table."""
+    spark = documents.sparkSession
     sample = [r[0] for r in documents.where(F.col(text).isNotNull()).select(text, F.xxhash64(id).alias("h")).orderBy("h", text).limit(SAMPLE).collect()]
     known = [r[0] for r in people.where(F.col(name).isNotNull()).select(name).orderBy(name).limit(100_000).collect()]
-    field = documents.sparkSession.sparkContext.broadcast(fitted(sample, known))
+    common = staged(common_words(documents, text))
+    few, used = common.count() <= WORDS, common
+    if not few:
+        used = common.join(spark.createDataFrame([(w,) for w in {w.lower() for t in sample for w in _letters.findall(folded(t))}], "word string"), "word", "left_semi")
+    fit = fitted(sample, known, common=frozenset(r[0] for r in used.collect()))
+    if not few:
+        fit.common = frozenset()
+    field = spark.sparkContext.broadcast(fit)
+
+    def spans_of(texts: list[str | None], model: Field) -> pa.Array:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+        found: list[list[dict]] = []
+        for at in range(0, len(texts), 500):
+            part = [t or "" for t in texts[at : at + 500]]
+            pages = [model.page(t) for t in part]
+            for t, p, v in zip(part, pages, labelled(pages, model)):
+                found.append([{"start": a, "end": b, "kind": k} for a, b, k in stretches(t, p, v)])
+        return pa.array(found, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = field.value
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found: list[list[dict]] = []
-            for at in range(0, len(texts), 500):
-                part = [t or "" for t in texts[at : at + 500]]
-                pages = [model.page(t) for t in part]
-                for t, p, v in zip(part, pages, labelled(pages, model)):
-                    found.append([{"start": a, "end": b, "kind": k} for a, b, k in stretches(t, p, v)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["id", "text", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), spans_of(batch.column(1).to_pylist(), field.value)], ["id", "text", "found"])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            pairs = list({(c, w.lower()) for c, t in zip(chunks, texts) for w in _letters.findall(folded(t or ""))})
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in pairs], pa.int64()), pa.array([w for _, w in pairs], pa.string())], ["chunk", "word"])
+
+    def joined(rows: pa.Table, known: pa.Table) -> pa.Table:
+        model = replace(field.value, common=frozenset(known.column("word").to_pylist()))
+        return pa.table({"id": rows.column("id"), "text": rows.column("text"), "found": spans_of(rows.column("text").to_pylist(), model)})
 
     kind = documents.schema[id].dataType.simpleString()
-    return documents.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, text string, found array<struct<start:int,end:int,kind:string>>")
+    schema = f"id {kind}, text string, found array<struct<start:int,end:int,kind:string>>"
+    rows = documents.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    if few:
+        return rows.mapInArrow(run, schema)
+    # Row numbers start at multiples of 2^33 in each partition, so a chunk is a stretch of one partition.
+    rows = staged(rows.withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK.bit_length() - 1)))
+    held = rows.select("chunk", "text").mapInArrow(words, "chunk bigint, word string").distinct().join(common, "word", "left_semi")
+    return rows.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInArrow(joined, schema)
 
 
 def redacted(found: DataFrame) -> DataFrame:

@@ -118,15 +118,18 @@ def _neighbours(lines: list[str]) -> Iterator[tuple[int, str, str, str]]:
 
 @dataclass
 class Lines:
-    """The classifier of lines with what it needs; fitted on at most SAMPLE texts."""
+    """The classifier of lines, fitted on at most SAMPLE texts, with the titles of all books."""
 
     model: Logistic
     titles: frozenset[tuple[str, ...]]
 
     @classmethod
-    def fitted(cls, sample: list[tuple[str | None, str | None]]) -> Lines:
-        """sample: (source, text). Sure heads and page numbers are positive, lines of many words in small letters negative; the model weighs the rest."""
-        titles = frozenset(t for s, _ in sample if (t := title_of(s)))
+    def fitted(cls, sample: list[tuple[str | None, str | None]], sources: Iterable[str | None] = ()) -> Lines:
+        """sample: (source, text). Sure heads and page numbers are positive, lines of many words in small letters negative; the model weighs the rest.
+
+        sources: those of all texts, of which the sample may hold but some.
+        """
+        titles = frozenset(t for s in [*sources, *(s for s, _ in sample)] if (t := title_of(s)))
         x, y = [], []
         for source, text in sample:
             lines = (looks_latin(text) or "").split("\n")
@@ -229,7 +232,8 @@ def keys(text: str) -> list[str]:
 def structured(texts: DataFrame, id: str = "chunk_id", text: str = "text", source: str = "source") -> DataFrame:
     """(id, body, kinds, counts): staged texts after the first pass; the first row of each Arrow batch also has the batch's token counts."""
     sample = texts.select(source, text).where(F.col(text).isNotNull()).orderBy(F.xxhash64(id), text).limit(SAMPLE).collect()
-    model = Lines.fitted([(r[0], r[1]) for r in sample])
+    sources = [r[0] for r in texts.select(source).distinct().collect()]
+    model = Lines.fitted([(r[0], r[1]) for r in sample], sources)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

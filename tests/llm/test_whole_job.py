@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from lexmill.llm import term_counts, together
+from lexmill.llm import private, scan_repair, term_counts, together
 
 
 def test_runs_of_any_length(spark):
@@ -42,3 +42,33 @@ def test_pairs_never_seen_together_are_tests(spark):
         assert flagged > 0
     # Limits drop rows and tests stay.
     assert {r.tests for r in together.surprising_pairs(df, "id", ["tags"], min_records=4).collect()} == {m}
+
+
+def test_common_words_are_counted_over_all_documents(spark, monkeypatch):
+    """Words that are usual in small letters, but in no document of the sample; names with a few slips in many uses; addresses in small letters."""
+    rows = [(i, f"Every jar of fennel {i} was put away by Quillon near the door. Write to bartov.x@mail.example today.") for i in range(300)]
+    rows += [(300 + i, "we met quillon there") for i in range(4)] + [(304, "Fennel is sweet. Bartov said so."), (305, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    people = spark.createDataFrame([("Mirandri Valdovik",), ("Corandri Feldovik",)], "full_name string")
+    words = {r.word for r in private.common_words(df, "text").collect()}
+    assert {"fennel", "every", "door"} - words == {"every"} and not {"quillon", "bartov"} & words
+    monkeypatch.setattr(private, "SAMPLE", 2)
+    fits = []
+    whole = private.fitted
+    monkeypatch.setattr(private, "fitted", lambda *a, **k: fits.append(whole(*a, **k)) or fits[-1])
+    want = sorted(map(str, private.found_in(df, people).collect()))
+    assert len(want) == len(rows) and fits[0].common == words
+    # Joined instead of broadcast.
+    monkeypatch.setattr(private, "WORDS", 0)
+    monkeypatch.setattr(private, "CHUNK", 16)
+    assert sorted(map(str, private.found_in(df, people).collect())) == want and any("kind='email'" in r for r in want)
+
+
+def test_titles_of_all_sources(spark, monkeypatch):
+    """A running head of a book that no sampled text comes from, in a text of another book."""
+    plain = "every warm root often steadies\nbitter chill before evening meal\nwhile mother strength throughout"
+    rows = [(str(i), "blue-river-vol1", plain) for i in range(50)] + [("other", "green-mountain-vol1", plain)]
+    rows += [("head", "blue-river-vol1", plain.replace("\nwhile", "\nGREEN MOUNTAIN\nwhile"))]
+    monkeypatch.setattr(scan_repair, "SAMPLE", 1)
+    got = {r.id: set(r.kinds) for r in scan_repair.structured(spark.createDataFrame(rows, "chunk_id string, source string, text string")).collect()}
+    assert got["head"] == {"header"} and not got["other"]
