@@ -127,16 +127,8 @@ def lookback(table: DataFrame, mark: Column, reach: int = 10) -> DataFrame:
 def one_way_sections(hints: DataFrame, volume: str, place: str, section: str) -> DataFrame:
     """(volume, section, start): where each section of a volume is entered, when a section that was left is never entered again.
 
-    Hints of the current section or of one that was left change nothing; any other hint leaves the current section. Hints are the headings of a volume,
-    folded in order.
+    Hints of the current section or of one that was left change nothing; any other hint leaves the current section. So a section is entered at the first
+    of its hints.
     """
-    item = "struct<section:string,start:bigint>"
-    start = F.from_json(F.lit('{"now":null,"out":[]}'), f"now string, out array<{item}>")
-
-    def step(acc: Column, x: Column) -> Column:
-        entered = F.exists(acc.out, lambda o: o.section == x.s)
-        more = F.concat(acc.out, F.array(F.struct(x.s.alias("section"), x.o.alias("start"))))
-        return F.when(entered, acc).otherwise(F.struct(x.s.alias("now"), more.alias("out")))
-
-    rows = hints.where(F.col(section).isNotNull()).groupBy(F.col(volume).alias("volume")).agg(F.array_sort(F.collect_list(F.struct(F.col(place).cast("bigint").alias("o"), F.col(section).cast("string").alias("s")))).alias("items"))
-    return rows.select("volume", F.explode(F.aggregate("items", start, step, lambda a: a.out)).alias("e")).select("volume", "e.section", "e.start")
+    hint = hints.where(F.col(section).isNotNull()).select(F.col(volume).alias("volume"), F.col(section).cast("string").alias("section"), F.col(place).cast("bigint").alias("start"))
+    return hint.groupBy("volume", "section").agg(F.min("start").alias("start"))
