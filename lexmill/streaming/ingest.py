@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.functions.staging import shared_folder
+from lexmill.functions.staging import new_path
 
 
 def arriving(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,7 +20,7 @@ def arriving(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def drained(stream: DataFrame) -> DataFrame:
     """Runs a stream over all that is there now into the shared folder, with exactly-once output, and reads the result."""
     spark = stream.sparkSession
-    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    path = new_path(spark, "stream")
     query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
