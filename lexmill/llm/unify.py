@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.staging import staged
 
+from .expand import member_pairs
+
 # Letters of other scripts and the Latin letter each looks like.
 CYRILLIC_LOOKS = dict(zip("асԁеһіјӏорԛѕѵԝхуАВСЕНІЈКМОРЅТХҮ", "acdehijlopqsvwxyABCEHIJKMOPSTXY"))
 GREEK_LOOKS = dict(zip("ινορυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ivopuABEZHIKMNOPTYX"))
@@ -235,16 +237,32 @@ def unified(texts: DataFrame, id: str = "chunk_id", text: str = "text", keep_all
     return seen.where(F.size("asks") == 0).select("id", "raw", "form", "body").unionByName(done)
 
 
+def look_classes(texts: DataFrame, id: str = "chunk_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(members, links): (id, form, raw, cls) of each id whose text shares its look with a text stored otherwise, and pairs (a, b) of the classes of one
+    form that are stored differently, a < b. A class is one stored text (cls = raw). Null and blank texts are in none.
+
+    The repaired rows are staged once; what is shuffled afterwards are ids and hashes, never texts.
+    """
+    rows = staged(unified(texts, id, text, keep_all=False).select("id", "raw", "form").dropDuplicates(["id"]))
+    mixed = rows.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
+    members = staged(rows.join(mixed, "form", "left_semi").withColumn("cls", F.col("raw")))
+    classes = members.select("form", F.col("raw").alias("a")).distinct()
+    links = classes.join(classes.select("form", F.col("a").alias("b")), "form").where("a < b").select("a", "b")
+    return members, links
+
+
 def same_look(texts: DataFrame, id: str = "chunk_id", text: str = "text") -> DataFrame:
     """(id_a, id_b): pairs of ids whose texts differ as stored and are equal in one form; the smaller id first.
 
-    Works on classes: equal (form, raw) rows form a class; only classes of one form and different raw texts are paired, then expanded.
-    The shuffled rows are hashes and ids, never texts. Null and blank texts are in no pair.
+    Classes of different stored texts are paired, then expanded block by block, so a text that a third of all records share is in no single task.
     """
-    rows = unified(texts, id, text, keep_all=False).select("id", "raw", "form").dropDuplicates(["id"])
-    mixed = rows.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
-    rows = staged(rows.join(mixed, "form", "left_semi"))
-    classes = rows.select("form", "raw").distinct()
-    pairs = classes.join(classes.select("form", F.col("raw").alias("raw_b")), "form").where("raw < raw_b").drop("form")
-    pairs = pairs.join(rows.select("raw", F.col("id").alias("a")), "raw").join(rows.select(F.col("raw").alias("raw_b"), F.col("id").alias("b")), "raw_b")
-    return pairs.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+    members, links = look_classes(texts, id, text)
+    return member_pairs(members.select("id", "cls"), links, within=False)
+
+
+def look_groups(texts: DataFrame, id: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(id, form, raw, n_stored): each id of a look that is stored in several ways, with its look, its stored text (128-bit hashes) and the number of
+    different stored texts of that look; n_stored - 1 is the number of links of its class."""
+    members, _ = look_classes(texts, id, text)
+    stored = members.select("form", "raw").distinct().groupBy("form").agg(F.count("*").alias("n_stored"))
+    return members.select("id", "form", "raw").join(stored, "form").select("id", F.lower(F.hex("form")).alias("form"), F.lower(F.hex("raw")).alias("raw"), "n_stored")
