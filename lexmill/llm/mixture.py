@@ -14,6 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.staging import staged
+
+#: Documents of one key range, which one task sums up.
+IN_RANGE = 20_000
+
 
 def source_key(column: str) -> F.Column:
     return F.lower(F.regexp_replace(F.col(column), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
@@ -36,13 +41,16 @@ def available(sizes: DataFrame, plans: DataFrame, targets: DataFrame) -> DataFra
     return rows.withColumn("short", short).select("mix_name", "source", "key", "target_share", "max_repeats", "budget_tokens", "target_tokens", "tokens", "documents", "short")
 
 
-def mixed(sizes: DataFrame, plans: DataFrame, targets: DataFrame, buckets: int = 256) -> DataFrame:
-    """(mix_name, source, id, n_tokens, copies): the documents of each mix, copies >= 1."""
-    goal = available(sizes, plans, targets).where("tokens > 0")
+def mixed(sizes: DataFrame, plans: DataFrame, targets: DataFrame, buckets: int | None = None) -> DataFrame:
+    """(mix_name, source, id, n_tokens, copies): the documents of each mix, copies >= 1. buckets: key ranges of a source; unless given, so many that a
+    range of the largest source has about IN_RANGE documents."""
+    goal = staged(available(sizes, plans, targets).where("tokens > 0"))
+    if buckets is None:
+        buckets = max(16, -((goal.agg(F.max("documents")).first()[0] or 0) // -IN_RANGE))
     epochs = F.least(F.floor(F.col("target_tokens") / F.col("tokens")), F.col("max_repeats")).cast("bigint")
     goal = goal.withColumn("epochs", epochs).withColumn("rest", F.when(F.col("epochs") < F.col("max_repeats"), F.col("target_tokens") - F.col("epochs") * F.col("tokens")).otherwise(0.0))
     docs = sizes.select("id", "source", "n_tokens").where("n_tokens > 0").withColumn("key", source_key("source")).drop("source").join(goal.select("mix_name", "source", "key", "epochs", "rest"), "key")
-    docs = docs.withColumn("order", F.pmod(F.xxhash64("mix_name", "id"), F.lit(2**52))).withColumn("bucket", F.floor(F.col("order") / F.lit(2**52 / buckets)))
+    docs = docs.withColumn("order", F.pmod(F.xxhash64("mix_name", "id"), F.lit(2**52))).withColumn("bucket", F.floor(F.col("order") / F.lit(2**52 / buckets)).cast("bigint"))
     group = ["mix_name", "source"]
     sums = docs.groupBy(*group, "bucket").agg(F.sum("n_tokens").alias("sum"))
     before = F.coalesce(F.sum("sum").over(Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -53,9 +61,18 @@ def mixed(sizes: DataFrame, plans: DataFrame, targets: DataFrame, buckets: int =
 
 
 def report(sizes: DataFrame, plans: DataFrame, targets: DataFrame) -> DataFrame:
-    """The rows of `available` with what a mix really takes: actual_tokens, actual_documents, actual_share of the mix, budget_share of the budget."""
-    taken = mixed(sizes, plans, targets).groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("actual_tokens"), F.count("*").alias("actual_documents"))
-    rows = available(sizes, plans, targets).drop("key").join(taken, ["mix_name", "source"], "left")
-    rows = rows.withColumn("actual_tokens", F.coalesce("actual_tokens", F.lit(0))).withColumn("actual_documents", F.coalesce("actual_documents", F.lit(0)))
+    """The rows of `available` with what a mix really takes: actual_tokens, actual_documents, actual_share of the mix, budget_share of the budget.
+
+    spent: every document of the source is in the mix max_repeats times. short: spent, and the target is not reached all the same; a source without
+    any document is spent from the start.
+    """
+    full = F.count_if(F.col("copies") == F.col("max_repeats"))
+    taken = mixed(sizes, plans, targets).join(targets.select("mix_name", "source", "max_repeats"), ["mix_name", "source"]).groupBy("mix_name", "source")
+    taken = taken.agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("actual_tokens"), F.count("*").alias("actual_documents"), full.alias("full_documents"))
+    rows = available(sizes, plans, targets).drop("key", "short").join(taken, ["mix_name", "source"], "left")
+    for c in ("actual_tokens", "actual_documents", "full_documents"):
+        rows = rows.withColumn(c, F.coalesce(c, F.lit(0)))
+    rows = rows.withColumn("spent", F.col("full_documents") == F.col("documents")).drop("full_documents")
+    rows = rows.withColumn("short", F.col("spent") & (F.col("actual_tokens") < F.col("target_tokens")))
     whole = F.sum("actual_tokens").over(Window.partitionBy("mix_name"))
     return rows.withColumn("actual_share", F.try_divide(F.col("actual_tokens"), whole)).withColumn("budget_share", F.try_divide(F.col("actual_tokens"), F.col("budget_tokens")))
