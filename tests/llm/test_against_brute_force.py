@@ -46,7 +46,8 @@ def test_tail_is_close_to_the_exact_one():
 
 def test_null_keeps_both_margins():
     items, sizes = [(3, 4), (10, 2), (25, 1)], [(1, 20), (3, 9), (5, 2)]
-    x, y = together.fitted_null(items, sizes)
+    x, y, miss = together.fitted_null(items, sizes)
+    assert miss < 1e-5
     for (f, _), a in zip(items, x):
         assert sum(n * a * b / (1 + a * b) for (_, n), b in zip(sizes, y)) == pytest.approx(f, rel=1e-5)
 
