@@ -17,8 +17,8 @@ TAGS = ["herbs", "diseases", "doshas_mentioned"]
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = together.surprising_pairs(table(spark, folder, "all_chunks"), "chunk_id", TAGS, min_records=4, min_share=0.001)
-    return pairs.where("n_ab * n >= 2.1 * n_a * n_b").select("item_a", "item_b")
+    """The rows of p1_pairs in enough records and often enough above independence."""
+    return p1_pairs(spark, folder).where("n_ab >= 4 and n_ab >= 0.001 * n and n_ab * n >= 2.1 * n_a * n_b").select("item_a", "item_b")
 
 
 def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,7 +49,7 @@ def p2_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_grams(spark: SparkSession, folder: str) -> DataFrame:
     """Every run of neighbouring terms, of any length, with its counts."""
-    return _terms(spark, folder).select("field", "size", "term", "total", "records")
+    return _terms(spark, folder).select("field", "size", "terms", "total", "records")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,6 +67,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The records whose look is stored in several ways, with their class and the number of links of it."""
+    return unify.look_groups(table(spark, folder, "all_chunks")).withColumnRenamed("id", "chunk_id")
+
+
 def p4_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Every row of all_chunks in one form."""
     return unify.unified(table(spark, folder, "all_chunks")).select(F.col("id").alias("chunk_id"), F.col("body").alias("text"))
@@ -126,8 +131,8 @@ def _sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    held = mixture.available(_sizes(spark, folder), table(spark, folder, "mix_plans"), table(spark, folder, "mix_targets"))
-    return held.where("short").select("mix_name", "source")
+    """The targets that the mix does not reach though every document of the source is in it as often as it may be."""
+    return p8_shares(spark, folder).where("short").select("mix_name", "source")
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -176,7 +181,7 @@ ORACLE = {
     "p3_found": r"select distinct chunk_id from all_chunks where length(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))) - length(replace(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')), ' ', '')) >= 1024",
 }
 
-NAMES = """p1_found p1_pairs p1_counts p2_found p2_terms p2_grams p3_found p3_pieces p4_found p4_texts p5_found p5_groups p6_found p6_texts
+NAMES = """p1_found p1_pairs p1_counts p2_found p2_terms p2_grams p3_found p3_pieces p4_found p4_groups p4_texts p5_found p5_groups p6_found p6_texts
 p7_ids p7_round_trip p8_found p8_mix p8_shares p9_found p9_redacted"""
 
 

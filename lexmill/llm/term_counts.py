@@ -101,7 +101,8 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def gram_counts(records: DataFrame, id: str, fields: list[str]) -> DataFrame:
-    """(field, size, term, total, records): every n-gram of the array columns, of any length, over distinct ids. term: its terms, blank between."""
+    """(field, size, term, terms, total, records): every n-gram of the array columns, of any length, over distinct ids. (field, terms) is unique; term
+    is its terms with blanks between, which two n-grams may share where terms hold blanks."""
     stacked = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), terms_of(f).alias("terms")) for f in fields]))
     rows = records.dropDuplicates([id]).select(stacked.alias("s")).select("s.field", "s.terms").where(F.size("terms") > 0)
     suffixes = rows.mapInArrow(_suffixes, "field string, suffix string, dup int")
@@ -110,7 +111,7 @@ def gram_counts(records: DataFrame, id: str, fields: list[str]) -> DataFrame:
     order = equal.repartitionByRange("field", "suffix").sortWithinPartitions("field", "suffix")
     parts = order.mapInArrow(_intervals, "field string, size int, gram string, total bigint, duplicates bigint")
     whole = parts.groupBy("field", "size", "gram").agg(F.sum("total").alias("total"), (F.sum("total") - F.sum("duplicates")).alias("records"))
-    return whole.select("field", "size", F.translate("gram", SEPARATOR, " ").alias("term"), "total", "records")
+    return whole.select("field", "size", F.translate("gram", SEPARATOR, " ").alias("term"), F.split("gram", SEPARATOR).alias("terms"), "total", "records")
 
 
 def marked(counts: DataFrame, n: int, rare: int = 3, common: float = 0.15) -> DataFrame:
