@@ -196,8 +196,46 @@ def test_private_held_out(spark):
         ("Write to someone.else@mail.example for the full recipe.", {"email"}), ("Visit us at 12/3 Copper Street, Drumakere - 044 827.", {"address"}), ("The form showed MRN 20304766, checked at the desk.", {"id_number"}),
         ("Batch no. 0724671144 was discarded.", set()), ("Ask your Dr. before you begin.", set()), ("Lot 3191-2286 passed the taste test.", set()), ("Revised on 12/01/2014.", set()), ("Three drops @ dawn, two @ dusk.", set()),
     ]
-    pages = [field.page(t) for t, _ in cases]
-    for (text, want), page, labels in zip(cases, pages, private.labelled(pages, field)):
-        assert {k for _, _, k in private.stretches(text, page, labels)} == want, text
-    counts = Counter(k for t, p in ((t, field.page(t)) for t in docs[900:]) for _, _, k in private.stretches(t, p, private.labelled([p], field)[0]))
+    pages = field.pages([t for t, _ in cases])
+    labels = private.labelled(pages, field)
+    for k, (text, want) in enumerate(cases):
+        assert {kind for _, _, kind in private.stretches(text, pages, k, labels)} == want, text
+    rest = field.pages(docs[900:])
+    labels = private.labelled(rest, field)
+    counts = Counter(kind for k, t in enumerate(docs[900:]) for _, _, kind in private.stretches(t, rest, k, labels))
     assert sum(counts.values()) > 0
+
+
+def test_names_and_places_of_no_table(spark):
+    """Names and addresses whose parts are in neither the people table, the cue lists nor the documents. The measured shares are in the README."""
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text]
+    people = [r.full_name for r in spark.read.parquet("/root/testdata/sf0.01/clinic_people.parquet").collect()]
+    field = private.fitted(docs, people)
+    names = "John Smith,Zhang Wei,Priya Natarajan,Nguyen Thi Minh,Maria Gonzales,Anita Desai,Omar Haddad,Lucy Brown,Kofi Mensah,Ingrid Larsen,Pedro Alvarez,Meera Iyer".split(",")
+    places = "14 Elm Drive, Springfield 560001|221B Baker Crescent, London 560034|Flat 4, Rose Villa, Mysore 570001|No. 17, Hilltop Terrace, Pune 411001|9 Orchard Close, Bath 001223|Plot 88, Lotus Enclave, Kochi 682 001|36/2 Harbour View, Dover 004411".split("|")
+    around = ["Thanks to {} for the notes.", "Patient: {}, aged 44.", "my name is {} and I have a question", "Seen by {} on the second visit.", "The letter came from Dr. {} today.", "Referral: {}, MRN 51793135, seen before noon."]
+    where = ["Home address: {}", "Deliver to Mrs. Anita Desai, {}", "Please send the jar to {} before the rains."]
+    cases = [(a.format(n), n, "name") for n in names for a in around] + [(a.format(n), n, "address") for n in places for a in where]
+    pages = field.pages([t for t, _, _ in cases])
+    labels = private.labelled(pages, field)
+    hit = Counter()
+    for k, (text, stretch, kind) in enumerate(cases):
+        at = text.index(stretch)
+        hit[kind] += any(q == kind and a < at + len(stretch) and at < b for a, b, q in private.stretches(text, pages, k, labels))
+    shares = {kind: hit[kind] / sum(q == kind for _, _, q in cases) for kind in ("name", "address")}
+    print(shares)
+    assert min(shares.values()) >= 0.9, shares
+    plain = "The salve is kept in Mysore until Tuesday.|Batch no. 0724671144 was discarded.|Stir it for 12 minutes and rest.|See verse 14 of the second chapter.|Triphala is best when fresh."
+    pages = field.pages(plain.split("|"))
+    labels = private.labelled(pages, field)
+    found = [private.stretches(t, pages, k, labels) for k, t in enumerate(plain.split("|"))]
+    assert sum(map(bool, found)) <= 1, found
+
+
+def test_pair_weights_are_fitted(spark):
+    """A bare name takes its label over a skip edge from a titled one; the weights come from the fit."""
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text]
+    people = [r.full_name for r in spark.read.parquet("/root/testdata/sf0.01/clinic_people.parquet").collect()]
+    field = private.fitted(docs, people)
+    name = private.LABELS.index("name")
+    assert field.moves[name, name] > field.moves[name, 0] and field.skip[name, name] > field.skip[name, 0]
