@@ -1,16 +1,17 @@
 """Problem 5: records whose texts are nearly the same, found by order min-hashing and verified by banded alignment.
 
-Similarity of two texts: distinct sequences of SHINGLE consecutive words in both over those in either. Texts of equal words are one *class*;
-everything but the last expansion works on classes, so a group of copies of any size costs one row a copy.
+Similarity of two texts: distinct sequences of SHINGLE consecutive words in both over those in either. Texts of equal words are one *class* (a 128-bit
+hash of the words); everything but the last expansion works on classes, so a group of copies of any size costs one row a copy.
 
 1. *Sketch*: every k-mer of words is labelled with its occurrence number; for each of several hash functions the ORDER least k-mers are taken
    and put in the order in which they stand in the text; their hash is the sketch. Sketches agree with a probability that falls with edits
-   and with reordering. Texts of at most TINY words also get plain sketches of shingles, as few of their k-mers survive an edit.
-2. *Candidates*: classes that share AGREE sketches. A pair of similarity 0.73 shares about eleven of 32 and fails to share three once in 4,000 times
-   (0.65: once in 75); texts with a sentence of boilerplate in common hardly ever share three. Sketches of more than CROWD classes are not paired as
-   they are: their members meet again by pairs of sketches, so that a crowd makes no pair that does not agree three times.
-3. *Verification*: the longest common subsequence of the words within a band bounds the similarity from below; only pairs that the bound leaves
-   open have their shingles compared. Pairs with equal words are similar by definition, however short.
+   and with reordering. Texts that repeat themselves also get the sketches of their k-mers without repeats, so that they meet texts that say the same
+   once. Texts of at most TINY words also get plain sketches of shingles, as few of their k-mers survive an edit.
+2. *Candidates*: classes that share `agree` sketches (AGREE unless given; 1 takes every pair that shares any). Buckets of more than CROWD classes are
+   not paired as they are as long as they hold fewer than `agree` sketches: their members meet again in buckets of one sketch more, so that a crowd
+   makes only pairs that agree often enough, and those block by block. Keys so hot that a sample shows them never enter one task as a whole.
+3. *Verification*: a longest common subsequence of both texts' shingles within a band bounds the similarity from below: what is aligned is shared.
+   Only pairs that this leaves open (blocks of text moved, repeats) have their sets compared. Pairs with equal words are similar by definition.
 
 Null and blank texts, and texts without any word, are in no pair. Repeated ids count once.
 """
@@ -29,12 +30,19 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.staging import staged
 
+from .expand import member_pairs
+
 SHINGLE, KMER, ORDER, SKETCHES = 3, 5, 2, 32
-TINY, TINY_SKETCHES = 30, 20
+#: Of two similar texts (0.6) the shorter of which has at most 30 words the longer has fewer than 50, so both have the plain sketches.
+TINY, TINY_SKETCHES = 50, 20
 #: Sketches that a pair must share, and the most classes of a bucket whose pairs are made as they are.
 AGREE, CROWD = 3, 128
+#: Classes of which one in SHARE is looked at for hot keys; a key in HOT of those is hot (some 65,000 classes hold it).
+SHARE, HOT = 64, 1024
+#: Share of k-mers that are repeats from which a text is also sketched without them.
+REPEATS = 0.1
 
-#: The most classes (8 bytes each) that every task may be given.
+#: The most classes (24 bytes each) that every task may be given.
 FEW = 1_000_000
 
 _word = re.compile(r"[^\W_]+")
@@ -71,13 +79,14 @@ def _grams(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int) ->
     return _mix(_mix(h)), text, first
 
 
-def _labelled(h: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Hashes with the number of the occurrence within the text mixed in."""
+def _labelled(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes with the number of the occurrence within the text mixed in, which k-mers are repeats)."""
     key = h ^ _mix(text.astype(np.uint64) + np.uint64(1))
     ordered = np.sort(key)
     again = ordered[1:][ordered[1:] == ordered[:-1]]
+    repeat = np.zeros(len(h), bool)
     if not len(again):
-        return h
+        return h, repeat
     at = np.searchsorted(again, key)
     at[at == len(again)] = 0
     rows = np.flatnonzero(again[at] == key)  # the few k-mers that occur again in their text
@@ -86,7 +95,8 @@ def _labelled(h: np.ndarray, text: np.ndarray) -> np.ndarray:
     run = np.arange(len(rows)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(rows))))
     out = h.copy()
     out[rows] = np.where(run > 0, _mix(h[rows] + run.astype(np.uint64)), h[rows])
-    return out
+    repeat[rows] = run > 0
+    return out, repeat
 
 
 def _sketches(h: np.ndarray, text: np.ndarray, first: np.ndarray, odd: np.ndarray, order: int) -> np.ndarray:
@@ -121,11 +131,31 @@ class _Hashes(dict):
 
 
 def _lists(rows: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """Lists of n texts, of 32 bits a sketch; `rows` (each text up to twice) are the texts of the rows of `values`."""
     sizes = np.zeros(n + 1, np.int32)
-    sizes[rows + 1] = values.shape[1] if len(rows) else 0
+    np.add.at(sizes, rows + 1, values.shape[1])
+    values = values[np.argsort(rows, kind="stable")]
     return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array((values >> np.uint64(32)).astype(np.uint32).view(np.int32).ravel(), pa.int32()))
 
 
+def _text_sketches(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rows: np.ndarray, k: int, order: int, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, their sketches): those of labelled k-mers of all `rows`, then those without repeats of the rows that repeat themselves."""
+    if not len(rows):
+        return rows, np.zeros((0, len(odd)), np.uint64)
+    h, text, first = _grams(words, starts[rows], sizes[rows], k)
+    labelled, repeat = _labelled(h, text)
+    found = _sketches(labelled, text, first, odd, order)
+    n = np.bincount(text, minlength=len(rows))
+    again = np.bincount(text[repeat], minlength=len(rows))
+    more = (again > REPEATS * n) & (n - again >= order)
+    if not more.any():
+        return rows, found
+    keep = ~repeat & more[text]
+    once = np.cumsum(more) - 1
+    h, text = h[keep], once[text[keep]]
+    return np.concatenate([rows, rows[more]]), np.concatenate([found, _sketches(h, text, np.searchsorted(text, np.arange(text[-1] + 1)), odd, order)])
+
+
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of (id, body, ...) as batches of (id, cls, words, sketches, tiny)."""
     known = _Hashes()
@@ -137,44 +167,39 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             flat.extend(map(known.__getitem__, ws))
             sizes.append(len(ws)), ids.append(i), said.append(b" ".join(ws))
-            cls.append(xxhash.xxh3_64_intdigest(said[-1]) - 2**63)
+            cls.append(xxhash.xxh3_128_digest(said[-1]))
         if len(known) > 500_000:
             known.clear()
         words, sizes = np.frombuffer(flat, np.uint64) if flat else np.zeros(0, np.uint64), np.array(sizes, np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else sizes
         found = []
         for pick, k, order, odd in ((sizes >= KMER + ORDER - 1, KMER, ORDER, _odd[:SKETCHES]), ((sizes >= SHINGLE) & (sizes <= TINY), SHINGLE, 1, _odd[SKETCHES:])):
-            rows = np.flatnonzero(pick)
-            s = np.zeros((0, len(odd)), np.uint64)
-            if len(rows):
-                h, text, first = _grams(words, starts[rows], sizes[rows], k)
-                s = _sketches(_labelled(h, text), text, first, odd, order)
-            found.append(_lists(rows, s, len(ids)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(cls, pa.int64()), pa.array(said, pa.string()), *found], ["id", "cls", "words", "sketches", "tiny"])
+            found.append(_lists(*_text_sketches(words, starts, sizes, np.flatnonzero(pick), k, order, odd), len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(cls, pa.binary()), pa.array(said, pa.string()), *found], ["id", "cls", "words", "sketches", "tiny"])
 
 
 def sketch_schema(kind: str) -> str:
-    return f"id {kind}, cls bigint, words string, sketches array<int>, tiny array<int>"
+    return f"id {kind}, cls binary, words string, sketches array<int>, tiny array<int>"
 
 
 def sketched(texts: DataFrame, id: str = "id", body: str = "body") -> DataFrame:
-    """(id, cls, words, sketches, tiny): class, words (a string, blank between) and 32-bit sketches of each text with a word. cls is a 64-bit hash of the
+    """(id, cls, words, sketches, tiny): class, words (a string, blank between) and 32-bit sketches of each text with a word. cls is a 128-bit hash of the
     words."""
     return texts.select(id, body).mapInArrow(sketch, sketch_schema(texts.schema[id].dataType.simpleString()))
 
 
 def _buckets(classes: DataFrame) -> F.Column:
-    """The buckets of a class: the number of the hash function above the 32 bits of its sketch."""
+    """The buckets of a class, each once: the number of the hash function above the 32 bits of its sketch."""
 
-    def keys(name: str, base: int) -> F.Column:
-        return F.transform(name, lambda h, i: F.shiftleft((i + base).cast("bigint"), 32).bitwiseOR(h.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))))
+    def keys(name: str, base: int, functions: int) -> F.Column:
+        return F.transform(name, lambda h, i: F.shiftleft((i % functions + base).cast("bigint"), 32).bitwiseOR(h.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))))
 
-    return F.concat(keys("sketches", 0), keys("tiny", SKETCHES))
+    return F.array_distinct(F.concat(keys("sketches", 0, SKETCHES), keys("tiny", SKETCHES, TINY_SKETCHES)))
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, null) of the classes of each bucket of up to CROWD classes; the members of larger ones as (cls, null, key). A partition holds whole
-    buckets; it is sorted by bucket and paired at growing distances, all buckets at once."""
+    """Batches of (c, key): pairs (a, b, null) of the classes of each bucket of up to CROWD classes; the members of larger ones as (c, null, key). A
+    partition holds whole buckets; it is sorted by bucket and paired at growing distances, all buckets at once."""
     got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
     if not got:
         return
@@ -202,83 +227,125 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows(np.minimum(x, y), np.maximum(x, y), None)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): pairs of classes, a < b, that share AGREE sketches or more. classes: (cls, sketches, tiny), one row a class.
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of the classes of each bucket of (c, key), each pair of blocks of a large bucket by itself."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(8 * CROWD)).cast("int").alias("n"))
+    dealt = staged(rows.join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("c"), F.col("n")).cast("int")))
+    left = dealt.select("key", F.col("c").alias("a"), "i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    right = dealt.select("key", F.col("c").alias("b"), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return left.join(right, ["key", "i", "j"]).where("a < b").select("a", "b")
+
+
+def candidates(classes: DataFrame, agree: int = AGREE) -> DataFrame:
+    """(a, b): pairs of classes, a < b, that share `agree` sketches or more. classes: (c, sketches, tiny), staged, one row a class, c its number.
 
-    Sketches are shuffled once, 16 bytes each. In a crowd only pairs that agree three times are made: its members meet again in buckets of two of
-    their sketches, one of them crowded, and a pair that shares two such buckets shares three sketches.
+    Sketches are shuffled once, 16 bytes each. A bucket of level n holds the classes that share n given sketches. A pair that shares s sketches, some of
+    them crowded at level 1, shares at least s - 1 buckets of level 2 (one crowded sketch with each of the others), and so on; at level `agree` every
+    bucket is paired.
     """
-    rows = classes.select("cls", F.explode(_buckets(classes)).alias("key"))
-    found = staged(rows.repartition("key").mapInArrow(_paired, "a bigint, b bigint, key bigint"))
-    votes = found.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("v")).where(F.col("v") >= AGREE).select("a", "b")
-    crowded = found.where("b is null").select(F.col("a").alias("cls"), "key")
-    own = classes.join(crowded.select("cls").distinct(), "cls", "left_semi").select("cls", F.explode(_buckets(classes)).alias("other"))
-    twice = crowded.join(own, "cls").where("other <> key").select("cls", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct()
-    left, right = twice.select("key", F.col("cls").alias("a")), twice.select("key", F.col("cls").alias("b"))
-    again = left.join(right, "key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("v")).where(F.col("v") >= AGREE - 1).select("a", "b")
-    return votes.unionByName(again).distinct()
-
-
-def banded_common(a: list[str], b: list[str], band: int) -> int:
-    """Length of a common subsequence of two word lists found within a band around the diagonal: a bit-parallel alignment, one step a word of b."""
-    place: dict[str, int] = {}
+    own = classes.select("c", _buckets(classes).alias("keys"))
+    rows = own.select("c", F.explode("keys").alias("key"))
+    seen = own.where(F.pmod("c", F.lit(SHARE)) == 0).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    hot = staged(seen.where(F.col("n") >= HOT).select("key"), 1)
+    waiting = None
+    if not hot.isEmpty():
+        waiting = rows.join(hot, "key", "left_semi")
+        rows = rows.join(hot, "key", "left_anti")
+    pairs = None
+    for level in range(1, agree + 1):
+        found = staged(rows.repartition("key").mapInArrow(_paired, "a bigint, b bigint, key bigint"))
+        got = found.where("b is not null").select("a", "b")
+        if level < agree:
+            got = got.groupBy("a", "b").agg(F.count("*").alias("v")).where(F.col("v") >= agree - level + 1).select("a", "b")
+        crowded = found.where("b is null").select(F.col("a").alias("c"), "key")
+        crowded = crowded if waiting is None else crowded.unionByName(waiting)
+        waiting = None
+        pairs = got if pairs is None else pairs.unionByName(got)
+        if crowded.isEmpty():
+            break
+        if level == agree:
+            pairs = pairs.unionByName(_in_blocks(crowded))
+            break
+        # Each crowded bucket with every other sketch of its members; a set of sketches has one key, whichever of them was crowded first.
+        more = crowded.groupBy("c").agg(F.collect_set("key").alias("held")) if level == 1 else crowded.select("c", F.col("key").alias("base"))
+        wide = more.join(own, "c")
+        if level == 1:
+            both = wide.select("c", F.explode("held").alias("x"), "keys").select("c", "x", F.explode("keys").alias("y")).where("x <> y")
+            members = both.select("c", F.array_sort(F.array("x", "y")).alias("set"))
+            rows = staged(members.select("c", F.xxhash64("set").alias("key"), "set").dropDuplicates(["c", "key"]))
+            sets = rows
+        else:
+            held = sets.join(crowded, ["c", "key"]).join(own, "c").select("c", "set", F.explode("keys").alias("y")).where(~F.array_contains("set", F.col("y")))
+            rows = staged(held.select("c", F.array_sort(F.concat("set", F.array("y"))).alias("set")).select("c", F.xxhash64("set").alias("key"), "set").dropDuplicates(["c", "key"]))
+            sets = rows
+        rows = rows.select("c", "key")
+    return pairs.distinct()
+
+
+def banded_common(a: list, b: list, band: int) -> tuple[int, int, int]:
+    """(length of a common subsequence of two lists found within a band around the diagonal, distinct elements of a, elements of b that a holds): a
+    bit-parallel alignment, one step an element of b."""
+    place: dict = {}
     for i, w in enumerate(a):
         place[w] = place.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
-    v, tilt = full, len(a) / max(1, len(b))
+    v, tilt, hits = full, len(a) / max(1, len(b)), 0
     for j, w in enumerate(b):
         at = place.get(w)
         if at:
+            hits += 1
             low = max(0, int(j * tilt) - band)
             at = at >> low << low & ((1 << min(len(a), int(j * tilt) + band + 1)) - 1)
             u = v & at
             v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+    return len(a) - v.bit_count(), len(place), hits
 
 
 def similarity(a: list[str], b: list[str], least: float) -> float:
-    """The shingle similarity of two texts, or a lower bound of it that exceeds `least`."""
+    """The shingle similarity of two texts, or a lower bound of it that exceeds `least`, or 0 where an upper bound does not.
+
+    The alignment pairs equal shingles in order, so all it pairs are shared; of n pairs at most as many are repeats as a has repeated shingles.
+    """
     if a == b:
         return 1.0
-    sa = set(zip(*(a[i:] for i in range(SHINGLE))))
-    sb = set(zip(*(b[i:] for i in range(SHINGLE))))
-    if not sa or not sb or min(len(sa), len(sb)) <= least * max(len(sa), len(sb)):
+    sa, sb = (list(zip(*(x[i:] for i in range(SHINGLE)))) for x in (a, b))
+    if not sa or not sb:
+        return 0.0
+    common, distinct, hits = banded_common(sa, sb, 8 + abs(len(a) - len(b)) + len(a) // 8)
+    shared = common - (len(sa) - distinct)
+    if shared > 0 and shared / (distinct + len(sb) - shared) > least:
+        return shared / (distinct + len(sb) - shared)
+    if hits <= least * distinct:
         return 0.0
-    common = banded_common(a, b, 8 + abs(len(a) - len(b)) + len(a) // 8)
-    shared = len(sa) - SHINGLE * (len(a) - common)  # each word of a without a partner breaks SHINGLE sequences at most
-    if shared > 0 and shared / (len(sa) + len(sb) - shared) > least:
-        return shared / (len(sa) + len(sb) - shared)
+    sa, sb = set(sa), set(sb)
     both = len(sa & sb)
     return both / (len(sa) + len(sb) - both)
 
 
-def similar_classes(rows: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFrame]:
+def similar_classes(rows: DataFrame, least: float = 0.6, agree: int = AGREE) -> tuple[DataFrame, DataFrame]:
     """(members, links): (id, cls) once per id, and (a, b) of different classes with similarity above `least`, a < b. rows: as of `sketched`."""
     rows = staged(rows)
     members = rows.select("id", "cls").dropDuplicates(["id"])
-    classes = rows.select("cls", "sketches", "tiny").dropDuplicates(["cls"])
-    pairs = staged(candidates(classes))
-    wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+    classes = staged(rows.select("cls", "sketches", "tiny").dropDuplicates(["cls"]).withColumn("c", F.monotonically_increasing_id()))
+    pairs = staged(candidates(classes, agree))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    wanted = staged(classes.select("c", "cls").join(wanted, "c", "left_semi"))
     # Only the words of candidates are shuffled: the others are dropped where they are read, as long as the candidates are few enough to be told everywhere.
-    said = rows.select("cls", "words").join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "cls", "left_semi").dropDuplicates(["cls"])
-    both = pairs.join(said.select(F.col("cls").alias("a"), F.col("words").alias("wa")), "a").join(said.select(F.col("cls").alias("b"), F.col("words").alias("wb")), "b")
+    said = rows.select("cls", "words").join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "cls").select("c", "cls", "words").dropDuplicates(["c"])
+    both = pairs.join(said.toDF("a", "cls_a", "wa"), "a").join(said.toDF("b", "cls_b", "wb"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [i for i, (x, y) in enumerate(zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist())) if similarity(x.split(" "), y.split(" "), least) > least]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int32()))
 
-    return members, staged(both.select("a", "b", "wa", "wb").mapInArrow(verify, "a bigint, b bigint"))
+    return members, staged(both.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"), "wa", "wb").mapInArrow(verify, "a binary, b binary"))
 
 
-def similar_pairs(rows: DataFrame, least: float = 0.6) -> DataFrame:
+def similar_pairs(rows: DataFrame, least: float = 0.6, agree: int = AGREE) -> DataFrame:
     """(id_a, id_b), the smaller id first: every pair of ids with similarity above `least`, copies included. rows: as of `sketched`."""
-    members, links = similar_classes(rows, least)
-    members = staged(members)
-    a, b = members.select(F.col("id").alias("x"), F.col("cls").alias("a")), members.select(F.col("id").alias("y"), F.col("cls").alias("b"))
-    across = links.join(a, "a").join(b, "b").select("x", "y")
-    within = a.join(b.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y")
-    return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    members, links = similar_classes(rows, least, agree)
+    return member_pairs(staged(members), links)
 
 
 def groups(members: DataFrame, links: DataFrame) -> DataFrame:
