@@ -26,7 +26,6 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +55,7 @@ STREETS = "street st road rd lane layout cross avenue ave nagar colony towers bl
 _letters = re.compile(r"[^\W\d_]+")
 #: White space and a word (of any script, with its marks), a number or a sign; every character of a text but white space at its end is in one.
 _token = re.compile(r"\s*(?:[^\s\d_\x00-@\[-`{-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7\u2000-\u2bff\u3000-\u3004\u3008-\u3030।॥\ufe00-\ufe0f\uff00-\uff0f\uff1a-\uff20\U0001f000-\U0001faff]+|\d+|\S)")
+_street = re.compile(r"(?i)\b(?:" + "|".join(STREETS) + r")\b|o\.?\s*box")
 _near_digits = re.compile(r"\d+")
 _email = re.compile(r"(?i)[a-z0-9][a-z0-9._+-]*(?: ?@ ?|\s*[(\[]at[)\]]\s*)[a-z0-9-]+(?:(?:\.|\s*[(\[]dot[)\]]\s*)[a-z0-9-]+)*(?:\.|\s*[(\[]dot[)\]]\s*)[a-z]{2,}")
 _phone = re.compile(r"(?<![\w/.-])(?:\+|00)?\(?\d[\d ()./-]{5,18}\d(?: ?(?:ext|x)\.? ?\d{1,5})?(?![\w/])")
@@ -68,15 +68,28 @@ _address = re.compile(
 )
 
 
-@lru_cache(65536)
-def _one(ch: str) -> str:
-    plain = ud.normalize("NFKC", ch)
-    return plain if len(plain) == 1 else ch
+class _Plain(dict):
+    """The plain character of each code point, found once."""
+
+    def __missing__(self, point: int) -> int:
+        plain = ud.normalize("NFKC", chr(point))
+        self[point] = got = ord(plain) if len(plain) == 1 else point
+        return got
+
+
+_plain = _Plain({c: c for c in range(128)})
 
 
 def folded(text: str) -> str:
     """The text with full-width and similar characters made plain, one for one."""
-    return text if text.isascii() else "".join(c if c < "\x80" else _one(c) for c in text)
+    return text if text.isascii() else text.translate(_plain)
+
+
+def _may_hold_email(text: str) -> bool:
+    if "@" in text:
+        return True
+    low = text.lower() if "(" in text or "[" in text else ""
+    return "at)" in low or "at]" in low
 
 
 def phones(text: str) -> list[tuple[int, int]]:
@@ -257,11 +270,11 @@ class Field:
 def formats(t: str) -> list[list[tuple[int, int]]]:
     """Stretches of a folded text in each of FORMATS. All but the first hold digits, so they are sought around digits only."""
     out: list[list[tuple[int, int]]] = [[] for _ in FORMATS]
-    if "@" in t or "(" in t or "[" in t:
+    if _may_hold_email(t):
         out[0] = [m.span() for m in _email.finditer(t)]
     windows: list[list[int]] = []
     for m in _near_digits.finditer(t):
-        a, b = max(0, m.start() - 60), min(len(t), m.end() + 120)
+        a, b = max(0, m.start() - 40), min(len(t), m.end() + 90)
         if windows and a <= windows[-1][1]:
             windows[-1][1] = b
         else:
@@ -273,7 +286,8 @@ def formats(t: str) -> list[list[tuple[int, int]]]:
                 b += 1
             out[2] += [m.span() for m in _id.finditer(t, a, b)]
             out[3] += [m.span(1) for m in _cued.finditer(t, a, b)]
-            out[4] += [m.span() for m in _address.finditer(t, a, b)]
+            if _street.search(t, a, b):
+                out[4] += [m.span() for m in _address.finditer(t, a, b)]
     return out
 
 
@@ -364,13 +378,18 @@ def titled(words: list[str], bits: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
-def count_cases(text: str, small: Counter[str], capital: Counter[str]) -> None:
-    """Adds a text's words to the counts of each case. E-mail addresses say nothing of a word's case."""
+def words_by_case(text: str) -> list[str]:
+    """A text's words as they stand. E-mail addresses say nothing of a word's case."""
     t = folded(text)
-    if "@" in t or "(" in t or "[" in t:
-        t = _email.sub(" ", t)
-    for w in _letters.findall(t):
-        (capital if w[0].isupper() else small)[w.lower()] += 1
+    return _letters.findall(_email.sub(" ", t) if _may_hold_email(t) else t)
+
+
+def by_case(words: Counter[str]) -> tuple[Counter[str], Counter[str]]:
+    """Counts of words in small letters and of capitalised ones, from counts of words as they stand."""
+    small, capital = Counter(), Counter()
+    for w, n in words.items():
+        (capital if w[0].isupper() else small)[w.lower()] += n
+    return small, capital
 
 
 def is_common(small, capital):
@@ -382,18 +401,19 @@ def common_words(documents: DataFrame, text: str) -> DataFrame:
     """(word): the common words of all documents, counted in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small, capital = Counter(), Counter()
+        raw: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
+            small, capital = by_case(raw)
+            raw.clear()
             words = list(small.keys() | capital.keys())
             got = [pa.array(words, pa.string()), pa.array([small[w] for w in words], pa.int64()), pa.array([capital[w] for w in words], pa.int64())]
-            small.clear(), capital.clear()
             return pa.RecordBatch.from_arrays(got, ["word", "small", "capital"])
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                count_cases(t or "", small, capital)
-                if len(small) + len(capital) > 200_000:
+                raw.update(words_by_case(t or ""))
+                if len(raw) > 200_000:
                     yield flush()
         yield flush()
 
@@ -407,9 +427,7 @@ def fitted(sample: list[str], people: list[str], rounds: int = 6, common: frozen
     common: the common words of the corpus that hold the sample; where none are given, the sample is the corpus.
     """
     if common is None:
-        small, capital = Counter(), Counter()
-        for t in sample:
-            count_cases(t, small, capital)
+        small, capital = by_case(Counter(w for t in sample for w in words_by_case(t)))
         common = frozenset(w for w, n in small.items() if is_common(n, capital[w]))
     parts = {w.lower() for p in people for w in _letters.findall(folded(p)) if len(w) > 2}
     field = Field(known_words(common, parts))
@@ -482,16 +500,16 @@ def made_over(tokens: list[str], labels: list[int], dice: random.Random) -> tupl
     return out, marks
 
 
-def _widened(hot: np.ndarray) -> np.ndarray:
-    """Which tokens are at most AROUND from a hot one."""
-    return np.convolve(hot, np.ones(2 * AROUND + 1))[AROUND : AROUND + len(hot)] > 0.5
+def _widened(hot: np.ndarray, far: int = AROUND) -> np.ndarray:
+    """Which tokens are at most `far` from a hot one."""
+    return np.convolve(hot, np.ones(2 * far + 1))[far : far + len(hot)] > 0.5
 
 
 def fit_weights(field: Field, pages: Pages, y: np.ndarray, rounds: int) -> None:
     """Node, transition and skip weights by pseudo-likelihood. y: a label for each token of pages, -1 for tokens outside the fit."""
     n, dice = len(LABELS), np.random.default_rng(5)
     hot = (y > 0) | (pages.bits & (TITLE | NUMBER) != 0) | (pages.bits & CAPITAL != 0) & (pages.bits & COMMON == 0)
-    hot = _widened(hot)
+    hot = _widened(hot, 3)
     keep = np.flatnonzero((y >= 0) & (hot | (dice.random(len(y)) < 0.1)))
     # Features that the sample shows once teach nothing; the others are numbered, 0 standing for the rest.
     own, where, times = np.unique(np.concatenate([pages.x[keep], pages.hidden[keep]]).ravel(), return_inverse=True, return_counts=True)
