@@ -10,7 +10,7 @@ its edges. The sample of at most SAMPLE documents (those of the least hashes) is
 addresses; for names the table of known people and titles; of the other uncommon capitalised words only those that the sample shows LEAST times, and never
 beside a title or a known person, are no names, the rest are left out of the fit. What the labels are taken from (format, known person, spelling) is hidden from a random half of the tokens in each round,
 so that the words around must carry the rest, and a name that is in no table can be found by them. For the same reason every text of the sample that
-names someone or some place is shown a second time with other names of letters by chance (`made_over`). Which words are common is no matter of the fit: words
+names someone or some place is shown again with other names of letters by chance (`made_over`). Which words are common is no matter of the fit: words
 are counted by case over all documents. The corpus itself is never gathered. A found stretch must finally pass a check of form: digits of a phone, a
 house number of an address and so on.
 
@@ -446,7 +446,7 @@ def fitted(sample: list[str], people: list[str], rounds: int = 6, common: frozen
     no_names = {w for w, n in seen.items() if n >= LEAST and w not in names and w not in parts}
     marks = [far_labels(t, pages, k, parts, no_names) for k, t in enumerate(sample)]
     dice = random.Random(11)
-    more = [made_over([*pages.tokens[pages.at[k] : pages.at[k] + pages.sizes[k]]], m.tolist(), dice) for k, m in enumerate(marks) if (m >= 4).any()]
+    more = [made_over([*pages.tokens[pages.at[k] : pages.at[k] + pages.sizes[k]]], m.tolist(), dice) for k, m in enumerate(marks) for _ in range(int((m >= 4).any()) + int((m == 4).any()))]
     field.heard, field.lexicon = frozenset(no_names), None
     texts, marks = [*sample, *("".join(t) for t, _ in more)], [*marks, *(np.array(m) for _, m in more)]
     pages = field.pages(texts, hidden=True)
@@ -509,7 +509,7 @@ def fit_weights(field: Field, pages: Pages, y: np.ndarray, rounds: int) -> None:
     """Node, transition and skip weights by pseudo-likelihood. y: a label for each token of pages, -1 for tokens outside the fit."""
     n, dice = len(LABELS), np.random.default_rng(5)
     hot = (y > 0) | (pages.bits & (TITLE | NUMBER) != 0) | (pages.bits & CAPITAL != 0) & (pages.bits & COMMON == 0)
-    hot = _widened(hot, 3)
+    hot = _widened(hot)
     keep = np.flatnonzero((y >= 0) & (hot | (dice.random(len(y)) < 0.1)))
     # Features that the sample shows once teach nothing; the others are numbered, 0 standing for the rest.
     own, where, times = np.unique(np.concatenate([pages.x[keep], pages.hidden[keep]]).ravel(), return_inverse=True, return_counts=True)

@@ -208,8 +208,8 @@ def test_private_held_out(spark):
 
 def test_names_and_places_of_no_table(spark):
     """Names and addresses whose parts are in neither the people table, the cue lists nor the documents. The measured shares are in the README."""
-    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text]
-    people = [r.full_name for r in spark.read.parquet("/root/testdata/sf0.01/clinic_people.parquet").collect()]
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect() if r.text][: private.SAMPLE]
+    people = [r.full_name for r in spark.read.parquet("/root/testdata/sf0.1/clinic_people.parquet").collect()]
     field = private.fitted(docs, people)
     names = "John Smith,Zhang Wei,Priya Natarajan,Nguyen Thi Minh,Maria Gonzales,Anita Desai,Omar Haddad,Lucy Brown,Kofi Mensah,Ingrid Larsen,Pedro Alvarez,Meera Iyer".split(",")
     places = "14 Elm Drive, Springfield 560001|221B Baker Crescent, London 560034|Flat 4, Rose Villa, Mysore 570001|No. 17, Hilltop Terrace, Pune 411001|9 Orchard Close, Bath 001223|Plot 88, Lotus Enclave, Kochi 682 001|36/2 Harbour View, Dover 004411".split("|")
