@@ -2,15 +2,18 @@
 
 Three passes over the corpus, none of which shuffles texts:
 
-1. *Structure* (`structured`): a logistic classifier of lines, seen with their neighbours, takes running heads and page numbers out;
-   heads inside reflowed lines are cut out; words broken by `-` or `¬` before white space are closed, with a mark where they were broken.
-   The result is staged once.
+1. *Structure* (`structured`): logistic classifiers of lines, seen with their neighbours, take running heads and page numbers out and tell where a line
+   goes on in the next one; heads inside reflowed lines are cut out; words broken by `-` or `¬` before white space are closed, with a mark where they
+   were broken. The result is staged once.
 2. *Words* (`corrections`): all distinct tokens are counted. Frequent words are retrieved for each rarer token through an inverted join on
    padded character bigrams, and gradient-boosted trees rank them; a token whose best word scores above 0 is a misreading. Broken words
    are tested against compounds written with a hyphen elsewhere.
-3. *Repair* (`repaired`): tokens are replaced, stray marks dropped, wrapped lines of a paragraph joined.
+3. *Repair* (`repaired`): tokens are replaced, stray marks dropped, lines that go on in the next one joined.
 
-Both models are fitted on bounded samples: `SAMPLE` texts for the lines and `TRUE_WORDS` words, artificially misread, for the words.
+The models are fitted on bounded samples: `SAMPLE` texts for the lines and `TRUE_WORDS` words, artificially misread, for the words. What they learn from is
+certain by other evidence than what they look at. *Furniture*: a pattern of line (numerals made alike) that stands between different neighbours in three
+texts or more and cuts sentences in two; patterns that do the one but not the other are none. *Joins*: texts that came without the page's lines (they
+hold a line longer than any page's) are broken again at a chance width, so that every break is known to be one of the page or one of the text.
 Null texts stay null, empty and blank ones pass as they are. Look-alike and invisible characters (problem 4) are read as the plain ones first.
 Ids may repeat; every row is treated alike. Verse numbers, numbered lines, capitals and hyphenated compounds stay.
 """
@@ -20,7 +23,7 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -38,8 +41,10 @@ from .unify import looks_latin
 SAMPLE, TRUE_WORDS = 1500, 1500
 #: A table of replacements of at most so many rows (about 10 MB) is given to every task; a larger one is joined.
 SMALL = 200_000
-#: A word counts as a correction only if it is so many times as frequent as the token.
-RATIO = 6
+#: A word counts as a correction only if it is so many times as frequent as the token, at most FAR letters longer or shorter, and shares LIKE of its bigrams.
+RATIO, FAR, LIKE = 6, 2, 0.4
+#: A word is taken for true from TRUE occurrences on. SALTS: parts of each bigram's tokens.
+TRUE, SALTS = 8, 8
 
 # What a letter is misread as.
 MISREAD = [
@@ -53,13 +58,11 @@ EDGE = ".,;:?!\"'()[]।॥“”‘’"
 BROKEN = "\u00ad"  # stands where a word was broken; the character layer has removed it from every text
 
 _break = re.compile(r"(?<=[\w@|‡†§¶•^~\\*])(?<!\d)(?:[-¬]| [-¬](?=[ \t]*\n))[ \t]*(?:\n[ \t]*)*(?<=\s)(?=[^\W\d_A-Z])")
-_marked_line = re.compile(r"[\d\[|]|[A-Z].*?[A-Z]")
 _page = re.compile(r"(?i)(?:[\[(|•–-]\s*)?(?:p(?:age|g|p)?\.?\s*)?(?=[\dOIl]*\d|[ivxlc]+\b)([\dOIl]{1,4}|[ivxlc]{1,9})\s*[\])|.–-]?")
 _chapter = re.compile(r"(?i)(?:\[\s*\S{1,5}|\bch\S{0,6}|\S?hap\S{0,4})\.?\s+[ivxlc1|]+\b")
 _chap_token = re.compile(r"(?i)\[.{1,5}|\W?\wh\w?p\.?|\W?c\wap\.?|\W?c?.?hap\w*\.?|\[?ch\.")
 _fused = re.compile(r"(?i)[\[(]?\S?hap\w{0,4}\W?[ivxlc1|]+[.,]?\]?")
 _roman = re.compile(r"[IVXLCivxlc1|]+[.,]?\]?")
-_caps = re.compile(r"[A-Z][A-Z][A-Z]")
 _two_caps = re.compile(r"[A-Z].?[A-Z]")
 _letters = re.compile(r"[^\W\d_]+")
 _marks = re.compile(r"^\s*(?:\d{1,3}[.)]\s|[-*•]\s|\(?[a-z]\)\s)")
@@ -93,18 +96,31 @@ def title_share(words: list[str], title: tuple[str, ...]) -> float:
     return found
 
 
-def line_features(line: str, before: str, after: str, title: tuple[str, ...], usual: int) -> list[float]:
-    words = _letters.findall(line)
+#: Lines of more than WIDE characters are of no page; a pattern of lines counts from SEEN texts with different neighbours on.
+WIDE, SEEN = 120, 3
+_numerals = re.compile(r"\b[\dIVXLCivxlcOl|]+\b")
+_stop = ".?!\"।॥"
+
+
+def _parts(line: str) -> list[str]:
+    """The words of a line in small letters, without what no letter is; a misread letter does not cut a word in two."""
+    return [w for t in line.split() if (w := "".join(_letters.findall(t)).lower())]
+
+
+def line_features(line: str, before: str, after: str, title: float, usual: int) -> list[float]:
+    """title: the share of a book's title found on the line. What stands for a whole head counts by the share of the line that it takes."""
+    words = _parts(line)
     caps = sum(c.isupper() for c in line)
-    low = [w.lower() for w in words] if len(words) <= 9 else []
+    chapter = _chapter.search(line)
+    book, part = title * min(1.0, 6 / max(len(words), 1)) if caps else 0.0, min(1.0, 2.5 * len(chapter[0]) / len(line)) if chapter else 0.0
     return [
-        title_share(low, title) if low and caps else 0.0,
-        float(bool(len(words) <= 9 and _chapter.search(line))),
+        max(book, part),
+        float(max(book, part) >= 0.75),
         float(bool(_page.fullmatch(line))),
         min(len(words), 12) / 12,
         caps / max(1, sum(c.isalpha() for c in line)),
         min(len(line) / max(usual, 1), 2.0),
-        float(bool(before) and before[-1] not in ".?!\"।॥"),
+        float(bool(before) and before[-1] not in _stop),
         float(after[:1].islower()),
         float(any(c.isdigit() for c in line)),
     ]
@@ -116,60 +132,208 @@ def _neighbours(lines: list[str]) -> Iterator[tuple[int, str, str, str]]:
         yield i, s, full[k - 1][1] if k else "", full[k + 1][1] if k + 1 < len(full) else ""
 
 
+def certain_lines(sample: list[tuple[str | None, str]]) -> dict[str, bool]:
+    """Patterns of lines, numerals made alike, that are furniture (true) or text (false) by where they stand; others are uncertain."""
+    around: dict[str, set[tuple[str, str]]] = {}
+    cuts: Counter[str] = Counter()
+    for _, text in sample:
+        for _, s, before, after in _neighbours(text.split("\n")):
+            pattern = _numerals.sub("#", s)
+            around.setdefault(pattern, set()).add((before, after))
+            cuts[pattern] += bool(before) and before[-1] not in _stop and before[-1] != "-" and after[:1].islower() and s[-1] not in _stop[:4]
+    out = {}
+    for pattern, places in around.items():
+        befores, afters = ({p[k] for p in places} for k in (0, 1))
+        if min(len(befores), len(afters)) >= SEEN and cuts[pattern] >= 0.2 * len(places):
+            out[pattern] = True
+        elif not cuts[pattern] and (len(places) >= SEEN or len(_letters.findall(pattern)) > 5):
+            out[pattern] = False
+    return out
+
+
+def join_features(before: str, after: str, gap: int, least: int, usual: int, even: float) -> list[float]:
+    """What tells whether a line goes on in the next one. gap: blank lines between; least: the fewest between any two lines of the text; usual: the length
+    of its lines; even: the share of its lines that are about as long, as lines of a page are."""
+    full = min((len(before) + 1 + len(after.split(" ", 1)[0])) / max(usual, 1), 1.5)  # with the word that the page had no room for
+    return [
+        float(before[-1] in ".?!\""),
+        float(before[-1] in "।॥"),
+        float(before[-1] in ",;:"),
+        float(before[-1] in "-¬"),
+        float(bool(_marks.match(after))),
+        float(after[:1].islower()),
+        float(after[:1].isdigit()),
+        float(gap > least),
+        float(gap > least and before[-1] in _stop),
+        full,
+        even,
+        full * even,
+        float(full >= 0.95),
+    ]
+
+
+#: Pairs of lines that keep the fit defined on corpora without any certain break.
+_SURE_JOINS = [
+    (("the root of this", "leaf is warm"), 0, 1), (("the root is warm.", "The leaf of this"), 0, 1), (("the root of this", "leaf is warm"), 1, 1), (("the root is warm.", "2. The leaf"), 0, 0),
+    (("the root of this leaf ॥ 2 ॥", "The root"), 0, 0), (("the root is warm.", "The leaf"), 1, 0), (("the root,", "Vata and its"), 0, 1), (("of this", "1. The leaf"), 0, 0), (("to the root", "- the leaf"), 0, 0),
+    (("is called Vata-", "Kapha by all"), 0, 1), (("our sun-", "dried leaf"), 0, 1),
+]
+
+
+def _gaps(lines: list[str]) -> list[tuple[str, str, int]]:
+    """(line, next line, blank lines between) of the full lines of a text."""
+    full = [(i, s) for i, line in enumerate(lines) if (s := line.strip())]
+    return [(a, b, j - i - 1) for (i, a), (j, b) in zip(full, full[1:])]
+
+
+def _usual(lines: list[str]) -> int:
+    full = sorted(len(s) for s in lines if s.strip())
+    return full[len(full) // 2] if full else 1
+
+
+def _even(lines: list[str], usual: int) -> float:
+    full = [len(s) for s in lines if s.strip()]
+    return sum(abs(n - usual) <= 0.15 * usual for n in full) / max(1, len(full))
+
+
+def fitted_lines_that_go_on(texts: list[str]) -> Logistic:
+    """The classifier of neighbouring lines, from texts without the page's lines that are broken again."""
+    dice, x, y = random.Random(13), [], []
+    for (a, b), gap, goes_on in _SURE_JOINS:
+        for even in (0.9, 0.3) if a[-1] == "-" else (0.9,):
+            x.append(join_features(a, b, gap, gap if goes_on else 0, 18, even)), y.append(float(goes_on))
+
+    def learn(rows: list[tuple[str, bool | None]]) -> None:
+        """rows: lines with whether the line before goes on in them, None for blank ones."""
+        lines = [r for r, _ in rows]
+        usual = _usual(lines)
+        even, known = _even(lines, usual), [v for r, v in rows if r]
+        pairs = list(zip(_gaps(lines), known[1:]))
+        least = min((g for (_, _, g), _ in pairs), default=0)
+        for (a, b, g), goes_on in pairs:
+            if goes_on or a[-1] not in "-¬":  # a compound may have kept a break of the page
+                x.append(join_features(a, b, g, least, usual, even)), y.append(float(goes_on))
+
+    for text in texts:
+        lines = [line.strip() for line in text.split("\n")]
+        if max(map(len, lines)) <= WIDE:
+            continue
+        learn([(line, False if line else None) for line in lines])
+        width, blank, apart, broken = dice.randrange(38, 78), dice.random() < 0.3, dice.random() < 0.5, []
+        for line in lines:
+            if not line:
+                broken.append(("", None))
+                continue
+            rows, row = [], ""
+            for w in line.split():
+                if row and len(row) + 1 + len(w) > width - dice.randrange(6):
+                    rows.append(row)
+                    row = w
+                else:
+                    row = f"{row} {w}".strip()
+            for k, r in enumerate([*rows, row]):
+                broken.append((r, k > 0))
+                broken += [("", None)] * blank
+            broken += [("", None)] * apart
+        learn(broken)
+    return Logistic().fit(np.array(x), np.array(y), ridge=0.2)
+
+
+@lru_cache(1)
+def _plain_joins() -> Logistic:
+    return fitted_lines_that_go_on([])
+
+
+class _Heads(dict):
+    """Whether a token may be part of a title: (as it stands, in capitals). Every distinct token is looked at once."""
+
+    def __init__(self, titles: frozenset[tuple[str, ...]]) -> None:
+        super().__init__()
+        self.titles, self.words = titles, {w for t in titles for w in t}
+
+    def __missing__(self, token: str) -> tuple[bool, bool]:
+        w = "".join(_letters.findall(token)).lower()
+        found = len(w) > 2 and (any(near(w, t) for t in self.words) or len(w) > 8 and any(title_share([w], t) == 1 for t in self.titles))
+        self[token] = got = (found, found and _in_capitals(token))
+        if len(self) > 500_000:
+            self.clear()
+        return got
+
+
+def _in_capitals(token: str) -> bool:
+    return bool(len(token) > 3 and _two_caps.search(token) and sum(c.isupper() for c in token) >= 0.6 * sum(c.isalpha() for c in token) and not _roman.fullmatch(token))
+
+
 @dataclass
 class Lines:
-    """The classifier of lines, fitted on at most SAMPLE texts, with the titles of all books."""
+    """The classifiers of lines, fitted on at most SAMPLE texts, with the titles of all books."""
 
     model: Logistic
     titles: frozenset[tuple[str, ...]]
+    joins: Logistic
+    heads: _Heads | None = None
 
     @classmethod
     def fitted(cls, sample: list[tuple[str | None, str | None]], sources: Iterable[str | None] = ()) -> Lines:
-        """sample: (source, text). Sure heads and page numbers are positive, lines of many words in small letters negative; the model weighs the rest.
-
-        sources: those of all texts, of which the sample may hold but some.
-        """
+        """sample: (source, text). sources: those of all texts, of which the sample may hold but some."""
         titles = frozenset(t for s in [*sources, *(s for s, _ in sample)] if (t := title_of(s)))
+        plain = [(source, looks_latin(text) or "") for source, text in sample]
+        certain = certain_lines(plain)
         x, y = [], []
-        for source, text in sample:
-            lines = (looks_latin(text) or "").split("\n")
-            usual = sorted(len(s) for s in lines)[len(lines) // 2]
+        for source, text in plain:
+            lines = text.split("\n")
+            usual = _usual(lines)
             for _, s, before, after in _neighbours(lines):
-                f = line_features(s, before, after, title_of(source), usual)
-                sure = f[0] == 1 and f[3] < 0.6 or f[2] == 1 and any(c.isdigit() for c in s)
-                if sure or f[3] >= 0.5 and f[4] < 0.2 or f[0] == 0 and f[2] == 0:
-                    x.append(f), y.append(float(sure))
+                sure = certain.get(_numerals.sub("#", s))
+                if sure is not None:
+                    share = title_share(_parts(s), title_of(source))
+                    x.append(line_features(s, before, after, share, usual)), y.append(float(sure))
         # Weak copies of sure cases keep the fit defined on corpora without any furniture.
-        x += [[1, 0, 0, 0.25, 1, 0.5, 1, 1, 0], [0, 0, 1, 0, 0, 0.1, 1, 1, 1], [0, 0, 1, 0.08, 0, 0.1, 1, 1, 0], [1, 1, 0, 0.4, 0.9, 0.6, 1, 1, 0], [0, 0, 0, 1, 0.02, 1, 1, 1, 0]]
-        y += [1, 1, 1, 1, 0]
-        return cls(Logistic().fit(np.array(x), np.array(y), ridge=0.5), titles)
+        x += [[1, 1, 0, 0.25, 1, 0.5, 1, 1, 0], [0, 0, 1, 0, 0, 0.1, 1, 1, 1], [0, 0, 1, 0.08, 0, 0.1, 1, 1, 0], [1, 1, 0, 0.4, 0.9, 0.6, 1, 1, 0], [0, 0, 0, 1, 0.02, 1, 1, 1, 0], [1, 1, 0, 0.25, 1, 0.5, 0, 0, 0], [0, 0, 1, 0, 0, 0.1, 0, 0, 1], [0, 0, 0, 0.25, 0.1, 0.6, 1, 0, 0], [0, 0, 0, 0.5, 0.05, 1, 0, 1, 0], [0, 0, 0, 0.4, 1, 0.9, 1, 1, 1]]
+        y += [1, 1, 1, 1, 0, 1, 1, 0, 0, 0]
+        return cls(Logistic().fit(np.array(x), np.array(y), ridge=0.2), titles, fitted_lines_that_go_on([t for _, t in plain]))
+
+    def _at_best(self) -> float:
+        """The greatest score of a line without any part of a title, chapter or page number."""
+        w = self.model.weights
+        top = [0, 0, 0, 1, 1, 2, 1, 1, 1]
+        return float(w[0] + sum(max(0.0, v) * t for v, t in zip(w[1:], top)))
+
+    def may_be(self, line: str) -> bool:
+        """False only for lines that cannot be furniture, whatever stands around them."""
+        return any(self.heads[w][0] for w in line.split()) or bool(_chapter.search(line)) or bool(_page.fullmatch(line)) or self._open
+
+    def ready(self) -> Lines:
+        if self.heads is None:
+            self.heads, self._open = _Heads(self.titles), self._at_best() > 0
+        return self
 
     def kinds(self, line: str, before: str, after: str, title: tuple[str, ...], usual: int) -> tuple[str, ...]:
         """What kind of furniture a line is; empty for lines of text."""
-        if len(line) > 70 or len(line) > 12 and not _marked_line.search(line):
+        self.ready()
+        if not self.may_be(line):
             return ()
-        words = _letters.findall(line)
-        if len(words) > 9:
-            return ()
-        f = line_features(line, before, after, title, usual)
-        if f[0] < 1 and f[4] > 0.1 and len(words) >= 2:
-            f[0] = max([f[0], *(title_share([w.lower() for w in words], t) for t in self.titles)])
+        low = _parts(line)
+        share = title_share(low, title)
+        if share < 1 and len(low) >= 2 and sum(c.isupper() for c in line) > 0.1 * sum(c.isalpha() for c in line):
+            share = max([share, *(title_share(low, t) for t in self.titles)])
+        f = line_features(line, before, after, share, usual)
         if self.model.score(np.array([f]))[0] <= 0:
             return ()
-        if f[0] >= 0.5 or f[1]:
+        if f[0] >= 0.5:
             rest = _chapter.sub(" ", line)
             return ("header", "page_no") if re.search(r"(?:^|\s)\d{1,4}(?:\s|[.\])|]|$)", rest) else ("header",)
         return ("page_no",)
 
 
-def _heads_inside(line: str, titles: list[tuple[str, ...]]) -> list[tuple[int, int]]:
+def _heads_inside(line: str, titles: list[tuple[str, ...]], heads: _Heads) -> list[tuple[int, int]]:
     """Spans of running heads within a longer line: title words in capitals with a chapter before or after."""
     tokens = [(m[0], m.start(), m.end()) for m in re.finditer(r"\S+", line)]
-    caps = [bool(len(w) > 3 and _two_caps.search(w) and sum(c.isupper() for c in w) >= 0.6 * sum(c.isalpha() for c in w) and any(c.isupper() for c in w) and not _roman.fullmatch(w)) for w, _, _ in tokens]
+    caps = [_in_capitals(w) for w, _, _ in tokens]
     spans, k = [], 0
     while k < len(tokens):
         n = 0
-        if caps[k]:
+        if caps[k] and heads[tokens[k][0]][0]:
             run = 1
             while k + run < len(tokens) and caps[k + run] and run < 4:
                 run += 1
@@ -200,24 +364,26 @@ def structure(text: str | None, source: str | None, lines_model: Lines) -> tuple
         return text, set()
     kinds: set[str] = set()
     title = title_of(source)
+    heads = lines_model.ready().heads
     if "\n" in text:
         lines = text.split("\n")
-        full = sorted(len(s) for s in lines if s)
-        usual, drop = full[len(full) // 2], set()
+        usual, drop = _usual(lines), set()
         for i, s, before, after in _neighbours(lines):
             if got := lines_model.kinds(s, before, after, title, usual):
                 kinds.update(got), drop.add(i)
         if drop:
             lines = [s for i, s in enumerate(lines) if i not in drop and not (not s.strip() and i - 1 in drop)]
             text = "\n".join(lines)
-    if _caps.search(text):
+    if any(heads[w][1] for w in set(text.split())):
         titles = [title, *(t for t in lines_model.titles if t != title)] if title else list(lines_model.titles)
         out = []
         for s in text.split("\n"):
-            for a, b in reversed(_heads_inside(s, titles) if len(s) > 45 and _caps.search(s) else []):
+            spans = _heads_inside(s, titles, heads)
+            for a, b in reversed(spans):
                 kinds.add("header")
                 s = s[:a].rstrip() + " " + s[b:].lstrip()
-            out.append(s)
+            if not spans or s.strip():
+                out.append(s)
         text = "\n".join(out)
     if "- " in text or "-\n" in text or "¬" in text:
         text = _break.sub(BROKEN, text)
@@ -229,8 +395,9 @@ def keys(text: str) -> list[str]:
     return [w.strip(EDGE) for w in text.lower().split()]
 
 
-def structured(texts: DataFrame, id: str = "chunk_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(id, body, kinds, counts): staged texts after the first pass; the first row of each Arrow batch also has the batch's token counts."""
+def structured(texts: DataFrame, id: str = "chunk_id", text: str = "text", source: str = "source") -> tuple[DataFrame, Logistic]:
+    """((id, body, kinds, counts), classifier of neighbouring lines): staged texts after the first pass; the first row of each Arrow batch also has the
+    batch's token counts."""
     sample = texts.select(source, text).where(F.col(text).isNotNull()).orderBy(F.xxhash64(id), text).limit(SAMPLE).collect()
     sources = [r[0] for r in texts.select(source).distinct().collect()]
     model = Lines.fitted([(r[0], r[1]) for r in sample], sources)
@@ -249,7 +416,8 @@ def structured(texts: DataFrame, id: str = "chunk_id", text: str = "text", sourc
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([sorted(d[1]) for d in done], pa.list_(pa.string())), counts], ["id", "body", "kinds", "counts"])
 
     kind = texts.schema[id].dataType.simpleString()
-    return staged(texts.select(F.col(id).alias("id"), text, source).mapInArrow(run, f"id {kind}, body string, kinds array<string>, counts map<string,bigint>"))
+    schema = f"id {kind}, body string, kinds array<string>, counts map<string,bigint>"
+    return staged(texts.select(F.col(id).alias("id"), text, source).mapInArrow(run, schema)), model.joins
 
 
 def token_counts(bodies: DataFrame) -> DataFrame:
@@ -307,6 +475,44 @@ def _grams(key: str) -> list[str]:
     return sorted({padded[i : i + 2] for i in range(len(padded) - 1)})
 
 
+def grams_of(column: str) -> F.Column:
+    """The same, as a column."""
+    padded = F.concat(F.lit("^"), F.col(column), F.lit("$"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(column) + 1), lambda i: F.substring(padded, i, 2)))
+
+
+def similar_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(key, n, word, word_n, shared): tokens (key, n) with the words (word, word_n) that are RATIO times as frequent, at most FAR letters longer or
+    shorter, and share LIKE of their bigrams, two at least.
+
+    An inverted join on bigrams, of which only those are looked up that decide: two sets that must share t elements share one among the g - t + 1 of
+    either that come first in any common order. The order is by how many words hold a bigram, so the common ones are looked up for short words only.
+    Both sides are dealt by bigram and a salt into a fixed number of tasks, as few small rows meet very many.
+    """
+    spark = tokens.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    need = lambda size: F.greatest(F.lit(2), F.ceil((size + 1) * F.lit(LIKE))).cast("int")
+    b = words.select("word", "word_n", F.char_length("word").alias("word_size"), grams_of("word").alias("grams"))
+    held = staged(b.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("held")), 1)
+
+    def first(rows: DataFrame, key: list[str], t: F.Column) -> DataFrame:
+        """The deciding bigrams of each row; bigrams that no word holds come first, and are dropped as they meet nothing."""
+        each = rows.withColumn("t", t).select(*key, F.size("grams").alias("g"), "t", F.explode("grams").alias("gram")).join(held, "gram", "left")
+        order = F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram")))
+        some = each.groupBy(*key, "g", "t").agg(order.alias("o"))
+        some = some.select(*key, F.explode(F.slice("o", 1, F.greatest(F.col("g") - F.col("t") + 1, F.lit(0)))).alias("e"))
+        return some.where("e.held > 0").select(*key, "e.gram")
+
+    a = tokens.select("key", "n", F.char_length("key").alias("size"), grams_of("key").alias("grams"))
+    a = first(a, ["key", "n", "size"], need(F.greatest(F.col("size") - FAR, F.lit(1)))).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    b = first(b, ["word", "word_n", "word_size"], need(F.col("word_size"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = a.repartition(tasks, "gram", "salt").join(b.repartition(tasks, "gram", "salt").hint("shuffle_hash"), ["gram", "salt"])
+    met = met.where((F.col("word_n") >= RATIO * F.col("n")) & (F.abs(F.col("size") - F.col("word_size")) <= FAR))
+    met = met.select("key", "n", "word", "word_n").distinct()
+    met = met.withColumn("shared", F.size(F.array_intersect(grams_of("key"), grams_of("word"))))
+    return met.where(F.col("shared") >= need(F.char_length("word")))
+
+
 def fitted_ranking(true: list[tuple[str, int]], rare: list[tuple[str, int]]) -> BoostedTrees:
     """true: frequent words with counts. rare: words known to be right (vocabulary terms) with counts. Misread copies of true words teach what to
     replace; true and rare words against their neighbours, and misread copies against wrong words, teach what to leave."""
@@ -356,27 +562,21 @@ def fitted_joins(true: list[tuple[str, int]]) -> Logistic:
 def corrections(counts: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(key, word): replacements. counts: (key, n), staged. terms: (form) of a clean vocabulary, whose words are never misreadings.
 
-    For a key with BROKEN the row tells a compound (word with a hyphen). Candidates come from an inverted join: bigrams of rarer tokens meet bigrams
-    of words that are RATIO times as frequent and at most two letters longer or shorter, and half of the shorter one's bigrams must be shared.
+    For a key with BROKEN the row tells a compound (word with a hyphen). Candidates are the `similar_words` of each token.
     """
     spark = counts.sparkSession
     known = terms.select(F.explode(F.split(F.lower("form"), r"[\s]+")).alias("key")).distinct() if terms is not None else spark.createDataFrame([], "key string")
     letters = r"^[\p{L}\p{M}]+(-[\p{L}\p{M}]+)*$"
-    frequent = counts.where(F.col("key").rlike(letters) & (F.col("n") >= 8) & (F.length("key") >= 2))
+    frequent = counts.where(F.col("key").rlike(letters) & (F.col("n") >= TRUE) & (F.length("key") >= 2))
     true = [(r.key, r.n) for r in frequent.orderBy(F.desc("n"), "key").limit(TRUE_WORDS).collect()]
     rare = [(r.key, r.n) for r in counts.join(known, "key").orderBy(F.xxhash64("key")).limit(TRUE_WORDS).collect()]
     floor = true[len(true) // 3][1] if true else 1
     model = fitted_ranking([p for p in true if p[1] >= floor] or true, rare)
 
-    grams = F.udf(_grams, "array<string>")
     closed = counts.withColumn("key", F.replace("key", F.lit(BROKEN), F.lit(""))).groupBy("key").agg(F.sum("n").alias("n"))
-    tokens = closed.where(F.col("key").rlike(r"\p{L}") & (F.length("key").between(2, 40))).join(known, "key", "left_anti")
+    tokens = closed.where(F.col("key").rlike(r"\p{L}") & (F.length("key") >= 2)).join(known, "key", "left_anti")
     tokens = tokens.where(~F.col("key").rlike(r"^[ivxlcdm]+$"))
-    a = tokens.select("key", "n", F.length("key").alias("size"), F.explode(grams("key")).alias("gram"))
-    b = frequent.where(F.col("n") >= 2 * RATIO).select(F.col("key").alias("word"), F.col("n").alias("word_n"), F.length("key").alias("word_size"), F.explode(grams("key")).alias("gram"))
-    met = a.join(b, "gram").where((F.col("word_n") >= RATIO * F.col("n")) & (F.abs(F.col("size") - F.col("word_size")) <= 2))
-    met = met.groupBy("key", "word").agg(F.first("n").alias("n"), F.first("word_n").alias("word_n"), F.count("*").alias("shared"))
-    met = met.where(F.col("shared") >= F.greatest(F.lit(2), F.ceil((F.length("word") + 1) * F.lit(0.4))))
+    met = similar_words(tokens, frequent.where(F.col("n") >= 2 * RATIO).select(F.col("key").alias("word"), F.col("n").alias("word_n")))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -428,8 +628,9 @@ def mended(token: str, answers: dict[str, str]) -> tuple[str, tuple[str, ...]]:
     return token[:at] + fixed + token[at + len(core) :], tuple(kinds)
 
 
-def repair(body: str, answers: dict[str, str], join_lines: bool = True, memory: dict | None = None) -> tuple[str, set[str]]:
-    """(repaired text, kinds of word noise found). answers: rows of `corrections`. memory: tokens mended before with the same answers."""
+def repair(body: str, answers: dict[str, str], join_lines: bool = True, memory: dict | None = None, joins: Logistic | None = None) -> tuple[str, set[str]]:
+    """(repaired text, kinds of word noise found). answers: rows of `corrections`. memory: tokens mended before with the same answers. joins: the classifier
+    of neighbouring lines."""
     memory = {} if memory is None else memory
     kinds: set[str] = set()
     out = []
@@ -450,25 +651,20 @@ def repair(body: str, answers: dict[str, str], join_lines: bool = True, memory:
                     kinds.update(got[1])
             words = filter(None, words)
         out.append(" ".join(words))
-    return (paragraphs(out) if join_lines else "\n".join(out)), kinds
-
-
-def paragraphs(lines: list[str]) -> str:
-    """Lines joined into paragraphs. Numbered lines, verse ends and lines after a full stop followed by a blank line stay apart; a text whose
-    every line is set off by blank lines is one paragraph where a line ends without a stop."""
-    text = ""
-    gap = 0
-    for line in lines:
-        if not line:
-            gap += 1
-            continue
-        if not text:
-            text = line
-        elif _marks.match(line) or text[-1] in "।॥" or gap and text[-1] in ".?!\"":
-            text += ("\n\n" if gap else "\n") + line
-        else:
-            text += " " + line
-        gap = 0
+    return (paragraphs(out, joins or _plain_joins()) if join_lines else "\n".join(out)), kinds
+
+
+def paragraphs(lines: list[str], joins: Logistic) -> str:
+    """Lines joined where one goes on in the next. Other breaks stay, with one blank line where there were any beyond those that part all lines."""
+    pairs = _gaps(lines)
+    if not pairs:
+        return next((s for line in lines if (s := line.strip())), "")
+    least, usual = min(g for _, _, g in pairs), _usual(lines)
+    even = _even(lines, usual)
+    goes_on = joins.score(np.array([join_features(a, b, g, least, usual, even) for a, b, g in pairs])) > 0
+    text = pairs[0][0]
+    for (_, b, gap), on in zip(pairs, goes_on):
+        text += (" " if on else "\n\n" if gap else "\n") + b
     return text
 
 
@@ -478,7 +674,7 @@ def repaired(texts: DataFrame, id: str = "chunk_id", text: str = "text", source:
     then: what to make of the repaired batches in the same task (a function of batches, and its schema by the type of id), so that texts that only
     serve a next step never leave it.
     """
-    whole = structured(texts, id, text, source)
+    whole, joins = structured(texts, id, text, source)
     counts = staged(token_counts(whole))
     bodies = whole.select("id", "body", "kinds")
     fixes = staged(corrections(counts, terms))
@@ -486,7 +682,7 @@ def repaired(texts: DataFrame, id: str = "chunk_id", text: str = "text", source:
     after, schema = (lambda batches: batches, f"id {kind}, body string, kinds array<string>") if then is None else (then[0], then[1](kind))
 
     def finish(b: pa.RecordBatch, per_row: Iterator[dict[str, str]], memory: dict | None = None) -> pa.RecordBatch:
-        done = [(t, set()) if t is None or not t.strip() else repair(t, a, join_lines, memory) for t, a in zip(b.column("body").to_pylist(), per_row)]
+        done = [(t, set()) if t is None or not t.strip() else repair(t, a, join_lines, memory, joins) for t, a in zip(b.column("body").to_pylist(), per_row)]
         kinds = [sorted({*k, *d[1]}) for k, d in zip(b.column("kinds").to_pylist(), done)]
         return pa.RecordBatch.from_arrays([b.column("id"), pa.array([d[0] for d in done], pa.string()), pa.array(kinds, pa.list_(pa.string()))], ["id", "body", "kinds"])
 

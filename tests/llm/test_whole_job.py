@@ -70,5 +70,5 @@ def test_titles_of_all_sources(spark, monkeypatch):
     rows = [(str(i), "blue-river-vol1", plain) for i in range(50)] + [("other", "green-mountain-vol1", plain)]
     rows += [("head", "blue-river-vol1", plain.replace("\nwhile", "\nGREEN MOUNTAIN\nwhile"))]
     monkeypatch.setattr(scan_repair, "SAMPLE", 1)
-    got = {r.id: set(r.kinds) for r in scan_repair.structured(spark.createDataFrame(rows, "chunk_id string, source string, text string")).collect()}
+    got = {r.id: set(r.kinds) for r in scan_repair.structured(spark.createDataFrame(rows, "chunk_id string, source string, text string"))[0].collect()}
     assert got["head"] == {"header"} and not got["other"]
