@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .records import upserted  # noqa: F401  (part of this module's surface: manifests are upserted before review)
-
 
 def drafts(manifests: DataFrame) -> DataFrame:
     """(artifact_dir, day, pillar, label): manifests whose status marks a draft, with script and reel, whose time of generation can be read. A missing pillar
@@ -86,3 +84,29 @@ def paired_media(manifests: DataFrame) -> DataFrame:
     rows = manifests.dropDuplicates(["artifact_dir"]).where(F.size("artifacts.clips") == F.size("artifacts.audio"))
     pairs = F.arrays_zip(F.col("artifacts.clips").alias("clip"), F.col("artifacts.audio").alias("audio"))
     return rows.select("artifact_dir", F.posexplode(pairs).alias("place", "p")).select("artifact_dir", "place", F.col("p").getField("clip").alias("clip"), F.col("p").getField("audio").alias("audio"))
+
+
+# What stands for texts that are not there.
+NOT_FOUND, NONE_CITED, BY_DESIGN = "(not found)", "(no ids cited)", "(none by design)"
+
+
+def audit_blocks(scenes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(artifact_dir, scene_index, exempt, block): what an auditor reads of every scene: its number, what is said and the texts that it cites, in order. Scene
+    0 is the hook, which need not be grounded (exempt). scenes: (artifact_dir, scene_index, said, ids). chunks: (chunk_id, text), one row an id."""
+    cited = scenes.select("artifact_dir", "scene_index", F.posexplode("ids").alias("place", "chunk_id"))
+    texts = cited.join(chunks.select("chunk_id", "text", F.lit(1).alias("hit")), "chunk_id", "left")
+    line = F.concat(F.lit("  ["), F.col("chunk_id"), F.lit("]: "), F.when(F.col("hit").isNull(), NOT_FOUND).otherwise(F.coalesce("text", F.lit(""))))
+    items = F.array_sort(F.collect_list(F.struct("place", line.alias("t"))))
+    texts = texts.groupBy("artifact_dir", "scene_index").agg(F.array_join(F.transform(items, lambda x: x["t"]), "\n").alias("texts"))
+    hook = F.col("scene_index") == 0
+    body = F.when(hook, f"  {BY_DESIGN}").otherwise(F.coalesce("texts", F.lit(f"  {NONE_CITED}")))
+    rows = scenes.join(texts, ["artifact_dir", "scene_index"], "left")
+    return rows.select("artifact_dir", "scene_index", hook.alias("exempt"), F.concat_ws("\n", F.concat(F.lit("SCENE "), F.col("scene_index").cast("string")), "said", body).alias("block"))
+
+
+def slugs(manifests: DataFrame) -> DataFrame:
+    """(artifact_dir, slug): what each draft is about and the UTC time of its generation, hyphens between."""
+    rows = drafts(manifests).join(manifests.dropDuplicates(["artifact_dir"]).drop("pillar", "label"), "artifact_dir")
+    at = F.date_format(F.try_to_timestamp("generated_at", F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")), "yyyyMMdd-HHmmss")
+    about = F.concat_ws("-", "pillar", F.nullif(F.array_join("season.aggravated_dosha", "-"), F.lit("")), "dosha", "topic", "service")
+    return rows.select("artifact_dir", F.concat_ws("-", about, at).alias("slug"))

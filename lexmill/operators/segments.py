@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.numerals import parse_roman
-from lexmill.functions.text import lines, squeezed
+from lexmill.functions.staging import staged
+from lexmill.functions.text import lines
+
+from .chapters import SECTION_NAMES
 
 
 def line_table(texts: DataFrame, id: str, text: str, *keep: str) -> DataFrame:
@@ -14,34 +17,94 @@ def line_table(texts: DataFrame, id: str, text: str, *keep: str) -> DataFrame:
     return texts.select(F.col(id).alias("id"), *keep, F.posexplode(lines(F.col(text))).alias("line_no", "line"))
 
 
+# What makes a line noise in the first family of print, by rule.
+FURNITURE = r"^[\p{Nd}\s\p{Z}.,|\[\]ivxlcdIVXLCD•]+$"
+NOISE_RULES = {
+    "numbers": FURNITURE,
+    "running head": r"(?i)\bChap\.",
+    "title": r"(?i)SUSHRUTA|SUTRASTH|SAM.?IT",
+    "colophon": r"(?i)thus ends?\s+the",
+    "bare header": r"^[•\s]*CHAPTER\s+[IVXLC][IVXLC.,\s\x{400}-\x{4ff}]*$",
+    "library stamp": r"LIBRARY|DIRECTOR OF|UNIVERSITY OF",
+}
+
+# The steps that clean the joined lines of the first family, in order.
+CLEANING = [
+    (r"([a-zà-ÿ])-\s+([a-zà-ÿ])", "$1$2"),
+    (r"(?U)(\w)-\s+(\w)", "$1-$2"),
+    (r":\s*-+(?=\s*\S)", ":—"),
+    (r"(?U)(?<=\w)\s*--\s*(?=\w)", "—"),
+    (r"[*†‡‹›•✓\\|§¶]", " "),
+    (r"(?i)(?:a\s*u\s*)?thoritative verse", "Authoritative verse"),
+    (r"(?i)^CHAPTER\s+[IVXLC ]+[.,]?\s*", ""),
+    (r"(?U)\s+", " "),
+]
+
+# What opens a part of a chapter, and which of them opens a verse.
+VERSE = "Authoritative verses?|Metrical texts?|Additional texts?"
+OPENER = "Now we shall (?:discuss|discourse|describe)"
+
+
+def stripped(line: Column) -> Column:
+    return F.regexp_replace(line, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
+def noise_rule(line: Column) -> Column:
+    """The first rule by which a line of the first family carries no text: `blank`, one of NOISE_RULES, or `short` for two ASCII letters or fewer; null
+    for lines of text."""
+    s = stripped(line)
+    found = F.when(s == "", "blank")
+    for name, pattern in NOISE_RULES.items():
+        found = found.when(s.rlike(pattern), name)
+    return found.when(F.length(F.regexp_replace(s, r"[^A-Za-z]", "")) <= 2, "short")
+
+
+def noise_rule_sql(line: str) -> str:
+    s = rf"regexp_replace({line}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+    rules = " ".join(f"when regexp_matches({s}, '{p}') then '{name}'" for name, p in NOISE_RULES.items())
+    return f"case when {s} = '' then 'blank' {rules} when length(regexp_replace({s}, '[^A-Za-z]', '', 'g')) <= 2 then 'short' end"
+
+
 def is_noise(line: Column) -> Column:
-    """Lines that carry no text: blank; digits, numerals and bars only; a bare heading; two ASCII letters or fewer."""
-    s = F.trim(line)
+    return noise_rule(line).isNotNull()
+
+
+def noise_rule_2(line: Column, names: list[str] | None = None) -> Column:
+    """The first rule by which a line of the second family carries no text: `blank`, `numbers`, `section` (a section's name and no more, points behind it
+    aside), `short` (fewer than four characters that no letter begins); null for lines of text."""
+    s = stripped(line)
+    section = "(?i)^(" + "|".join(names or SECTION_NAMES) + ")$"
+    found = F.when(s == "", "blank").when(s.rlike(FURNITURE), "numbers").when(F.regexp_replace(s, r"\.+$", "").rlike(section), "section")
+    return found.when((F.char_length(s) < 4) & ~s.rlike(r"^\p{L}"), "short")
+
+
+def noise_rule_2_sql(line: str, names: list[str] | None = None) -> str:
+    s = rf"regexp_replace({line}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+    section = "|".join(names or SECTION_NAMES)
     return (
-        (s == "")
-        | s.rlike(r"^[0-9IVXLCivxlc|.\s\[\]()-]+$")
-        | s.rlike(r"(?i)\bchap\.")
-        | s.rlike(r"(?i)^chapter\s*[ivxlc0-9]{1,7}\.?$")
-        | (F.length(F.regexp_replace(s, r"[^A-Za-z]", "")) <= 2)
+        rf"case when {s} = '' then 'blank' when regexp_matches({s}, '{FURNITURE}') then 'numbers' when regexp_full_match(regexp_replace({s}, '\.+$', ''), '(?i)({section})') then 'section' "
+        rf"when length({s}) < 4 and not regexp_matches({s}, '^\p{{L}}') then 'short' end"
     )
 
 
-NOISE_SQL = (
-    "(trim({l}) = '' or regexp_matches(trim({l}), '^[0-9IVXLCivxlc|.\\s\\[\\]()-]+$') or regexp_matches(trim({l}), '(?i)\\bchap\\.') "
-    "or regexp_matches(trim({l}), '(?i)^chapter\\s*[ivxlc0-9]{{1,7}}\\.?$') or length(regexp_replace(trim({l}), '[^A-Za-z]', '', 'g')) <= 2)"
-)
+def cleaned(text: Column) -> Column:
+    """A text of the first family rebuilt from its lines: noise dropped, the rest stripped and joined, then CLEANING in order, then no blanks at the ends and
+    no points or blanks in front. A line of two letters goes before hyphens are closed."""
+    joined = F.array_join(F.transform(F.filter(lines(text), lambda s: ~is_noise(s)), stripped), " ")
+    for old, new in CLEANING:
+        joined = F.regexp_replace(joined, old, new)
+    return F.regexp_replace(stripped(joined), r"^[. ]+", "")
 
 
-def cleaned(text: Column) -> Column:
-    """A text rebuilt from its lines: noise lines dropped, the rest joined; wrapped small letters closed up, dashes and glyph noise settled, white space squeezed.
+def cleaned_2(text: Column, names: list[str] | None = None) -> Column:
+    """A text of the second family: noise lines dropped, header tokens dropped at the start of every line, no blanks at the ends; line breaks stay."""
+    kept = F.array_join(F.filter(lines(text), lambda s: noise_rule_2(s, names).isNull()), "\n")
+    return stripped(F.regexp_replace(F.regexp_replace(kept, r"\n{3,}", "\n\n"), r"(?im)^CHAPTER\s*[IVXLC\d]+\s*[-–.]?\s*", ""))
 
-    The order of the steps matters: a line of two letters goes before hyphens are closed.
-    """
-    kept = F.filter(lines(text), lambda s: ~is_noise(s))
-    joined = F.array_join(F.transform(kept, lambda s: F.trim(s)), " ")
-    for old, new in ((r"([a-z])[-¬] ([a-z])", "$1$2"), (r"([A-Za-z])- ([A-Z])", "$1-$2"), (r":-", ":—"), (r"(\w) ?-- ?(\w)", "$1—$2"), (r"[•|^~\\*§¶†‡]", " ")):
-        joined = F.regexp_replace(joined, old, new)
-    return F.regexp_replace(squeezed(joined), r"^[. ]+", "")
+
+def role_by_opening(text: Column) -> Column:
+    """The role of a part of the first family by what opens it: verse_summary, topic or prose."""
+    return F.when(text.rlike(f"(?i)^(?:{VERSE})"), "verse_summary").when(text.rlike(f"(?i)^(?:{OPENER})"), "topic").otherwise("prose")
 
 
 def headings(table: DataFrame) -> DataFrame:
@@ -67,55 +130,54 @@ def chunk_name(source: Column, chapter: Column, index: Column) -> Column:
     return F.format_string("%s-ch%02d-%03d", source, chapter, index)
 
 
-def marker_parts(text: Column, markers: str) -> Column:
+def marker_parts(text: Column, markers: str = f"{VERSE}|{OPENER}") -> Column:
     """The text cut before each marker (a pattern), parts trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(text, rf"(?i)(?={markers})"), lambda s: F.trim(s)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, rf"(?i)(?={markers})"), stripped), lambda x: x != "")
 
 
 def merged_fragments(parts: DataFrame, group: list[str], order: str, size: str, text: str, least: int) -> DataFrame:
-    """(*group, place, n_tokens, text): neighbours folded so that no part is smaller than `least`, where there is another to join.
+    """(*group, place, n_tokens, text): neighbours joined so that no part is smaller than `least`, where there is another to join.
 
-    A small part joins the one before it; small parts at the start join the one after them. Each group is one chapter, whose parts are folded in order
-    by an aggregate over its array.
+    A small part joins the one before it; small parts at the start join the one after them. So the first part ends where the sizes from the start first
+    reach `least`, and each later part of that size starts another one: two running sums tell where every row belongs, and only the rows of one part
+    are ever brought together. (group, order) is unique.
     """
-    item = f"struct<n:bigint,t:string>"
-    start = F.from_json(F.lit('{"done":[]}'), f"done array<{item}>, lead {item}")
-
-    def step(acc: Column, x: Column) -> Column:
-        n, t = x.n.cast("bigint"), x.t
-        led = F.when(acc.lead.isNull(), F.struct(n.alias("n"), t.alias("t"))).otherwise(F.struct((acc.lead.n + n).alias("n"), F.concat_ws(" ", acc.lead.t, t).alias("t")))
-        size_, last = F.size(acc.done), F.element_at(acc.done, -1)
-        joined = F.struct((last.n + n).alias("n"), F.concat_ws(" ", last.t, t).alias("t"))
-        front = F.slice(acc.done, 1, F.greatest(size_ - 1, F.lit(0)))
-        none = F.lit(None).cast(item)
-        return (
-            F.when((size_ > 0) & (n < least), F.struct(F.concat(front, F.array(joined)).alias("done"), none.alias("lead")))
-            .when((size_ == 0) & (led.n < least), F.struct(acc.done.alias("done"), led.alias("lead")))
-            .when(size_ == 0, F.struct(F.array(led).alias("done"), none.alias("lead")))
-            .otherwise(F.struct(F.concat(acc.done, F.array(F.struct(n.alias("n"), t.alias("t")))).alias("done"), none.alias("lead")))
-        )
-
-    rows = parts.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).alias("n"), F.col(text).alias("t")))).alias("items"))
-    out = F.aggregate("items", start, step, lambda acc: F.when(acc.lead.isNull(), acc.done).otherwise(F.concat(acc.done, F.array(acc.lead))))
-    return rows.select(*group, F.posexplode(out).alias("place", "p")).select(*group, "place", F.col("p.n").alias("n_tokens"), F.col("p.t").alias("text"))
+    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    n = F.coalesce(F.col(size), F.lit(0)).cast("bigint")
+    rows = parts.select(*group, F.col(order).alias("_o"), n.alias("_n"), F.col(text).alias("_t")).withColumnRenamed("_o", order)
+    rows = rows.withColumn("_starts", ((F.coalesce(F.sum("_n").over(w), F.lit(0)) >= least) & (F.col("_n") >= least)).cast("int"))
+    rows = rows.withColumn("place", F.sum("_starts").over(Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_t").alias("t"))))
+    whole = rows.groupBy(*group, "place").agg(F.sum("_n").alias("n_tokens"), items.alias("items"))
+    return whole.select(*group, "place", "n_tokens", F.array_join(F.transform("items", lambda x: x["t"]), " ").alias("text"))
 
 
 def batches(rows: DataFrame, group: list[str], order: str, size: str, limit: int, most: int) -> DataFrame:
     """(*group, order, size, batch): greedy batches in order: a new one starts when the next row would pass `limit` or the batch has `most` rows; a row
-    above the limit is a batch of its own. Folded per group (a chapter), whose rows are an array."""
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        n = x.n.cast("bigint")
-        full = (acc.n > 0) & ((acc.sum + n > limit) | (acc.n >= most))
-        number = acc.batch + F.when(full, 1).otherwise(0)
-        total = F.when(full, n).otherwise(acc.sum + n)
-        return F.struct(number.alias("batch"), total.alias("sum"), F.when(full, 1).otherwise(acc.n + 1).alias("n"), F.concat(acc.out, F.array(number)).alias("out"))
-
-    packed = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(size, F.lit(0)).alias("n")))).alias("items"))
-    packed = packed.select(*group, F.explode(F.arrays_zip("items", F.aggregate("items", start, step, lambda a: a.out).alias("numbers"))).alias("z"))
-    fields = packed.schema["z"].dataType.fieldNames()
-    return packed.select(*group, F.col("z.items.o").alias(order), F.col("z.items.n").alias(size), F.col(f"z.`{fields[1]}`").alias("batch"))
+    above the limit is a batch of its own. Sizes that are null count 0. (group, order) is unique.
+
+    Each row knows the batch that would start with it, as that holds `most` rows at most; these successors are squared (joined with themselves) until all
+    starts are reached from the first row, so a long group takes a logarithmic number of joins and is in no single array.
+    """
+    w = Window.partitionBy(*group).orderBy(order)
+    placed = rows.select(*group, order, F.coalesce(size, F.lit(0)).cast("bigint").alias(size)).withColumn("_i", F.row_number().over(w).cast("bigint") - 1)
+    ahead = F.collect_list(size).over(w.rowsBetween(0, most - 1))
+    fits = F.aggregate("_ahead", F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("n"), F.lit(True).alias("open")), lambda a, x: F.when(a["open"] & ((a["n"] == 0) | (a["sum"] + x <= limit)), F.struct((a["sum"] + x).alias("sum"), (a["n"] + 1).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(a["sum"].alias("sum"), a["n"].alias("n"), F.lit(False).alias("open"))))
+    placed = staged(placed.withColumn("_ahead", ahead).withColumn("_next", F.col("_i") + fits["n"]).drop("_ahead"))
+    key = [*group, "_i"]
+    jump = placed.select(*key, "_next")
+    jump = jump.join(placed.select(*group, F.col("_i").alias("_next")), [*group, "_next"], "left_semi").select(*key, "_next")
+    reached = placed.where("_i = 0").select(*key)
+    while True:
+        more = reached.join(jump, key).select(*group, F.col("_next").alias("_i"))
+        grown = staged(reached.unionByName(more).distinct())
+        if grown.count() == reached.count():
+            break
+        reached = grown
+        jump = staged(jump.join(jump.select(*group, F.col("_i").alias("_next"), F.col("_next").alias("_then")), [*group, "_next"]).select(*key, F.col("_then").alias("_next")))
+    starts = placed.join(reached.withColumn("_start", F.lit(1)), key, "left")
+    number = F.sum(F.coalesce("_start", F.lit(0))).over(Window.partitionBy(*group).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    return starts.select(*group, order, size, number.cast("int").alias("batch"))
 
 
 def lookback(table: DataFrame, mark: Column, reach: int = 10) -> DataFrame:

@@ -11,28 +11,32 @@ from lexmill.functions.text import fold
 def tagged(texts: DataFrame, id: str, text: str, vocabulary: DataFrame) -> DataFrame:
     """(id, category, canonical), distinct: terms of which a form stands in the text as a whole word, a plural s allowed.
 
-    vocabulary: (category, canonical, form); forms of several words are matched by their word sequence. Tokens are made distinct per text before the
-    join, so a frequent form costs one row a text.
+    vocabulary: (category, canonical, form). Tokens are made distinct per text before the join, so a frequent form costs one row a text. A form that is
+    no single word is sought by its first word and then checked in the texts that hold that.
     """
-    words = F.regexp_extract_all(fold(F.col(text)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    forms = vocabulary.select("category", "canonical", fold(F.col("form")).alias("form"))
+    folded = texts.select(F.col(id).alias("id"), fold(F.col(text)).alias("t"))
+    words = folded.select("id", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))).alias("word"))
+    forms = vocabulary.select("category", "canonical", fold(F.col("form")).alias("form")).where("form <> ''").distinct()
     single = forms.where(F.col("form").rlike(r"^[\p{L}\p{N}_]+$"))
     both = single.unionByName(single.withColumn("form", F.concat("form", F.lit("s")))).distinct()
-    found = texts.select(F.col(id).alias("id"), F.explode(F.array_distinct(words)).alias("form")).join(both, "form").select("id", "category", "canonical")
-    return found.distinct()
+    found = words.join(both.withColumnRenamed("form", "word"), "word").select("id", "category", "canonical")
+    longer = forms.where(~F.col("form").rlike(r"^[\p{L}\p{N}_]+$")).withColumn("word", F.regexp_extract("form", r"([\p{L}\p{N}_]+)", 1))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), "form", F.lit(r"\Es?(?![\p{L}\p{N}_])"))
+    asked = words.join(longer, "word").join(folded, "id").where(F.regexp_like("t", pattern)).select("id", "category", "canonical")
+    return found.unionByName(asked).distinct()
 
 
-def combinations(texts: DataFrame, id: str, text: str, tags: DataFrame, order: list[str], dual: list[str], all_three: list[str]) -> DataFrame:
-    """(id, combination): pairs named outright (a-b or ab), the pair of a text with exactly two of `order` and a `dual` word, and `tri` for `all_three` words."""
+def combinations(texts: DataFrame, id: str, text: str, tags: DataFrame, order: list[str], dual: list[str], all_three: list[str], three: str = "tri") -> DataFrame:
+    """(id, combination): pairs named outright (a-b or ab), the pair of a text with exactly two of `order` and a `dual` word, and `three` for `all_three`
+    words; a plural s is allowed."""
     words = F.array_distinct(F.regexp_extract_all(fold(F.col(text)), F.lit(r"([\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*)"), F.lit(1)))
-    rows = texts.select(F.col(id).alias("id"), F.explode(words).alias("w"))
+    parts = F.array_distinct(F.flatten(F.transform(words, lambda w: F.concat(F.array(w), F.split(w, "-"), F.regexp_extract_all(w, F.lit("(?=((?:^|(?<=-))[^-]+-[^-]+))"), F.lit(1))))))
+    rows = texts.select(F.col(id).alias("id"), F.explode(parts).alias("w"))
     stem = F.regexp_replace("w", "s$", "")
     has = lambda forms: F.col("w").isin(forms) | stem.isin(forms)
-    named = None
-    pairs = [(a, b) for i, a in enumerate(order) for b in order[i + 1 :]]
-    for a, b in pairs:
-        named = F.when(has([f"{a}-{b}", a + b]), f"{a}-{b}") if named is None else named.when(has([f"{a}-{b}", a + b]), f"{a}-{b}")
-    named = named.when(has(all_three), "tri").when(has(dual), "dual")
+    named = F.when(has(all_three), three).when(has(dual), "dual")
+    for a, b in ((a, b) for i, a in enumerate(order) for b in order[i + 1 :]):
+        named = named.when(has([f"{a}-{b}", a + b]), f"{a}-{b}")
     marks = rows.select("id", named.alias("combination")).where("combination is not null").distinct()
     two = tags.where(F.col("canonical").isin(order)).groupBy("id").agg(F.collect_set("canonical").alias("s")).where(F.size("s") == 2)
     two = two.select("id", F.array_join(F.filter(F.array(*map(F.lit, order)), lambda x: F.array_contains("s", x)), "-").alias("pair"))

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.functions.numerals import parse_numeral, parse_ordinal, parse_roman
-from lexmill.operators import dates, records, retrieval, review, segments, tagging
+from lexmill.functions.numerals import ordinal_words, parse_numeral, parse_ordinal, parse_roman, roman
+from lexmill.functions.staging import new_path
+from lexmill.operators import chapters, dates, records, retrieval, review, segments, tagging
 from lexmill.sources import files, sinks
 from lexmill.sources.tables import table
 from lexmill.streaming import ingest
@@ -59,8 +60,8 @@ def _queries(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
 
 
-def _lexical(spark: SparkSession, folder: str, k: int = 20) -> DataFrame:
-    return retrieval.bm25(table(spark, folder, "documents"), "doc_id", "text", _queries(spark, folder), k)
+def _lexical(spark: SparkSession, folder: str, k: int = 20, among: DataFrame | None = None) -> DataFrame:
+    return retrieval.bm25(table(spark, folder, "documents"), "doc_id", "text", _queries(spark, folder), k, among)
 
 
 def _dense(spark: SparkSession, folder: str, k: int = 20) -> DataFrame:
@@ -105,7 +106,7 @@ def rrf_filter_post(spark, folder):
 def rrf_filter_pre(spark, folder):
     """The filter before each list is cut, so that k hits are left where there are as many."""
     docs, vectors, tags = table(spark, folder, "documents"), table(spark, folder, "embeddings"), _doc_tags(spark, folder)
-    lexical = retrieval.best(retrieval.having_any(_lexical(spark, folder, 2**31 - 2).drop("rank"), tags, ["vata"]), 20)
+    lexical = _lexical(spark, folder, 20, tags.where("tag = 'vata'").select("id").distinct())
     asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     held = retrieval.having_any(vectors.withColumnRenamed("vec_id", "id"), tags, ["vata"])
     return retrieval.fused(lexical, retrieval.cosine(held, "id", "embedding", asked, 20), k=5).select("query_id", "id", "score")
@@ -147,6 +148,26 @@ def retrieval_eval(spark, folder):
     return retrieval.evaluated(manifest_search(spark, folder), wanted)
 
 
+_CASES = """cs as (select artifact_dir as query_id, split_part(retrieved_chunks[1].chunk_id, '-ch', 1) as prefix, split_part(trim(query), ' ', 1) as keyword,
+case dosha when 'vata' then 'pitta' when 'pitta' then 'kapha' when 'kapha' then 'vata' end as forbidden from (select * from manifests qualify row_number() over (partition by artifact_dir) = 1))"""
+
+
+@query(
+    f"{_ASKED}, {_CASES}, h as (select query_id, id, text, doshas_mentioned from lex join c on c.chunk_id = id where rank < 6) select cs.query_id, count(h.id) as hits, case when prefix is not null then coalesce(bool_or(starts_with(h.id, prefix)), false) end as prefix_found, "
+    "case when keyword is not null then coalesce(bool_or(contains(lower(h.text), lower(keyword))), false) end as keyword_found, count(*) filter (h.doshas_mentioned = [forbidden]) as forbidden_only from cs left join h on h.query_id = cs.query_id group by cs.query_id, prefix, keyword"
+)
+def retrieval_checks(spark, folder):
+    """What must be, and must not be, among the hits of each manifest's query: the volume of its first evidence, the first word of the query, and no record
+    that is tagged with nothing but a dosha other than the manifest's."""
+    rows = table(spark, folder, "manifests").dropDuplicates(["artifact_dir"])
+    other = F.create_map(*[F.lit(x) for x in ("vata", "pitta", "pitta", "kapha", "kapha", "vata")])
+    cases = rows.select(
+        F.col("artifact_dir").alias("query_id"), F.split_part(F.get("retrieved_chunks", 0)["chunk_id"], F.lit("-ch"), F.lit(1)).alias("prefix"),
+        F.split_part(F.trim("query"), F.lit(" "), F.lit(1)).alias("keyword"), F.try_element_at(other, F.col("dosha")).alias("forbidden"),
+    )
+    return retrieval.checked(manifest_search(spark, folder), cases, chunks(spark, folder, "text", "doshas_mentioned"), "chunk_id", "text", "doshas_mentioned")
+
+
 # Tagging
 
 _TAGS = f"""with {CHUNKS}, fm as (select distinct category, canonical, unnest([{T.fold_sql('form')}, {T.fold_sql('form')} || 's']) as form from gazetteer_terms),
@@ -190,18 +211,23 @@ def tag_untagged(spark, folder):
     return tagging.untagged(chunks(spark, folder), "chunk_id", _tags(spark, folder))
 
 
-_PAIR = " ".join(f"when w in ('{a}-{b}', '{a}-{b}s', '{a}{b}', '{a}{b}s') then '{a}-{b}'" for i, a in enumerate(DOSHAS) for b in DOSHAS[i + 1 :])
+# Words that name a combination without its parts.
+DUAL, ALL_THREE = ["dvandvaja", "samsarga", "samsargaja"], ["sannipata", "sannipataja", "tridosha", "tridoshaja"]
+
+
+def _said(forms: list[str]) -> str:
+    return f"regexp_matches(f, '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(forms)})s?($|[^\\p{{L}}\\p{{N}}_])')"
 
 
 @query(
-    f"{_TAGS}, cw as (select distinct chunk_id as id, unnest(regexp_extract_all({T.fold_sql('text')}, '[\\p{{L}}\\p{{N}}_]+(?:-[\\p{{L}}\\p{{N}}_]+)*')) as w from c), "
-    f"k as (select distinct id, case {_PAIR} when regexp_replace(w, 's$', '') in ('tridosha', 'sannipata') then 'tri' when regexp_replace(w, 's$', '') in ('dvandvaja', 'samsarga') then 'dual' end as combination from cw), "
+    f"{_TAGS}, fo as (select chunk_id as id, {T.fold_sql('text')} as f from c where text is not null), "
     "two as (select id, string_agg(canonical, '-' order by case canonical when 'vata' then 1 when 'pitta' then 2 else 3 end) as pair from t where category = 'doshas' and canonical in ('vata', 'pitta', 'kapha') group by 1 having count(*) = 2) "
-    "select id, combination from k where combination is not null and combination <> 'dual' union select k.id, pair from k join two on two.id = k.id where combination = 'dual'"
+    + " union ".join(f"select id, '{a}-{b}' as combination from fo where {_said([f'{a}-{b}', a + b])}" for i, a in enumerate(DOSHAS) for b in DOSHAS[i + 1 :])
+    + f" union select id, 'tridosha' from fo where {_said(ALL_THREE)} union select id, pair from fo join two using (id) where {_said(DUAL)}"
 )
 def tag_combinations(spark, folder):
     found = _tags(spark, folder).where("category = 'doshas'")
-    return tagging.combinations(chunks(spark, folder, "text"), "chunk_id", "text", found, DOSHAS, ["dvandvaja", "samsarga"], ["tridosha", "sannipata"])
+    return tagging.combinations(chunks(spark, folder, "text"), "chunk_id", "text", found, DOSHAS, DUAL, ALL_THREE, "tridosha")
 
 
 @query(f"with {CHUNKS} select chunk_id from c where list_has_any(doshas_mentioned, ['vata', 'pitta'])")
@@ -243,9 +269,20 @@ def line_counts(spark, folder):
     return _lines(spark, folder).groupBy("source").agg(F.count("*").alias("n_lines"), F.count_if(F.trim("line") == "").alias("n_blank"), F.max(F.char_length("line")).cast("bigint").alias("longest"))
 
 
-@query(f"{_LINES} select id, line_no, line from lt where {segments.NOISE_SQL.format(l='line')}")
+@query(f"{_LINES}, z as (select id, line_no, line, {segments.noise_rule_sql('line')} as rule from lt) select * from z where rule is not null")
 def noise_lines(spark, folder):
-    return _lines(spark, folder).where(segments.is_noise(F.col("line"))).select("id", "line_no", "line")
+    """Lines that carry no text in the first family of print, with the rule that says so."""
+    return _lines(spark, folder).select("id", "line_no", "line", segments.noise_rule(F.col("line")).alias("rule")).where("rule is not null")
+
+
+SECTIONS = ["adisthana", "lakshasthana", "upayasthana", "antasthana"]
+SECTION_LABELS = {"adi": "adisthana", "laksha": "lakshasthana", "upaya": "upayasthana", "anta": "antasthana"}
+
+
+@query(f"{_LINES}, z as (select id, line_no, line, {segments.noise_rule_2_sql('line', SECTIONS)} as rule from lt) select * from z where rule is not null")
+def noise_lines_2(spark, folder):
+    """The same for the second family."""
+    return _lines(spark, folder).select("id", "line_no", "line", segments.noise_rule_2(F.col("line"), SECTIONS).alias("rule")).where("rule is not null")
 
 
 @query()
@@ -253,7 +290,16 @@ def cleaned_texts(spark, folder):
     return chunks(spark, folder, "text").select("chunk_id", segments.cleaned(F.col("text")).alias("text"))
 
 
-_NUMBERS = "num(numeral, number) as (values " + ", ".join(f"('{r}', {n})" for n, r in ((n, __import__("lexmill.functions.numerals", fromlist=["roman"]).roman(n)) for n in range(1, 61))) + ")"
+@query(
+    f"{_LINES}, k as (select id, string_agg(line, chr(10) order by line_no) filter ({segments.noise_rule_2_sql('line', SECTIONS)} is null) as t from lt group by 1), "
+    r"d as (select id, regexp_replace(regexp_replace(coalesce(t, ''), '\n{3,}', chr(10) || chr(10), 'g'), '(?im)^CHAPTER\s*[IVXLC\d]+\s*[-–.]?\s*', '', 'g') as t from k) "
+    r"select chunk_id, case when text is null then null else regexp_replace(coalesce(t, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') end as text from c left join d on d.id = c.chunk_id"
+)
+def cleaned_texts_2(spark, folder):
+    return chunks(spark, folder, "text").select("chunk_id", segments.cleaned_2(F.col("text"), SECTIONS).alias("text"))
+
+
+_NUMBERS = "num(numeral, number) as (values " + ", ".join(f"('{r}', {n})" for n, r in ((n, roman(n)) for n in range(1, 61))) + ")"
 _HEADINGS = f"""{_LINES}, h as (select *, regexp_extract(line, '(?i)\\bchap(?:ter|\\.)?\\s+([ivxlc1|]{{1,7}})\\b', 1) as numeral from lt), {_NUMBERS},
 hn as (select h.id, h.source, h.chapter, h.chunk_index, h.line_no, h.numeral, n.number from h left join num n on n.numeral = regexp_replace(upper(h.numeral), '[^IVXLC]', '', 'g') where h.numeral <> '')"""
 
@@ -292,18 +338,134 @@ def section_entries(spark, folder):
     return segments.one_way_sections(segments.headings(_lines(spark, folder).withColumn("place", place)), "source", "place", "number")
 
 
-@query(f"with {_NUMBERS} select o_orderkey, number from (select o_orderkey, ['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X', 'VL', 'LIL', 'XL', 'LX', 'LXI', 'iv. note'][(o_orderkey % 16 + 1)::int] as s from orders) left join num on num.numeral = regexp_replace(upper(split_part(s, '.', 1)), '[^IVXLC]', '', 'g')")
+_RAW = f"{_LINES}, w as (select distinct unnest(regexp_extract_all(line, '(?i)\\bchap\\S*\\s+(\\S+)', 1)) as token from lt)"
+_FOLDED = f"upper(translate(split_part(token, '.', 1), '{T.ACCENTED}', '{T.PLAIN}'))"
+
+
+def _heading_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """The distinct tokens that stand behind a word like `Chap.` on any line."""
+    found = F.regexp_extract_all("line", F.lit(r"(?i)\bchap\S*\s+(\S+)"), F.lit(1))
+    return _lines(spark, folder).select(F.explode(found).alias("token")).distinct()
+
+
+@query(f"{_RAW}, {_NUMBERS} select token, number from w left join num on num.numeral = regexp_replace({_FOLDED}, '[^IVXLC]', '', 'g')")
 def roman_parse(spark, folder):
-    forms = F.array(*map(F.lit, ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "VL", "LIL", "XL", "LX", "LXI", "iv. note"]))
-    return table(spark, folder, "orders").select("o_orderkey", parse_roman(F.element_at(forms, (F.col("o_orderkey") % 16 + 1).cast("int"))).alias("number"))
+    """Roman numerals of running heads, misread ones included."""
+    return _heading_tokens(spark, folder).select("token", parse_roman(F.col("token")).alias("number"))
+
+
+_TO_200 = "big(numeral, number) as (values " + ", ".join(f"('{roman(n)}', {n})" for n in range(1, 201)) + ")"
 
 
-@query("select o_orderkey, [1, 4, 9, 10, null, 2, 200][(o_orderkey % 7 + 1)::int] as number, [21, 49, null, 1, 10, 12, 40][(o_orderkey % 7 + 1)::int] as ordinal from orders")
+@query(
+    f"{_RAW}, {_TO_200}, k as (select token, regexp_replace(upper(token), '[^IVXLC0-9]', '', 'g') as kept from w), "
+    "m as (select token, kept, regexp_replace(case when regexp_matches(kept, '^1[VXLCI]') then 'I' || substr(kept, 2) else kept end, '[0-9]', '', 'g') as mended from k) "
+    "select token, case when regexp_matches(kept, '^[0-9]{1,6}$') then case when try_cast(kept as int) between 1 and 200 then try_cast(kept as int) end else big.number end as number from m left join big on big.numeral = mended"
+)
 def numeral_parse(spark, folder):
-    forms = F.array(*map(F.lit, ["I", "1V", "1X", "10", "201", "ii", "200"]))
-    said = F.array(*map(F.lit, ["twenty-first", "The Forty Ninth", "fiftieth", "first", "the tenth", "twelfth", "fortieth."]))
-    at = (F.col("o_orderkey") % 7 + 1).cast("int")
-    return table(spark, folder, "orders").select("o_orderkey", parse_numeral(F.element_at(forms, at)).alias("number"), parse_ordinal(F.element_at(said, at)).alias("ordinal"))
+    """Roman and arabic numerals of running heads."""
+    return _heading_tokens(spark, folder).select("token", parse_numeral(F.col("token")).alias("number"))
+
+
+_ORDINALS = "ord(word, number) as (values " + ", ".join(f"('{w}', {n})" for w, n in ordinal_words().items()) + ")"
+
+
+@query(
+    f"with {CHUNKS}, w as (select distinct unnest(regexp_extract_all(lower(text), '\\b([a-z]+(?:[ -][a-z]+)?)\\s+(?:day|dose|watch|rains)\\b', 1)) as phrase from c), {_ORDINALS}, "
+    "k as (select phrase, trim(regexp_replace(regexp_replace(regexp_replace(phrase, '[^a-z]+', ' ', 'g'), '\\bthe\\b', ' ', 'g'), '\\s+', ' ', 'g')) as said from w) select phrase, number from k left join ord on ord.word = said"
+)
+def ordinal_parse(spark, folder):
+    """Ordinals in the phrases before days, doses, watches and rains."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit(r"\b([a-z]+(?:[ -][a-z]+)?)\s+(?:day|dose|watch|rains)\b"), F.lit(1))
+    return chunks(spark, folder, "text").select(F.explode(found).alias("phrase")).distinct().select("phrase", parse_ordinal(F.col("phrase")).alias("number"))
+
+
+# Printed volumes: every record under the name of its section, every chapter under its header
+
+def _printed(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of each work's volume, its sections interleaved by chapter, so that sections are left and named again."""
+    rows = chunks(spark, folder, "source", "chapter", "chunk_index", "text").where("text is not null")
+    rows = rows.withColumn("section", F.regexp_extract("source", r"-([a-z]+sthana)$", 1)).withColumn("volume", F.regexp_replace("source", r"-[a-z]+sthana$", ""))
+    first = rows.groupBy("source", "chapter").agg(F.min(F.struct("chunk_index", "chunk_id"))["chunk_id"].alias("first_id")).select("first_id")
+    rows = rows.join(first, rows["chunk_id"] == first["first_id"], "left")
+    numeral = F.element_at(F.array(*[F.lit(roman(n)) for n in range(1, 61)]), F.col("chapter"))
+    header = F.when(F.col("first_id").isNotNull(), F.concat(F.lit("CHAPTER "), numeral, F.lit(".\n"))).otherwise("")
+    name = F.when(F.col("section") != "", F.concat(F.upper("section"), F.lit(".\n"))).otherwise("")
+    rows = rows.select("volume", "chapter", "section", "chunk_index", "chunk_id", F.concat(name, header, F.col("text")).alias("text"))
+    return chapters.volume_lines(rows, "volume", ["chapter", "section", "chunk_index", "chunk_id"], "text")
+
+
+_ROMANS = "[" + ", ".join(f"'{roman(n)}'" for n in range(1, 61)) + "]"
+_PRINTED = rf"""with {CHUNKS}, p0 as (select *, regexp_extract(source, '-([a-z]+sthana)$', 1) as section, regexp_replace(source, '-[a-z]+sthana$', '') as volume, row_number() over (partition by source, chapter order by chunk_index, chunk_id) as place from c where text is not null),
+p1 as (select volume, chapter, section, chunk_index, chunk_id, case when section <> '' then upper(section) || '.' || chr(10) else '' end || case when place = 1 then 'CHAPTER ' || {_ROMANS}[chapter] || '.' || chr(10) else '' end || text as text from p0),
+p2 as (select *, regexp_split_to_array(text, '\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]') as a from p1), p3 as (select *, case when a[-1] = '' then len(a) - 1 else len(a) end as n from p2),
+p4 as (select volume, chapter, section, chunk_index, chunk_id, unnest(range(n)) as k, a[unnest(range(n)) + 1] as line from p3),
+pl as (select volume, row_number() over w - 1 as line_no, line, lead(line) over w as next_line from p4 window w as (partition by volume order by chapter, section, chunk_index, chunk_id, k)), pe as (select volume, max(line_no) as last from pl group by 1)"""
+
+
+@query(f"{_PRINTED} select volume, count(*) as n, max(line_no) as last, sum(line_no * (1 + length(line)) % 1000003)::bigint as mixed from pl group by 1")
+def printed_volumes(spark, folder):
+    """Lines of the printed volumes, their last number and a sum that tells a line out of place."""
+    mixed = F.sum(F.col("line_no") * (1 + F.char_length("line")) % 1000003)
+    return _printed(spark, folder).groupBy("volume").agg(F.count("*").alias("n"), F.max("line_no").alias("last"), mixed.alias("mixed"))
+
+
+def _numeral(column: str) -> str:
+    return f"regexp_replace(upper(translate(split_part({column}, '.', 1), '{T.ACCENTED}', '{T.PLAIN}')), '[^IVXLC]', '', 'g')"
+
+
+_MARKS = rf"""{_PRINTED}, {_NUMBERS}, {_ORDINALS}, k0 as (select volume, line_no, regexp_extract(line, '{chapters.OPENING}', 1) as o, regexp_extract(concat_ws(' ', line, next_line), '{chapters.COLOPHON}', 1) as q, regexp_extract(line, '{chapters.RUNNING}', 1) as r from pl),
+k1 as (select volume, line_no, 'open' as kind, number as n from k0 join num on numeral = {_numeral('o')} union all select volume, line_no, 'run', number from k0 join num on numeral = {_numeral('r')}
+union all select volume, line_no, 'close', number from k0 join ord on word = trim(regexp_replace(regexp_replace(regexp_replace(lower(q), '[^a-z]+', ' ', 'g'), '\bthe\b', ' ', 'g'), '\s+', ' ', 'g'))),
+k2 as (select volume, max(line_no) as body from k1 where kind = 'open' and n = 1 group by 1), f1 as (select k1.volume, kind, n, min(line_no) as at from k1 left join k2 using (volume) where line_no >= coalesce(body, 0) group by 1, 2, 3)"""
+
+
+@query(
+    f"{_MARKS}, v as (select volume, unnest(range(1, max(n) + 1))::int as n, max(n) as most from f1 group by volume), j as (select v.volume, v.n, v.most, last, o0.at as o0, o1.at as o1, o2.at as o2, r0.at as r0, r1.at as r1, c0.at as c0, c1.at as c1, cb.at as cb from v join pe using (volume) "
+    + " ".join(f"left join f1 {name} on {name}.volume = v.volume and {name}.kind = '{kind}' and {name}.n = v.n + {ahead}" for name, kind, ahead in (("o0", "open", 0), ("o1", "open", 1), ("o2", "open", 2), ("r0", "run", 0), ("r1", "run", 1), ("c0", "close", 0), ("c1", "close", 1), ("cb", "close", -1)))
+    + "), e as (select volume, n, case when o0 is not null then o0 when cb is not null then cb + 1 else r0 end as s, case when c0 is not null then c0 when o1 is not null then o1 - 1 when r1 is not null then r1 - 1 when c1 is not null then c1 when o2 is not null then o2 - 1 when n = most then last end as t, "
+    "(o0 is not null or cb is not null) and (c0 is not null or o1 is not null) as exact from j) select volume, n, case when s < t then s end as start, case when s < t then t end as \"end\", case when not coalesce(s < t, false) then 'unresolved' when not exact then 'approximate' end as note from e"
+)
+def chapter_bounds(spark, folder):
+    """Chapters of the printed volumes by openings, colophons and running heads."""
+    rows = _printed(spark, folder)
+    return chapters.chapter_bounds(chapters.marks(rows), chapters.last_lines(rows))
+
+
+@query(
+    f"{_PRINTED}, {_NUMBERS}, o as (select volume, line_no as at from pl join num on numeral = {_numeral(f"regexp_extract(trim(line), '{chapters.OPENING}', 1)")} and number = 1), "
+    "h as (select volume, line_no, case " + " ".join(f"when regexp_matches(line, '(?i){k}') then '{k}'" for k in SECTIONS) + " end as section, lower(line) as low, lower(concat_ws(' ', line, next_line)) as wide from pl), "
+    "b as (select o.volume, o.at, h.line_no, h.section, h.low, h.wide from o join h on h.volume = o.volume and h.line_no between o.at - 10 and o.at - 1), "
+    "x as (select distinct b.volume, b.at from b where b.line_no >= b.at - 8 and (contains(low, 'end of the content') or contains(low, 'contents of') or (b.line_no < b.at - 1 and (contains(wide, 'end of the content') or contains(wide, 'contents of'))))), "
+    "s as (select o.volume, o.at, arg_max(b.section, b.line_no) filter (b.section is not null) as section from o left join b on b.volume = o.volume and b.at = o.at where not exists (select 1 from x where x.volume = o.volume and x.at = o.at) group by 1, 2), "
+    "l as (select volume, section, max(s.at) as start from s where section is not null group by 1, 2) "
+    'select volume, section, start, coalesce(lead(start) over (partition by volume order by start) - 1, last) as "end", null::varchar as note from l join pe using (volume) union all select volume, section, s.at, null, \'orphan\' from s where section is null'
+)
+def section_bounds(spark, folder):
+    """Sections of the printed volumes by the names before an opening of chapter 1."""
+    return chapters.section_bounds(_printed(spark, folder), {k: k for k in SECTIONS})
+
+
+@query(
+    f"{_PRINTED}, {_TO_200}, h as (select volume, line_no, case when regexp_matches(lower(line), '{'|'.join(SECTIONS)}') then case " + " ".join(f"when contains(lower(line), '{k}') then '{v}'" for k, v in SECTION_LABELS.items()) + f" end end as hint, regexp_extract(trim(line), '{chapters.HEADER}', 1) as numeral from pl), "
+    "bd as (select volume, min(line_no) as body from h where numeral <> '' group by 1), s as (select h.* from h join bd using (volume) where line_no >= body), "
+    "en as (select volume, hint, min(line_no) as at from s where hint is not null and hint <> 'adisthana' group by 1, 2), "
+    "hd as (select volume, line_no, number as n from s join big on big.numeral = upper(s.numeral) where hint is null), "
+    "ps as (select hd.volume, hd.line_no, hd.n, coalesce(arg_max(en.hint, en.at), 'adisthana') as section from hd left join en on en.volume = hd.volume and en.at <= hd.line_no group by 1, 2, 3), "
+    "fi as (select volume, section, n, min(line_no) as start from ps group by 1, 2, 3), z as (select volume, section, n, start, coalesce(lead(start) over (partition by volume order by start) - 1, last) as \"end\" from fi join pe using (volume)) "
+    "select *, case when start >= \"end\" then 'empty' end as note from z"
+)
+def section_chapters(spark, folder):
+    """Chapters of the printed volumes where numbers start anew in each section and no section is entered twice."""
+    return chapters.section_chapters(_printed(spark, folder), "adisthana", SECTIONS, SECTION_LABELS)
+
+
+@query()
+def chapter_words(spark, folder):
+    """Words of each chapter of the printed volumes, between its bounds."""
+    rows = _printed(spark, folder)
+    found = chapters.chapter_texts(rows, chapters.chapter_bounds(chapters.marks(rows), chapters.last_lines(rows)))
+    return found.groupBy("volume", "n").agg(F.count("*").alias("n_lines"), F.sum(T.word_count(F.col("line"))).cast("bigint").alias("n_words"))
 
 
 # Chunks
@@ -334,19 +496,40 @@ def role_counts(spark, folder):
 def merged_fragments(spark, folder):
     words = F.regexp_count("text", F.lit(r"\S+"))
     rows = chunks(spark, folder, "text", "source", "chapter", "chunk_index").where("text is not null").withColumn("n_words", words)
-    return segments.merged_fragments(rows, ["source", "chapter"], "chunk_index", "n_words", "text", 100)
+    merged = segments.merged_fragments(rows.withColumn("o", F.struct("chunk_index", "chunk_id")), ["source", "chapter"], "o", "n_words", "text", 100)
+    return merged.withColumn("role", segments.role_by_opening(F.col("text")))
 
 
-@query()
+#: Most tokens of a batch: a share of the service's limit that leaves room for what counting in words misses; most texts of a batch.
+BATCH_TOKENS, BATCH_TEXTS = int(120_000 * 0.15), 20
+_BATCHES = f"""with recursive {CHUNKS}, nb as (select source, chapter, chunk_id, greatest(coalesce(n_tokens, 0), 0)::bigint as n_tokens, row_number() over (partition by source, chapter order by chunk_id) as rn from c),
+b as (select source, chapter, chunk_id, n_tokens, rn, n_tokens as total, 1 as texts, 0 as batch from nb where rn = 1 union all
+select nb.source, nb.chapter, nb.chunk_id, nb.n_tokens, nb.rn, case when full_ then nb.n_tokens else total + nb.n_tokens end, case when full_ then 1 else texts + 1 end, batch + case when full_ then 1 else 0 end
+from (select b.*, z.n_tokens as more, z.rn as at, b.total + z.n_tokens > {BATCH_TOKENS} or b.texts >= {BATCH_TEXTS} as full_ from b join nb z on z.source = b.source and z.chapter = b.chapter and z.rn = b.rn + 1) x
+join nb on nb.source = x.source and nb.chapter = x.chapter and nb.rn = x.at)"""
+
+
+@query(f"{_BATCHES} select source, chapter, chunk_id, n_tokens, batch from b")
 def token_batches(spark, folder):
-    rows = chunks(spark, folder, "source", "chapter", "n_tokens").withColumn("n_tokens", F.greatest("n_tokens", F.lit(0)))
-    return segments.batches(rows, ["source", "chapter"], "chunk_id", "n_tokens", 1800, 20)
+    rows = chunks(spark, folder, "source", "chapter", "n_tokens").withColumn("n_tokens", F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)))
+    return segments.batches(rows, ["source", "chapter"], "chunk_id", "n_tokens", BATCH_TOKENS, BATCH_TEXTS)
+
+
+@query(f"{_BATCHES} select (select sum(n_tokens)::bigint from b) as tokens, (select count(*) from (select distinct source, chapter, batch from b)) as batches, (select count(*) from c where text is null or len({T.tokens_sql('text')}) = 0) as without_terms")
+def index_totals(spark, folder):
+    """Tokens and batches that an index takes, and records that have no term."""
+    cut = token_batches(spark, folder)
+    sizes = cut.groupBy("source", "chapter", "batch").agg(F.sum("n_tokens").alias("n"))
+    empty = chunks(spark, folder, "text").agg(F.count_if(F.coalesce(F.size(T.tokens(F.col("text"))), F.lit(0)) <= 0).alias("without_terms"))
+    return sizes.agg(F.sum("n").alias("tokens"), F.count("*").alias("batches")).join(F.broadcast(empty))
 
 
 @query()
 def marker_parts(spark, folder):
-    parts = segments.marker_parts(F.col("text"), r"three signs are|the commentary|as a rule")
-    return chunks(spark, folder, "text").select("chunk_id", F.posexplode(parts).alias("place", "part"))
+    """Texts cut before what opens a verse or a topic, and at some phrases of these volumes, with the role that the opening gives."""
+    markers = f"{segments.VERSE}|{segments.OPENER}|three signs are|as a rule"
+    rows = chunks(spark, folder, "text").select("chunk_id", F.posexplode(segments.marker_parts(F.col("text"), markers)).alias("place", "part"))
+    return rows.withColumn("role", segments.role_by_opening(F.col("part")))
 
 
 @query("select chunk_id as id, source, text from (select chunk_id, any_value(source) as source, any_value(text) as text from all_chunks group by 1) union all select doc_id::varchar, source, text from documents")
@@ -377,8 +560,9 @@ def upsert_batches(spark, folder):
 
 @query("select n, n as expected, true as same from (select count(distinct chunk_id) as n from all_chunks)")
 def verify_count(spark, folder):
-    rows = chunks(spark, folder)
-    return records.verified(rows, rows.count())
+    """A version of the index is written and counted as read back, against the distinct keys of the source."""
+    path = records.publish(chunks(spark, folder, "source"), spark, new_path(spark, "index"), "chunk_index", "v1")
+    return records.verified(spark.read.parquet(path), table(spark, folder, "all_chunks").select("chunk_id").distinct().count())
 
 
 @query("select source as name, p::int as part, (p - 1) * 15 + 1 as first, least(p * 15, n) as last, printf('%s_part%03d_p%04d-%04d', source, p, (p - 1) * 15 + 1, least(p * 15, n)) as part_name from (select source, n, unnest(range(1, (n + 14) // 15 + 1)) as p from (select source, count(distinct chunk_id) as n from all_chunks group by 1))")
@@ -439,6 +623,14 @@ def month_grid(spark, folder):
     return grid.select(F.col("month").cast("string"), "week", "slot", F.col("day").cast("string"))
 
 
+@query("select distinct date_trunc('month', d)::date::varchar as month, (date_trunc('month', d) - interval 1 month)::date::varchar as before, (date_trunc('month', d) + interval 1 month)::date::varchar as after from (select (loaded_at AT TIME ZONE 'UTC')::date as d from all_chunks)")
+def month_neighbours(spark, folder):
+    """Every month in which records were loaded with the months around it, over ends of years."""
+    month = F.trunc(F.to_date("loaded_at"), "month")
+    rows = table(spark, folder, "all_chunks").select(month.alias("m")).distinct()
+    return rows.select(F.col("m").cast("string").alias("month"), F.add_months("m", -1).cast("string").alias("before"), F.add_months("m", 1).cast("string").alias("after"))
+
+
 # Drafts and audits
 
 _MANIFESTS = "m as (select * from manifests qualify row_number() over (partition by artifact_dir) = 1)"
@@ -479,6 +671,27 @@ def unknown_citations(spark, folder):
     return review.unknown_citations(review.evidence(table(spark, folder, "manifests")), chunks(spark, folder))
 
 
+@query(
+    f"with {_MANIFESTS}, {CHUNKS}, q as (select artifact_dir, coalesce(query, '') as query, n_scenes, [x.chunk_id for x in coalesce(retrieved_chunks, [])] as ids from m), "
+    "sc as (select artifact_dir, 0 as scene_index, query as said, []::varchar[] as ids from q union all select artifact_dir, i::int, topic, ids[(i - 1) * 2 + 1 : i * 2] from (select artifact_dir, query as topic, ids, unnest(range(1, coalesce(n_scenes, 0) + 1)) as i from q)), "
+    "x as (select artifact_dir, scene_index, unnest(ids) as id, unnest(range(len(ids))) as place from sc), g as (select artifact_dir, scene_index, string_agg('  [' || x.id || ']: ' || case when c.chunk_id is null then '(not found)' else coalesce(text, '') end, chr(10) order by place) as texts from x left join c on c.chunk_id = x.id group by 1, 2) "
+    "select sc.artifact_dir, sc.scene_index, scene_index = 0 as exempt, 'SCENE ' || sc.scene_index || chr(10) || said || chr(10) || case when scene_index = 0 then '  (none by design)' else coalesce(texts, '  (no ids cited)') end as block from sc left join g using (artifact_dir, scene_index)"
+)
+def audit_blocks(spark, folder):
+    """What an auditor reads of each draft: the hook, which need not be grounded, and every scene with the texts that it cites."""
+    rows = table(spark, folder, "manifests").dropDuplicates(["artifact_dir"])
+    rows = rows.select("artifact_dir", F.coalesce("query", F.lit("")).alias("said"), F.coalesce("n_scenes", F.lit(0)).alias("n"), F.coalesce(F.col("retrieved_chunks.chunk_id"), F.array().cast("array<string>")).alias("ids"))
+    scenes = rows.select("artifact_dir", "said", "ids", F.explode(F.sequence(F.lit(0), F.greatest("n", F.lit(0)))).alias("scene_index"))
+    cited = F.when(F.col("scene_index") > 0, F.slice("ids", F.greatest((F.col("scene_index") - 1) * 2 + 1, F.lit(1)), F.lit(2))).otherwise(F.array().cast("array<string>"))
+    return review.audit_blocks(scenes.select("artifact_dir", "scene_index", "said", cited.alias("ids")), chunks(spark, folder, "text"))
+
+
+@query(f"with {_DRAFTS} select artifact_dir, concat_ws('-', pillar, nullif(array_to_string(m.season.aggravated_dosha, '-'), ''), m.dosha, m.topic, m.service) || '-' || strftime(try_strptime(regexp_replace(m.generated_at, ':(\\d\\d)$', '\\1'), '%Y-%m-%dT%H:%M:%S%z') AT TIME ZONE 'UTC', '%Y%m%d-%H%M%S') as slug from d join (select * exclude (pillar, label) from m) m using (artifact_dir) where d.day is not null")
+def draft_slugs(spark, folder):
+    """Names of folders from what a draft is about and the UTC time of its generation."""
+    return review.slugs(table(spark, folder, "manifests"))
+
+
 _REPORTS = "a as (select * from audit_reports qualify row_number() over (partition by artifact_dir) = 1)"
 
 
