@@ -14,17 +14,24 @@ from lexmill.functions.staging import staged
 BLOCK = 1024
 
 
-def _blocks(members: DataFrame, cls: list[str], block: int) -> tuple[DataFrame, DataFrame]:
-    """(members with their block, (*cls, blocks))."""
-    sizes = members.groupBy(*cls).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+def _blocks(members: DataFrame, links: DataFrame | None, cls: str, within: bool, block: int) -> tuple[DataFrame, DataFrame]:
+    """(members with their block, (cls, blocks)), both staged, of the classes that have a pair: linked ones and, if `within`, those of several members."""
+    sizes = members.groupBy(cls).agg(F.count("*").alias("n"))
+    several = F.col("n") > 1 if within else F.lit(False)
+    if links is not None:
+        ends = links.select(F.explode(F.array("a", "b")).alias(cls)).distinct().withColumn("linked", F.lit(True))
+        sizes = sizes.join(ends, cls, "left").where(several | F.col("linked"))
+    else:
+        sizes = sizes.where(several)
+    sizes = staged(sizes.select(cls, F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")))
     dealt = members.join(sizes, cls).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    return staged(dealt.select("id", *cls, "block")), sizes
+    return staged(dealt.select("id", cls, "block")), sizes
 
 
 def member_pairs(members: DataFrame, links: DataFrame | None, cls: str = "cls", within: bool = True, block: int | None = None) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of members of linked classes, and of one class if `within`. members: (id, cls), ids unique. links: (a, b),
     each pair of different classes once."""
-    dealt, sizes = _blocks(members, [cls], block or BLOCK)
+    dealt, sizes = _blocks(members, links, cls, within, block or BLOCK)
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = dealt.select(F.col("id").alias("x"), F.col(cls).alias("a"), F.col("block").alias("i"))
     right = dealt.select(F.col("id").alias("y"), F.col(cls).alias("b"), F.col("block").alias("j"))

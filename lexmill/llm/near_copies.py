@@ -37,8 +37,8 @@ SHINGLE, KMER, ORDER, SKETCHES = 3, 5, 2, 32
 TINY, TINY_SKETCHES = 50, 20
 #: Sketches that a pair must share, and the most classes of a bucket whose pairs are made as they are.
 AGREE, CROWD = 3, 128
-#: Classes of which one in SHARE is looked at for hot keys; a key in HOT of those is hot (some 65,000 classes hold it).
-SHARE, HOT = 64, 1024
+#: Classes of which one in SHARE is looked at for hot keys; a key in HOT of those is hot (some 262,000 classes hold it).
+SHARE, HOT = 64, 4096
 #: Share of k-mers that are repeats from which a text is also sketched without them.
 REPEATS = 0.1
 
@@ -245,12 +245,13 @@ def candidates(classes: DataFrame, agree: int = AGREE) -> DataFrame:
     """
     own = classes.select("c", _buckets(classes).alias("keys"))
     rows = own.select("c", F.explode("keys").alias("key"))
-    seen = own.where(F.pmod("c", F.lit(SHARE)) == 0).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    hot = staged(seen.where(F.col("n") >= HOT).select("key"), 1)
     waiting = None
-    if not hot.isEmpty():
-        waiting = rows.join(hot, "key", "left_semi")
-        rows = rows.join(hot, "key", "left_anti")
+    if classes.count() >= SHARE * HOT:  # else no key can be as hot
+        seen = own.where(F.pmod(F.xxhash64("c"), F.lit(SHARE)) == 0).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+        hot = staged(seen.where(F.col("n") >= HOT).select("key"), 1)
+        if not hot.isEmpty():
+            waiting = rows.join(hot, "key", "left_semi")
+            rows = rows.join(hot, "key", "left_anti")
     pairs = None
     for level in range(1, agree + 1):
         found = staged(rows.repartition("key").mapInArrow(_paired, "a bigint, b bigint, key bigint"))

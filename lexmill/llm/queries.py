@@ -62,6 +62,11 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.split_texts(table(spark, folder, "all_chunks"), "chunk_id", "text").withColumnRenamed("id", "chunk_id")
 
 
+def p3_capped(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of at most 800 words without overlap."""
+    return pieces.split_texts(table(spark, folder, "all_chunks"), "chunk_id", "text", 800, 0).withColumnRenamed("id", "chunk_id")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     found = unify.same_look(table(spark, folder, "all_chunks"))
     return found.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
@@ -181,7 +186,7 @@ ORACLE = {
     "p3_found": r"select distinct chunk_id from all_chunks where length(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))) - length(replace(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')), ' ', '')) >= 1024",
 }
 
-NAMES = """p1_found p1_pairs p1_counts p2_found p2_terms p2_grams p3_found p3_pieces p4_found p4_groups p4_texts p5_found p5_groups p6_found p6_texts
+NAMES = """p1_found p1_pairs p1_counts p2_found p2_terms p2_grams p3_found p3_pieces p3_capped p4_found p4_groups p4_texts p5_found p5_groups p6_found p6_texts
 p7_ids p7_round_trip p8_found p8_mix p8_shares p9_found p9_redacted"""
 
 

@@ -43,8 +43,8 @@ SAMPLE, TRUE_WORDS = 1500, 1500
 SMALL = 200_000
 #: A word counts as a correction only if it is so many times as frequent as the token, at most FAR letters longer or shorter, and shares LIKE of its bigrams.
 RATIO, FAR, LIKE = 6, 2, 0.4
-#: A word is taken for true from TRUE occurrences on. SALTS: parts of each bigram's tokens.
-TRUE, SALTS = 8, 8
+#: A word is taken for true from TRUE occurrences on.
+TRUE = 8
 
 # What a letter is misread as.
 MISREAD = [
@@ -60,6 +60,7 @@ BROKEN = "\u00ad"  # stands where a word was broken; the character layer has rem
 _break = re.compile(r"(?<=[\w@|‡†§¶•^~\\*])(?<!\d)(?:[-¬]| [-¬](?=[ \t]*\n))[ \t]*(?:\n[ \t]*)*(?<=\s)(?=[^\W\d_A-Z])")
 _page = re.compile(r"(?i)(?:[\[(|•–-]\s*)?(?:p(?:age|g|p)?\.?\s*)?(?=[\dOIl]*\d|[ivxlc]+\b)([\dOIl]{1,4}|[ivxlc]{1,9})\s*[\])|.–-]?")
 _chapter = re.compile(r"(?i)(?:\[\s*\S{1,5}|\bch\S{0,6}|\S?hap\S{0,4})\.?\s+[ivxlc1|]+\b")
+_number = re.compile(r"(?i)[ivxlc1|]+\b")
 _chap_token = re.compile(r"(?i)\[.{1,5}|\W?\wh\w?p\.?|\W?c\wap\.?|\W?c?.?hap\w*\.?|\[?ch\.")
 _fused = re.compile(r"(?i)[\[(]?\S?hap\w{0,4}\W?[ivxlc1|]+[.,]?\]?")
 _roman = re.compile(r"[IVXLCivxlc1|]+[.,]?\]?")
@@ -244,21 +245,31 @@ def _plain_joins() -> Logistic:
     return fitted_lines_that_go_on([])
 
 
+PART, CAPITALS, NUMERAL = 1, 2, 4
+
+
 class _Heads(dict):
-    """Whether a token may be part of a title: (as it stands, in capitals). Every distinct token is looked at once."""
+    """Whether a token may be part of a title (PART, in capitals CAPITALS) or the number of a chapter (NUMERAL). Every distinct token is looked at once."""
 
     def __init__(self, titles: frozenset[tuple[str, ...]]) -> None:
         super().__init__()
         self.titles, self.words = titles, {w for t in titles for w in t}
 
-    def __missing__(self, token: str) -> tuple[bool, bool]:
+    def __missing__(self, token: str) -> int:
         w = "".join(_letters.findall(token)).lower()
         found = len(w) > 2 and (any(near(w, t) for t in self.words) or len(w) > 8 and any(title_share([w], t) == 1 for t in self.titles))
-        self[token] = got = (found, found and _in_capitals(token))
+        got = (PART | CAPITALS * _in_capitals(token) if found else 0) | NUMERAL * bool(_number.match(token))
+        self[token] = got
         if len(self) > 500_000:
             self.clear()
         return got
 
+    def of(self, words: list[str]) -> int:
+        got = 0
+        for v in set(map(self.__getitem__, words)):
+            got |= v
+        return got
+
 
 def _in_capitals(token: str) -> bool:
     return bool(len(token) > 3 and _two_caps.search(token) and sum(c.isupper() for c in token) >= 0.6 * sum(c.isalpha() for c in token) and not _roman.fullmatch(token))
@@ -301,7 +312,8 @@ class Lines:
 
     def may_be(self, line: str) -> bool:
         """False only for lines that cannot be furniture, whatever stands around them."""
-        return any(self.heads[w][0] for w in line.split()) or bool(_chapter.search(line)) or bool(_page.fullmatch(line)) or self._open
+        got = self.heads.of(line.split())
+        return bool(got & PART or got & NUMERAL and _chapter.search(line) or _page.fullmatch(line) or self._open)
 
     def ready(self) -> Lines:
         if self.heads is None:
@@ -333,7 +345,7 @@ def _heads_inside(line: str, titles: list[tuple[str, ...]], heads: _Heads) -> li
     spans, k = [], 0
     while k < len(tokens):
         n = 0
-        if caps[k] and heads[tokens[k][0]][0]:
+        if caps[k] and heads[tokens[k][0]] & PART:
             run = 1
             while k + run < len(tokens) and caps[k + run] and run < 4:
                 run += 1
@@ -365,20 +377,22 @@ def structure(text: str | None, source: str | None, lines_model: Lines) -> tuple
     kinds: set[str] = set()
     title = title_of(source)
     heads = lines_model.ready().heads
+    held = heads.of(text.split())
     if "\n" in text:
         lines = text.split("\n")
         usual, drop = _usual(lines), set()
+        some = held & (PART | NUMERAL) or lines_model._open
         for i, s, before, after in _neighbours(lines):
-            if got := lines_model.kinds(s, before, after, title, usual):
+            if (some or _page.fullmatch(s)) and (got := lines_model.kinds(s, before, after, title, usual)):
                 kinds.update(got), drop.add(i)
         if drop:
             lines = [s for i, s in enumerate(lines) if i not in drop and not (not s.strip() and i - 1 in drop)]
             text = "\n".join(lines)
-    if any(heads[w][1] for w in set(text.split())):
+    if held & CAPITALS:
         titles = [title, *(t for t in lines_model.titles if t != title)] if title else list(lines_model.titles)
         out = []
         for s in text.split("\n"):
-            spans = _heads_inside(s, titles, heads)
+            spans = _heads_inside(s, titles, heads) if heads.of(s.split()) & CAPITALS else []
             for a, b in reversed(spans):
                 kinds.add("header")
                 s = s[:a].rstrip() + " " + s[b:].lstrip()
@@ -481,34 +495,43 @@ def grams_of(column: str) -> F.Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(column) + 1), lambda i: F.substring(padded, i, 2)))
 
 
+# Fixed value: letters by how common they are, the common ones first. Any order of bigrams gives the same candidates; this one looks up few.
+COMMON_FIRST = "e^$tainosrhldcumfgpwybvkxjqz"
+
+
+def _rare_first(grams: F.Column) -> F.Column:
+    """Bigrams sorted, those of rare letters first."""
+
+    def place(c: F.Column) -> F.Column:
+        at = F.position(c, F.lit(COMMON_FIRST))
+        return F.when(at == 0, 40).otherwise(at)
+
+    keyed = F.transform(grams, lambda g: F.struct((-place(F.substring(g, 1, 1)) - place(F.substring(g, 2, 1))).alias("o"), g.alias("g")))
+    return F.transform(F.array_sort(keyed), lambda x: x["g"])
+
+
 def similar_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """(key, n, word, word_n, shared): tokens (key, n) with the words (word, word_n) that are RATIO times as frequent, at most FAR letters longer or
     shorter, and share LIKE of their bigrams, two at least.
 
-    An inverted join on bigrams, of which only those are looked up that decide: two sets that must share t elements share one among the g - t + 1 of
-    either that come first in any common order. The order is by how many words hold a bigram, so the common ones are looked up for short words only.
-    Both sides are dealt by bigram and a salt into a fixed number of tasks, as few small rows meet very many.
+    An inverted join on bigrams and lengths, of which only those are looked up that decide: two sets that must share t elements share one among the
+    g - t + 1 of either that come first in any common order. Both sides are dealt by bigram and length into a fixed number of tasks, as few small rows
+    meet very many.
     """
     spark = tokens.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     need = lambda size: F.greatest(F.lit(2), F.ceil((size + 1) * F.lit(LIKE))).cast("int")
-    b = words.select("word", "word_n", F.char_length("word").alias("word_size"), grams_of("word").alias("grams"))
-    held = staged(b.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("held")), 1)
-
-    def first(rows: DataFrame, key: list[str], t: F.Column) -> DataFrame:
-        """The deciding bigrams of each row; bigrams that no word holds come first, and are dropped as they meet nothing."""
-        each = rows.withColumn("t", t).select(*key, F.size("grams").alias("g"), "t", F.explode("grams").alias("gram")).join(held, "gram", "left")
-        order = F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram")))
-        some = each.groupBy(*key, "g", "t").agg(order.alias("o"))
-        some = some.select(*key, F.explode(F.slice("o", 1, F.greatest(F.col("g") - F.col("t") + 1, F.lit(0)))).alias("e"))
-        return some.where("e.held > 0").select(*key, "e.gram")
-
-    a = tokens.select("key", "n", F.char_length("key").alias("size"), grams_of("key").alias("grams"))
-    a = first(a, ["key", "n", "size"], need(F.greatest(F.col("size") - FAR, F.lit(1)))).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    b = first(b, ["word", "word_n", "word_size"], need(F.col("word_size"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = a.repartition(tasks, "gram", "salt").join(b.repartition(tasks, "gram", "salt").hint("shuffle_hash"), ["gram", "salt"])
-    met = met.where((F.col("word_n") >= RATIO * F.col("n")) & (F.abs(F.col("size") - F.col("word_size")) <= FAR))
-    met = met.select("key", "n", "word", "word_n").distinct()
+
+    def deciding(key: str, t: F.Column) -> F.Column:
+        grams = grams_of(key)
+        return F.explode(F.slice(_rare_first(grams), F.lit(1), F.greatest(F.size(grams) - t + 1, F.lit(0)))).alias("gram")
+
+    size = F.char_length("key")
+    a = tokens.select("key", "n", size.alias("size"), deciding("key", need(F.greatest(size - FAR, F.lit(1)))))
+    b = words.select("word", "word_n", F.char_length("word").alias("word_size"), deciding("word", need(F.char_length("word"))))
+    b = b.select("word", "word_n", "gram", F.explode(F.sequence(F.col("word_size") - FAR, F.col("word_size") + FAR)).alias("size"))
+    met = a.repartition(tasks, "gram", "size").join(b.repartition(tasks, "gram", "size").hint("shuffle_hash"), ["gram", "size"])
+    met = met.where(F.col("word_n") >= RATIO * F.col("n")).select("key", "n", "word", "word_n").distinct()
     met = met.withColumn("shared", F.size(F.array_intersect(grams_of("key"), grams_of("word"))))
     return met.where(F.col("shared") >= need(F.char_length("word")))
 

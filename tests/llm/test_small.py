@@ -51,6 +51,8 @@ def test_pieces(chunks):
     assert {r.id for r in rows} == {"f"} and rows[0].start == 0 and rows[-1].end == 30_000
     assert all(r.end - r.start <= 1024 for r in rows) and all(0 <= a.end - b.start <= 128 and b.start > a.start for a, b in zip(rows, rows[1:]))
     assert run(pieces.split_texts(chunks.limit(0), "chunk_id", "text")) == []
+    bare = pieces.split_texts(chunks, "chunk_id", "text", 800, 0).orderBy("piece").collect()
+    assert [r.start for r in bare] == [0, *[r.end for r in bare[:-1]]] and bare[-1].end == 30_000 and all(r.end - r.start <= 800 for r in bare)
 
 
 def test_unify(spark, chunks):
