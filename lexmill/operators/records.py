@@ -40,6 +40,14 @@ def publish(df: DataFrame, spark: SparkSession, folder: str, alias: str, version
     return path
 
 
+def ensured(spark: SparkSession, path: str, schema: str, force: bool = False) -> DataFrame:
+    """The collection at `path`; an empty one of this schema where there is none, or anew with `force`. Running it again changes nothing."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if force or not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def verified(df: DataFrame, expected: int) -> DataFrame:
     """One row (n, expected, same): the count after a write against what was sent."""
     return df.agg(F.count("*").alias("n")).select("n", F.lit(expected).cast("bigint").alias("expected"), (F.col("n") == expected).alias("same"))

@@ -79,6 +79,19 @@ def clip_timeline(manifests: DataFrame, seconds: float = 8.0, first: float = 6.0
     return rows.select("artifact_dir", "place", "clip", F.coalesce(before, F.lit(0.0)).alias("starts"))
 
 
+def reel_lengths(manifests: DataFrame, seconds: float = 8.0, first: float = 6.0, overlap: float = 0.5) -> DataFrame:
+    """(artifact_dir, n, length): clips of each draft and their length end to end with overlaps; no clips last 0 seconds."""
+    n = F.coalesce(F.size("artifacts.clips"), F.lit(0))
+    n = F.greatest(n, F.lit(0))
+    rows = manifests.dropDuplicates(["artifact_dir"]).select("artifact_dir", n.alias("n"))
+    return rows.withColumn("length", F.when(F.col("n") == 0, 0.0).otherwise(first + (F.col("n") - 1) * (seconds - overlap)))
+
+
+def voice(name: F.Column, voices: list[str]) -> F.Column:
+    """One of some voices, always the same for a name: by the first eight digits of its MD5."""
+    return F.element_at(F.array(*map(F.lit, voices)), (F.pmod(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint"), F.lit(len(voices))) + 1).cast("int"))
+
+
 def paired_media(manifests: DataFrame) -> DataFrame:
     """(artifact_dir, place, clip, audio): clips and audio by place, of manifests that have as many of both."""
     rows = manifests.dropDuplicates(["artifact_dir"]).where(F.size("artifacts.clips") == F.size("artifacts.audio"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.numerals import parse_roman
 from lexmill.functions.staging import staged
-from lexmill.functions.text import lines
+from lexmill.functions.text import lines, word_count
 
-from .chapters import SECTION_NAMES
+from .chapters import SECTION_NAMES, chapter_texts
 
 
 def line_table(texts: DataFrame, id: str, text: str, *keep: str) -> DataFrame:
@@ -31,15 +31,18 @@ NOISE_RULES = {
 # The steps that clean the joined lines of the first family, in order.
 CLEANING = [
     (r"([a-zà-ÿ])-\s+([a-zà-ÿ])", "$1$2"),
-    (r"(?U)(\w)-\s+(\w)", "$1-$2"),
+    (r"([\p{L}\p{N}_])-\s+([\p{L}\p{N}_])", "$1-$2"),
     (r":\s*-+(?=\s*\S)", ":—"),
-    (r"(?U)(?<=\w)\s*--\s*(?=\w)", "—"),
+    (r"(?<=[\p{L}\p{N}_])\s*--\s*(?=[\p{L}\p{N}_])", "—"),
     (r"[*†‡‹›•✓\\|§¶]", " "),
     (r"(?i)(?:a\s*u\s*)?thoritative verse", "Authoritative verse"),
     (r"(?i)^CHAPTER\s+[IVXLC ]+[.,]?\s*", ""),
-    (r"(?U)\s+", " "),
+    (r"[\s\p{Z}]+", " "),
 ]
 
+#: What stands between the parts of a stitched volume.
+SEPARATOR = r"^={10} .* ={10}$"
+
 # What opens a part of a chapter, and which of them opens a verse.
 VERSE = "Authoritative verses?|Metrical texts?|Additional texts?"
 OPENER = "Now we shall (?:discuss|discourse|describe)"
@@ -96,9 +99,11 @@ def cleaned(text: Column) -> Column:
     return F.regexp_replace(stripped(joined), r"^[. ]+", "")
 
 
-def cleaned_2(text: Column, names: list[str] | None = None) -> Column:
-    """A text of the second family: noise lines dropped, header tokens dropped at the start of every line, no blanks at the ends; line breaks stay."""
-    kept = F.array_join(F.filter(lines(text), lambda s: noise_rule_2(s, names).isNull()), "\n")
+def cleaned_2(text: Column, names: list[str] | None = None, separators: bool = True) -> Column:
+    """A text of the second family: noise lines dropped, header tokens dropped at the start of every line, no blanks at the ends; line breaks stay. The
+    rules know no separators between stitched parts; without `separators` those go as well."""
+    kept = F.filter(lines(text), lambda s: noise_rule_2(s, names).isNull() & (F.lit(separators) | ~stripped(s).rlike(SEPARATOR)))
+    kept = F.array_join(kept, "\n")
     return stripped(F.regexp_replace(F.regexp_replace(kept, r"\n{3,}", "\n\n"), r"(?im)^CHAPTER\s*[IVXLC\d]+\s*[-–.]?\s*", ""))
 
 
@@ -194,3 +199,21 @@ def one_way_sections(hints: DataFrame, volume: str, place: str, section: str) ->
     """
     hint = hints.where(F.col(section).isNotNull()).select(F.col(volume).alias("volume"), F.col(section).cast("string").alias("section"), F.col(place).cast("bigint").alias("start"))
     return hint.groupBy("volume", "section").agg(F.min("start").alias("start"))
+
+
+def volume_chunks(rows: DataFrame, bounds: DataFrame, least: int, markers: str = f"{VERSE}|{OPENER}") -> DataFrame:
+    """(volume, n, place, name, role, n_tokens, text): the chunks of every volume of the first family, in one job: the lines of each chapter are stripped of
+    noise where they stand, runs of lines up to the next marker become parts, and parts of fewer than `least` words join their neighbours.
+
+    rows, bounds: as of `chapters`. A part starts on a line that a marker opens; what is brought together is a part, never a chapter. Parts are cleaned
+    as whole texts, so words broken over lines are closed. Parts that are empty after cleaning are dropped.
+    """
+    w = Window.partitionBy("volume", "n").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    kept = chapter_texts(rows, bounds).where(noise_rule(F.col("line")).isNull())
+    opens = stripped(F.col("line")).rlike(f"(?i)^(?:{markers})").cast("int")
+    placed = kept.withColumn("part", F.sum(opens).over(w))
+    items = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    parts = placed.groupBy("volume", "n", "part").agg(F.array_join(F.transform(items, lambda x: x["line"]), "\n").alias("text"))
+    parts = parts.withColumn("text", cleaned(F.col("text"))).where("text <> ''").withColumn("size", word_count(F.col("text")))
+    whole = merged_fragments(parts, ["volume", "n"], "part", "size", "text", least)
+    return whole.select("volume", "n", "place", chunk_name(F.col("volume"), F.col("n"), F.col("place")).alias("name"), role_by_opening(F.col("text")).alias("role"), "n_tokens", "text")

@@ -73,3 +73,16 @@ def untagged(texts: DataFrame, id: str, tags: DataFrame) -> DataFrame:
     """(untagged, texts, share): texts without any tag; the share of no texts is null."""
     marks = texts.select(F.col(id).alias("id")).distinct().join(tags.select("id", F.lit(1).alias("hit")).distinct(), "id", "left")
     return marks.agg(F.count_if(F.col("hit").isNull()).alias("untagged"), F.count("*").alias("texts")).withColumn("share", F.round(F.try_divide("untagged", "texts"), 6))
+
+
+def tag_columns(texts: DataFrame, id: str, tags: DataFrame, combined: DataFrame, order: list[str]) -> DataFrame:
+    """(id, doshas_mentioned, dosha_combinations, herbs, diseases): the tags of every text as arrays, empty where there are none; doshas in `order`, the
+    others by name. combined: (id, combination)."""
+    every = texts.select(F.col(id).alias("id")).distinct()
+    of = lambda category: F.array_sort(F.collect_set(F.when(F.col("category") == category, F.col("canonical"))))
+    rows = tags.groupBy("id").agg(of("doshas").alias("d"), of("herbs").alias("herbs"), of("diseases").alias("diseases"))
+    pairs = combined.groupBy("id").agg(F.array_sort(F.collect_set("combination")).alias("c"))
+    none = F.array().cast("array<string>")
+    doshas = F.filter(F.array(*map(F.lit, order)), lambda x: F.array_contains(F.coalesce("d", none), x))
+    rows = every.join(rows, "id", "left").join(pairs, "id", "left")
+    return rows.select("id", doshas.alias("doshas_mentioned"), F.coalesce("c", none).alias("dosha_combinations"), *[F.coalesce(c, none).alias(c) for c in ("herbs", "diseases")])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as T
 from lexmill.functions.numerals import ordinal_words, parse_numeral, parse_ordinal, parse_roman, roman
 from lexmill.functions.staging import new_path
-from lexmill.operators import chapters, dates, records, retrieval, review, segments, tagging
+from lexmill.operators import chapters, dates, lookups, records, retrieval, review, segments, tagging
 from lexmill.sources import files, sinks
 from lexmill.sources.tables import table
 from lexmill.streaming import ingest
@@ -249,7 +249,15 @@ def snippets(spark, folder):
     return table(spark, folder, "documents").select("doc_id", words.cast("bigint").alias("words"), F.left(T.squeezed(F.col("text")), F.lit(120)).alias("snippet"))
 
 
-@query()
+def _spoken_sql() -> str:
+    t = "text"
+    for word, said in T.SPOKEN.items():
+        for _ in range(2):  # a word may end where the next begins
+            t = rf"regexp_replace({t}, '(?i)(^|[^\p{{L}}\p{{N}}_]){word}($|[^\p{{L}}\p{{N}}_])', '\1{said}\2', 'g')"
+    return t
+
+
+@query(f"select doc_id, {_spoken_sql()} as spoken from documents")
 def spoken_text(spark, folder):
     return table(spark, folder, "documents").select("doc_id", T.spoken(F.col("text")).alias("spoken"))
 
@@ -285,7 +293,26 @@ def noise_lines_2(spark, folder):
     return _lines(spark, folder).select("id", "line_no", "line", segments.noise_rule_2(F.col("line"), SECTIONS).alias("rule")).where("rule is not null")
 
 
-@query()
+_STRIP = "regexp_replace({}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+
+
+def _cleaning_sql() -> str:
+    """The steps of cleaning for an engine without look-around: what follows is caught and put back, twice where one match may end where the next begins."""
+    t = "coalesce(t, '')"
+    for old, new in segments.CLEANING:
+        flags = "'g'" if not old.startswith("(?i)^") else "''"
+        if old.startswith("(?<="):
+            for _ in range(2):
+                t = rf"regexp_replace({t}, '([\p{{L}}\p{{N}}_])\s*--\s*([\p{{L}}\p{{N}}_])', '\1—\2', 'g')"
+        elif "(?=" in old:
+            t = rf"regexp_replace({t}, ':\s*-+(\s*\S)', ':—\1', 'g')"
+        else:
+            put = new.replace("$1", r"\1").replace("$2", r"\2")
+            t = f"regexp_replace({t}, '{old}', '{put}', {flags})"
+    return rf"regexp_replace(regexp_replace({t}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '^[. ]+', '')"
+
+
+@query(f"{_LINES}, k as (select id, string_agg({_STRIP.format('line')}, ' ' order by line_no) filter ({segments.noise_rule_sql('line')} is null) as t from lt group by 1), d as (select id, {_cleaning_sql()} as t from k) select chunk_id, case when text is null then null else coalesce(t, '') end as text from c left join d on d.id = c.chunk_id")
 def cleaned_texts(spark, folder):
     return chunks(spark, folder, "text").select("chunk_id", segments.cleaned(F.col("text")).alias("text"))
 
@@ -371,12 +398,12 @@ _ORDINALS = "ord(word, number) as (values " + ", ".join(f"('{w}', {n})" for w, n
 
 
 @query(
-    f"with {CHUNKS}, w as (select distinct unnest(regexp_extract_all(lower(text), '\\b([a-z]+(?:[ -][a-z]+)?)\\s+(?:day|dose|watch|rains)\\b', 1)) as phrase from c), {_ORDINALS}, "
+    f"with {CHUNKS}, w as (select distinct unnest(regexp_extract_all(lower(text), '(?:^|[^\\p{{L}}\\p{{N}}_])([a-z]+(?:[ -][a-z]+)?)[ \\n]+(?:day|dose|watch|rains)(?:$|[^\\p{{L}}\\p{{N}}_])', 1)) as phrase from c), {_ORDINALS}, "
     "k as (select phrase, trim(regexp_replace(regexp_replace(regexp_replace(phrase, '[^a-z]+', ' ', 'g'), '\\bthe\\b', ' ', 'g'), '\\s+', ' ', 'g')) as said from w) select phrase, number from k left join ord on ord.word = said"
 )
 def ordinal_parse(spark, folder):
     """Ordinals in the phrases before days, doses, watches and rains."""
-    found = F.regexp_extract_all(F.lower("text"), F.lit(r"\b([a-z]+(?:[ -][a-z]+)?)\s+(?:day|dose|watch|rains)\b"), F.lit(1))
+    found = F.regexp_extract_all(F.lower("text"), F.lit(r"(?:^|[^\p{L}\p{N}_])([a-z]+(?:[ -][a-z]+)?)[ \n]+(?:day|dose|watch|rains)(?:$|[^\p{L}\p{N}_])"), F.lit(1))
     return chunks(spark, folder, "text").select(F.explode(found).alias("phrase")).distinct().select("phrase", parse_ordinal(F.col("phrase")).alias("number"))
 
 
@@ -420,18 +447,36 @@ union all select volume, line_no, 'close', number from k0 join ord on word = tri
 k2 as (select volume, max(line_no) as body from k1 where kind = 'open' and n = 1 group by 1), f1 as (select k1.volume, kind, n, min(line_no) as at from k1 left join k2 using (volume) where line_no >= coalesce(body, 0) group by 1, 2, 3)"""
 
 
-@query(
+_BOUNDS = (
     f"{_MARKS}, v as (select volume, unnest(range(1, max(n) + 1))::int as n, max(n) as most from f1 group by volume), j as (select v.volume, v.n, v.most, last, o0.at as o0, o1.at as o1, o2.at as o2, r0.at as r0, r1.at as r1, c0.at as c0, c1.at as c1, cb.at as cb from v join pe using (volume) "
     + " ".join(f"left join f1 {name} on {name}.volume = v.volume and {name}.kind = '{kind}' and {name}.n = v.n + {ahead}" for name, kind, ahead in (("o0", "open", 0), ("o1", "open", 1), ("o2", "open", 2), ("r0", "run", 0), ("r1", "run", 1), ("c0", "close", 0), ("c1", "close", 1), ("cb", "close", -1)))
     + "), e as (select volume, n, case when o0 is not null then o0 when cb is not null then cb + 1 else r0 end as s, case when c0 is not null then c0 when o1 is not null then o1 - 1 when r1 is not null then r1 - 1 when c1 is not null then c1 when o2 is not null then o2 - 1 when n = most then last end as t, "
-    "(o0 is not null or cb is not null) and (c0 is not null or o1 is not null) as exact from j) select volume, n, case when s < t then s end as start, case when s < t then t end as \"end\", case when not coalesce(s < t, false) then 'unresolved' when not exact then 'approximate' end as note from e"
+    "(o0 is not null or cb is not null) and (c0 is not null or o1 is not null) as exact from j)"
 )
+_NOTED = "select volume, n, case when s < t then s end as start, case when s < t then t end as \"end\", case when not coalesce(s < t, false) then 'unresolved' when not exact then 'approximate' end as note from e"
+
+
+@query(f"{_BOUNDS} {_NOTED}")
 def chapter_bounds(spark, folder):
     """Chapters of the printed volumes by openings, colophons and running heads."""
     rows = _printed(spark, folder)
     return chapters.chapter_bounds(chapters.marks(rows), chapters.last_lines(rows))
 
 
+@query(f"{_BOUNDS}, w as ({_NOTED}) select volume, n, note from w where note is not null order by volume, n limit 20")
+def first_warnings(spark, folder):
+    """The first 20 chapters, by volume, whose bounds are not exact."""
+    return chapter_bounds(spark, folder).where("note is not null").select("volume", "n", "note").orderBy("volume", "n").limit(20)
+
+
+@query()
+def rechunked_volumes(spark, folder):
+    """The printed volumes cut into chunks anew, from their lines to names, roles and sizes."""
+    rows = _printed(spark, folder)
+    bounds = chapters.chapter_bounds(chapters.marks(rows), chapters.last_lines(rows))
+    return segments.volume_chunks(rows, bounds, 100, MARKERS)
+
+
 @query(
     f"{_PRINTED}, {_NUMBERS}, o as (select volume, line_no as at from pl join num on numeral = {_numeral(f"regexp_extract(trim(line), '{chapters.OPENING}', 1)")} and number = 1), "
     "h as (select volume, line_no, case " + " ".join(f"when regexp_matches(line, '(?i){k}') then '{k}'" for k in SECTIONS) + " end as section, lower(line) as low, lower(concat_ws(' ', line, next_line)) as wide from pl), "
@@ -460,7 +505,7 @@ def section_chapters(spark, folder):
     return chapters.section_chapters(_printed(spark, folder), "adisthana", SECTIONS, SECTION_LABELS)
 
 
-@query()
+@query(f"{_BOUNDS}, bo as (select volume, n, s, t from e where s < t) select bo.volume, bo.n, count(*) as n_lines, sum(len(regexp_extract_all(line, '[^ \\t\\r\\n\\f\\x0b]+')))::bigint as n_words from bo join pl on pl.volume = bo.volume and pl.line_no between s and t group by 1, 2")
 def chapter_words(spark, folder):
     """Words of each chapter of the printed volumes, between its bounds."""
     rows = _printed(spark, folder)
@@ -492,7 +537,12 @@ def role_counts(spark, folder):
     return chunks(spark, folder, "section_role").groupBy(F.coalesce("section_role", F.lit("(none)")).alias("role")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"with recursive {CHUNKS}, nb as (select source, chapter, text, len(regexp_extract_all(text, '[^ \\t\\r\\n\\f\\x0b]+'))::bigint as n, row_number() over (partition by source, chapter order by chunk_index, chunk_id) as rn from c where text is not null), "
+    "b as (select source, chapter, rn, n, text, n as total, n >= 100 as closed, 0 as place from nb where rn = 1 union all select nb.source, nb.chapter, nb.rn, nb.n, nb.text, case when closed then total else total + nb.n end, closed or total + nb.n >= 100, case when closed and nb.n >= 100 then place + 1 else place end "
+    "from b join nb on nb.source = b.source and nb.chapter = b.chapter and nb.rn = b.rn + 1), g as (select source, chapter, place, sum(n)::bigint as n_tokens, string_agg(text, ' ' order by rn) as text from b group by 1, 2, 3) "
+    "select *, " + "case when regexp_matches(text, '(?i)^(?:Authoritative verses?|Metrical texts?|Additional texts?)') then 'verse_summary' when regexp_matches(text, '(?i)^(?:Now we shall (?:discuss|discourse|describe))') then 'topic' else 'prose' end as role from g"
+)
 def merged_fragments(spark, folder):
     words = F.regexp_count("text", F.lit(r"\S+"))
     rows = chunks(spark, folder, "text", "source", "chapter", "chunk_index").where("text is not null").withColumn("n_words", words)
@@ -524,10 +574,17 @@ def index_totals(spark, folder):
     return sizes.agg(F.sum("n").alias("tokens"), F.count("*").alias("batches")).join(F.broadcast(empty))
 
 
-@query()
+MARKERS = f"{segments.VERSE}|{segments.OPENER}|three signs are|as a rule"
+_ROLE = "case when regexp_matches({0}, '(?i)^(?:" + segments.VERSE + ")') then 'verse_summary' when regexp_matches({0}, '(?i)^(?:" + segments.OPENER + ")') then 'topic' else 'prose' end"
+
+
+@query(
+    f"with {CHUNKS}, p as (select chunk_id, list_filter(list_transform(string_split(regexp_replace(text, '(?i)({MARKERS})', chr(1) || '\\1', 'g'), chr(1)), lambda x: {_STRIP.format('x')}), lambda x: x <> '') as ps from c where text is not null), "
+    f"q as (select chunk_id, unnest(range(len(ps)))::int as place, unnest(ps) as part from p) select chunk_id, place, part, {_ROLE.format('part')} as role from q"
+)
 def marker_parts(spark, folder):
     """Texts cut before what opens a verse or a topic, and at some phrases of these volumes, with the role that the opening gives."""
-    markers = f"{segments.VERSE}|{segments.OPENER}|three signs are|as a rule"
+    markers = MARKERS
     rows = chunks(spark, folder, "text").select("chunk_id", F.posexplode(segments.marker_parts(F.col("text"), markers)).alias("place", "part"))
     return rows.withColumn("role", segments.role_by_opening(F.col("part")))
 
@@ -542,7 +599,10 @@ def corpus_union(spark, folder):
 
 # Index upkeep
 
-@query()
+@query(
+    f"with h as (select chunk_id, sha1(unhex('{SPACE.hex}') || chunk_id::blob) as h from (select distinct chunk_id from all_chunks)) select chunk_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || "
+    "printf('%02x', (('0x' || substr(h, 17, 2))::int & 63) | 128) || substr(h, 19, 2) || '-' || substr(h, 21, 12) as point_id from h"
+)
 def point_ids(spark, folder):
     return chunks(spark, folder).select("chunk_id", records.point_id(F.col("chunk_id"), SPACE).alias("point_id"))
 
@@ -585,11 +645,23 @@ def stitched_chapters(spark, folder):
     return files.stitched(rows.withColumn("o", F.struct("chunk_index", "chunk_id")), "volume", "o", "chunk_id", "text")
 
 
-@query(f"{_TAGS}, h as (select id, list_sort(list(canonical)) as herbs from t where category = 'herbs' group by 1) select chunk_id, array_to_string(coalesce(h.herbs, c.herbs), ',') as herbs from c left join h on h.id = c.chunk_id")
+def _listed(category: str) -> str:
+    return f"(select id, string_agg(canonical, ',' order by canonical) as v from t where category = '{category}' group by 1)"
+
+
+@query(
+    f"{_TAGS}, fo as (select chunk_id as id, {T.fold_sql('text')} as f from c where text is not null), two as (select id, string_agg(canonical, '-' order by case canonical when 'vata' then 1 when 'pitta' then 2 else 3 end) as pair from t where category = 'doshas' and canonical in ('vata', 'pitta', 'kapha') group by 1 having count(*) = 2), co as ("
+    + " union ".join(f"select id, '{a}-{b}' as combination from fo where {_said([f'{a}-{b}', a + b])}" for i, a in enumerate(DOSHAS) for b in DOSHAS[i + 1 :])
+    + f" union select id, 'tridosha' from fo where {_said(ALL_THREE)} union select id, pair from fo join two using (id) where {_said(DUAL)}), cc as (select id, string_agg(combination, ',' order by combination) as v from co group by 1), "
+    "dd as (select id, string_agg(canonical, ',' order by case canonical when 'vata' then 1 when 'pitta' then 2 else 3 end) as v from t where category = 'doshas' and canonical in ('vata', 'pitta', 'kapha') group by 1) "
+    f"select c.chunk_id, coalesce(dd.v, '') as doshas_mentioned, coalesce(cc.v, '') as dosha_combinations, coalesce(h.v, '') as herbs, coalesce(i.v, '') as diseases, source from c left join dd on dd.id = c.chunk_id left join cc on cc.id = c.chunk_id left join {_listed('herbs')} h on h.id = c.chunk_id left join {_listed('diseases')} i on i.id = c.chunk_id"
+)
 def retagged(spark, folder):
-    """The herbs of each record replaced by those found in its text, where any is."""
-    fresh = _tags(spark, folder).where("category = 'herbs'").groupBy(F.col("id").alias("chunk_id")).agg(F.array_sort(F.collect_list("canonical")).alias("herbs"))
-    return sinks.replace_columns(chunks(spark, folder, "herbs"), fresh, "chunk_id").select("chunk_id", F.array_join("herbs", ",").alias("herbs"))
+    """The four tag columns of each record replaced by what its text holds; the others stay."""
+    rows = chunks(spark, folder, "source", "text", "doshas_mentioned", "herbs", "diseases").withColumn("dosha_combinations", F.array().cast("array<string>"))
+    fresh = tagging.tag_columns(rows, "chunk_id", _tags(spark, folder), tag_combinations(spark, folder), DOSHAS).withColumnRenamed("id", "chunk_id")
+    tags = ["doshas_mentioned", "dosha_combinations", "herbs", "diseases"]
+    return sinks.replace_columns(rows, fresh, "chunk_id").select("chunk_id", *[F.array_join(c, ",").alias(c) for c in tags], "source")
 
 
 # Dates
@@ -725,6 +797,25 @@ def clip_timeline(spark, folder):
     return review.clip_timeline(table(spark, folder, "manifests"))
 
 
+@query(f"with {_MANIFESTS} select artifact_dir, coalesce(len(artifacts.clips), 0)::int as n, case when coalesce(len(artifacts.clips), 0) = 0 then 0.0 else 6.0 + (len(artifacts.clips) - 1) * 7.5 end::double as length from m")
+def reel_lengths(spark, folder):
+    return review.reel_lengths(table(spark, folder, "manifests"))
+
+
+@query(f"with {_MANIFESTS} select artifact_dir, ['low', 'high'][(('0x' || substr(md5(artifact_dir), 1, 8))::bigint % 2 + 1)::int] as voice from m")
+def voices(spark, folder):
+    """A voice for each draft, the same in every run."""
+    return table(spark, folder, "manifests").select("artifact_dir").distinct().select("artifact_dir", review.voice(F.col("artifact_dir"), ["low", "high"]).alias("voice"))
+
+
+@query("with s as (select distinct unnest(months) as month, key, label from seasons) select o_orderkey, key as season, label from orders join s on month(o_orderdate) = s.month")
+def required_seasons(spark, folder):
+    """The season of every order; a month without one, or with two, stops the job."""
+    seasons = table(spark, folder, "seasons").select(F.explode("months").alias("month"), F.col("key").alias("season"), "label")
+    rows = table(spark, folder, "orders").select("o_orderkey", F.month("o_orderdate").alias("month"))
+    return lookups.required(rows, seasons, "month").select("o_orderkey", "season", "label")
+
+
 @query(f"with {_MANIFESTS}, k as (select artifact_dir, unnest(range(len(artifacts.clips)))::int as place, unnest(artifacts.clips) as clip, unnest(artifacts.audio) as audio from m where len(artifacts.clips) = len(artifacts.audio)) select * from k")
 def paired_media(spark, folder):
     return review.paired_media(table(spark, folder, "manifests"))
@@ -738,7 +829,7 @@ def stream_first_arrivals(spark, folder):
     return ingest.drained(ingest.first_arrivals(ingest.arriving(spark, folder, "all_chunks").select("chunk_id", "source", "loaded_at"), "chunk_id", "loaded_at")).select("chunk_id", "source")
 
 
-@query()
+@query("select date_trunc('day', ts) as start, event_type, count(*) as n from events where date_trunc('day', ts) + interval 1 day <= (select max(ts) from events) group by 1, 2")
 def stream_event_counts(spark, folder):
     """Daily counts by type of event, of the days that the watermark has closed."""
-    return ingest.drained(ingest.windowed_counts(ingest.arriving(spark, folder, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type"), "ts", "1 day", "event_type"))
+    return ingest.drained(ingest.windowed_counts(ingest.arriving(spark, folder, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type"), "ts", "1 day", "event_type")).withColumn("start", F.col("start").cast("timestamp_ntz"))

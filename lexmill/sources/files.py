@@ -13,8 +13,14 @@ def volumes(spark: SparkSession, path: str, pattern: str = "*.txt", encoding_err
     name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
     if not encoding_errors:
         return files.select(name.alias("name"), F.decode("content", "UTF-8").alias("text"))
-    replaced = F.udf(lambda b: bytes(b).decode("utf-8", "replace"), "string")
-    return files.select(name.alias("name"), replaced("content").alias("text"))
+    return files.select(name.alias("name"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
+def artifact_folders(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
+    """(dir, files): the folders below `path` that hold every required file, with the sorted names of all their files. Contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("dir"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))
+    folders = found.groupBy("dir").agg(F.array_sort(F.collect_set("file")).alias("files"))
+    return folders.where(F.size(F.array_except(F.array(*map(F.lit, required)), "files")) == 0)
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -37,9 +43,10 @@ def page_ranges(volumes: DataFrame, name: str, pages: str, size: int = 15) -> Da
     return rows.select("name", "part", "first", "last", F.format_string("%s_part%03d_p%04d-%04d", "name", "part", "first", "last").alias("part_name"))
 
 
-def pending(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """What has no output yet, so that a run can be taken up again."""
-    return wanted.join(done.select(key), key, "left_anti")
+def pending(wanted: DataFrame, done: DataFrame, key: str, first: int | None = None) -> DataFrame:
+    """What has no output yet, so that a run can be taken up again; the `first` so many by key, where given."""
+    left = wanted.join(done.select(key), key, "left_anti")
+    return left if first is None else left.orderBy(key).limit(first)
 
 
 def stitched(parts: DataFrame, volume: str, order: str, label: str, text: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as T
 from lexmill.functions.numerals import parse_numeral, parse_ordinal, parse_roman, roman
 from lexmill.functions.ranking import numbered
-from lexmill.operators import dates, records, retrieval, review, segments, tagging
+from lexmill.operators import dates, lookups, records, retrieval, review, segments, tagging
 from lexmill.sources import files, sinks
 
 
@@ -155,6 +155,42 @@ def test_files(spark, tmp_path):
     assert [r.part_name for r in ranges] == ["v_part001_p0001-0015", "v_part002_p0016-0030", "v_part003_p0031-0031"]
 
 
+def test_folders_and_collections(spark, tmp_path):
+    for name, body in (("d1", ["manifest.json", "script.json"]), ("d2", ["manifest.json"]), ("d3", ["script.json", "manifest.json", "reel.mp4"])):
+        (tmp_path / "runs" / name).mkdir(parents=True)
+        for f in body:
+            (tmp_path / "runs" / name / f).write_text("{}")
+    got = files.artifact_folders(spark, str(tmp_path / "runs"), ["manifest.json", "script.json"]).collect()
+    assert sorted((r.dir, r.files) for r in got) == [("d1", ["manifest.json", "script.json"]), ("d3", ["manifest.json", "reel.mp4", "script.json"])]
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, n int")
+    sinks.write_json_documents(df, "k", str(tmp_path / "docs"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "docs")).collect()) == ['{"n":1}', '{"n":2}', '{"n":3}']
+    assert [r.k for r in files.pending(df, df.where("k = 'a'"), "k", 1).collect()] == ["b"]
+    path = str(tmp_path / "index")
+    assert records.ensured(spark, path, "k string, n int").count() == 0
+    df.write.mode("append").parquet(path)
+    assert records.ensured(spark, path, "k string, n int").count() == 3 and records.ensured(spark, path, "k string, n int", force=True).count() == 0
+    rows, dim = spark.createDataFrame([(1, "a"), (2, "b")], "i int, k string"), spark.createDataFrame([("a", 7), ("b", 8), ("c", 9), ("c", 9)], "k string, v int")
+    assert sorted((r.i, r.v) for r in lookups.required(rows, dim, "k").collect()) == [(1, 7), (2, 8)]
+    for wrong in ("c", "z", None):
+        with pytest.raises(Exception, match="stands"):
+            lookups.required(spark.createDataFrame([(1, wrong)], "i int, k string"), dim, "k").collect()
+    with pytest.raises(Exception, match="single"):
+        lookups.one_per(dim, "k").collect()
+
+
+def test_cleaning(spark):
+    cases = {
+        "herb-\nalist oil is warm": "herbalist oil is warm", "of Vata- \nPitta kind": "of Vata-Pitta kind", "agni -- fire and a--b--c": "agni—fire and a—b—c", "A u thoritative verse of it": "Authoritative verse of it",
+        "the herb-\nal\nalist oil": "the herbalist oil", "named :- the root": "named :— the root", "CHAPTER IV. The root": "The root", "12 | 14\nroot of • it\nUNIVERSITY OF X\nthus ends the first": "root of it", " . . root": "root", "": "", "•\n12, 14": "",
+    }
+    got = one(spark, segments.cleaned, *cases)
+    assert dict(zip(cases, got)) == cases
+    assert one(spark, lambda c: segments.cleaned_2(c), "CHAPTER I. Root\nNIDANASTHANA.\n12\n?!\nChapter 2 - stem\n========== p1 ==========") == ["Root\nstem\n========== p1 =========="]
+    assert one(spark, lambda c: segments.cleaned_2(c, separators=False), "root\n========== p1 ==========\nstem") == ["root\nstem"]
+    assert one(spark, segments.role_by_opening, "Metrical text: a", "Now we shall describe", "x", None) == ["verse_summary", "topic", "prose", "prose"]
+
+
 def test_drafts(spark):
     schema = "artifact_dir string, status string, generated_at string, pillar string, label string, season struct<label string>, artifacts struct<script string, reel string>"
     good = ("d1", "DRAFT - x", "2025-03-03T04:00:00+00:00", None, None, ("Mist",), ("s", "r"))
