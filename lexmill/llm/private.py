@@ -6,7 +6,7 @@ it is part of. Tokens that this alone does not settle, and those AROUND them, ar
 title, carries to the others. Labels come from loopy belief propagation over all documents of an Arrow batch at once; spans are runs of one label.
 
 Node, transition and skip weights are fitted together by pseudo-likelihood: each token's label given its own features and the labels at the other end of
-its edges. The sample of at most SAMPLE documents (those of the least hashes) is labelled at a distance: formats with their cue words for numbers and
+its edges. The sample of at most SAMPLE documents (those of the least hashes, of LONG characters at most) is labelled at a distance: formats with their cue words for numbers and
 addresses; for names the table of known people and titles; of the other uncommon capitalised words only those that the sample shows LEAST times, and never
 beside a title or a known person, are no names, the rest are left out of the fit. What the labels are taken from (format, known person, spelling) is hidden from a random half of the tokens in each round,
 so that the words around must carry the rest, and a name that is in no table can be found by them. For the same reason every text of the sample that
@@ -41,6 +41,9 @@ SAMPLE, SLOTS, ROUNDS = 2500, 1 << 18, 6
 LEAST, SMALL = 3, 0.05
 #: Most common words that are broadcast; beyond, they are joined to each CHUNK (a power of two) of documents.
 WORDS, CHUNK = 200_000, 512
+#: The sample is taken from texts of at most LONG characters, up to SAMPLE_CHARACTERS in all. PART: characters of texts that are labelled at once (a longer
+#: text by itself).
+LONG, SAMPLE_CHARACTERS, PART = 50_000, 8_000_000, 1_000_000
 #: Nodes around a token that may be personal; a token may be if its own potential leaves so much for the personal labels.
 AROUND, OPEN = 4, 0.01
 
@@ -659,7 +662,10 @@ def found_in(documents: DataFrame, people: DataFrame, id: str = "doc_id", text:
     with the common words and up to WORDS in all; beyond that both are joined.
     """
     spark = documents.sparkSession
-    sample = [r[0] for r in documents.where(F.col(text).isNotNull()).select(text, F.xxhash64(id).alias("h")).orderBy("h", text).limit(SAMPLE).collect()]
+    short = documents.where(F.char_length(text) <= LONG)
+    sample = [r[0] for r in short.select(text, F.xxhash64(id).alias("h")).orderBy("h", text).limit(SAMPLE).collect()]
+    room = np.searchsorted(np.cumsum([len(t) for t in sample]), SAMPLE_CHARACTERS, "right") if sample else 0
+    sample = sample[:room]
     words_of = F.udf(lambda t: sorted({w.lower() for w in _letters.findall(folded(t)) if len(w) > 2}), "array<string>")
     parts = people.where(F.col(name).isNotNull()).select(F.explode(words_of(name)).alias("word")).distinct()
     lexicon = common_words(documents, text).select("word", F.lit(COMMON).alias("bits")).unionByName(parts.select("word", F.lit(KNOWN).alias("bits")))
@@ -676,8 +682,11 @@ def found_in(documents: DataFrame, people: DataFrame, id: str = "doc_id", text:
     def spans_of(texts: list[str | None], model: Field) -> pa.Array:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
         found: list[list[dict]] = []
-        for at in range(0, len(texts), 1000):
-            part = [t or "" for t in texts[at : at + 1000]]
+        ends = np.cumsum([len(t or "") + 1000 for t in texts])  # a text counts 1,000 characters at least
+        while len(found) < len(texts):
+            first = len(found)
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PART, "right")))
+            part = [t or "" for t in texts[first:last]]
             pages = model.pages(part)
             labels = labelled(pages, model)
             for k, t in enumerate(part):
