@@ -409,14 +409,16 @@ def ordinal_parse(spark, folder):
 
 # Printed volumes: every record under the name of its section, every chapter under its header
 
-def _printed(spark: SparkSession, folder: str) -> DataFrame:
-    """The lines of each work's volume, its sections interleaved by chapter, so that sections are left and named again."""
+def _printed(spark: SparkSession, folder: str, bare: bool = False) -> DataFrame:
+    """The lines of each work's volume, its sections interleaved by chapter, so that sections are left and named again. Chapters without a numeral (0, beyond
+    60) have no header; with bare their first record is printed all the same, else, as in SQL, it has no lines."""
     rows = chunks(spark, folder, "source", "chapter", "chunk_index", "text").where("text is not null")
     rows = rows.withColumn("section", F.regexp_extract("source", r"-([a-z]+sthana)$", 1)).withColumn("volume", F.regexp_replace("source", r"-[a-z]+sthana$", ""))
     first = rows.groupBy("source", "chapter").agg(F.min(F.struct("chunk_index", "chunk_id"))["chunk_id"].alias("first_id")).select("first_id")
     rows = rows.join(first, rows["chunk_id"] == first["first_id"], "left")
-    numeral = F.element_at(F.array(*[F.lit(roman(n)) for n in range(1, 61)]), F.col("chapter"))
+    numeral = F.when(F.col("chapter") != 0, F.try_element_at(F.array(*[F.lit(roman(n)) for n in range(1, 61)]), F.col("chapter")))
     header = F.when(F.col("first_id").isNotNull(), F.concat(F.lit("CHAPTER "), numeral, F.lit(".\n"))).otherwise("")
+    header = F.coalesce(header, F.lit("")) if bare else header
     name = F.when(F.col("section") != "", F.concat(F.upper("section"), F.lit(".\n"))).otherwise("")
     rows = rows.select("volume", "chapter", "section", "chunk_index", "chunk_id", F.concat(name, header, F.col("text")).alias("text"))
     return chapters.volume_lines(rows, "volume", ["chapter", "section", "chunk_index", "chunk_id"], "text")
@@ -472,7 +474,7 @@ def first_warnings(spark, folder):
 @query()
 def rechunked_volumes(spark, folder):
     """The printed volumes cut into chunks anew, from their lines to names, roles and sizes."""
-    rows = _printed(spark, folder)
+    rows = _printed(spark, folder, bare=True)
     bounds = chapters.chapter_bounds(chapters.marks(rows), chapters.last_lines(rows))
     return segments.volume_chunks(rows, bounds, 100, MARKERS)
 
