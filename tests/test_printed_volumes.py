@@ -30,3 +30,7 @@ def equal(spark, folder, name):
 
 def test_chapter_bounds(spark, folder):
     equal(spark, folder, "chapter_bounds")
+
+
+def test_section_chapters(spark, folder):
+    equal(spark, folder, "section_chapters")
