@@ -34,3 +34,7 @@ def test_chapter_bounds(spark, folder):
 
 def test_section_chapters(spark, folder):
     equal(spark, folder, "section_chapters")
+
+
+def test_chapter_words(spark, folder):
+    equal(spark, folder, "chapter_words")
