@@ -38,3 +38,7 @@ def test_section_chapters(spark, folder):
 
 def test_chapter_words(spark, folder):
     equal(spark, folder, "chapter_words")
+
+
+def test_printed_volumes(spark, folder):
+    equal(spark, folder, "printed_volumes")
