@@ -42,3 +42,7 @@ def test_chapter_words(spark, folder):
 
 def test_printed_volumes(spark, folder):
     equal(spark, folder, "printed_volumes")
+
+
+def test_first_warnings(spark, folder):
+    equal(spark, folder, "first_warnings")
