@@ -46,3 +46,10 @@ def test_printed_volumes(spark, folder):
 
 def test_first_warnings(spark, folder):
     equal(spark, folder, "first_warnings")
+
+
+def test_rechunked_volumes_keep_every_record(spark, folder):
+    got = " ".join(r["text"] for r in catalog.QUERIES["rechunked_volumes"](spark, folder).collect()).split()
+    for chapter in (60, 61, 62, 603):
+        for i in range(3):
+            assert got.count(f"{chapter}x{i}") == 3
