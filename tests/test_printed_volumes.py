@@ -53,3 +53,7 @@ def test_rechunked_volumes_keep_every_record(spark, folder):
     for chapter in (60, 61, 62, 603):
         for i in range(3):
             assert got.count(f"{chapter}x{i}") == 3
+
+
+def test_section_bounds(spark, folder):
+    equal(spark, folder, "section_bounds")
