@@ -19,3 +19,7 @@ def equal(spark, monkeypatch, name):
 
 def test_retrieval_checks(spark, monkeypatch):
     equal(spark, monkeypatch, "retrieval_checks")
+
+
+def test_retrieval_eval(spark, monkeypatch):
+    equal(spark, monkeypatch, "retrieval_eval")
