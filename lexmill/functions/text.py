@@ -65,5 +65,6 @@ def spoken(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """The lines of a text under every line break that Unicode knows; a final break opens no line."""
-    parts = F.split(text, r"\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x85\x{2028}\x{2029}]")
-    return F.when((F.size(parts) > 0) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    parts = F.array(F.split(text, r"\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x85\x{2028}\x{2029}]"))
+    last_dropped = lambda p: F.when((F.size(p) > 0) & (F.element_at(p, -1) == ""), F.slice(p, 1, F.size(p) - 1)).otherwise(p)
+    return F.get(F.transform(parts, last_dropped), 0)  # a lambda's argument is split once, a column at each use

@@ -7,11 +7,18 @@ themselves is on marks (headings, hints), of which a volume has a bounded number
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexmill.functions.numerals import parse_numeral, parse_ordinal, parse_roman
-from lexmill.functions.ranking import running_total
+from lexmill.functions.staging import staged
 from lexmill.functions.text import lines
 
 # How headings look.
@@ -34,20 +41,58 @@ DEFAULT_SECTION = "sutrasthana"
 def volume_lines(parts: DataFrame, volume: str, order: list[str], text: str) -> DataFrame:
     """(volume, line_no, line, next_line): the lines of the parts of each volume in order, numbered from 0 through the volume. (volume, *order) is unique.
 
-    Line numbers come from running totals of the parts' numbers of lines, so what is summed up in order are parts, over all tasks. Parts without lines
-    (null, empty) are passed over.
+    Parts are range-partitioned and sorted; each range counts its own lines, and only what a range holds of a volume (one row) is summed up. Parts without
+    lines (null, empty) are passed over. A text goes between tasks once and is staged with its place.
     """
-    cut = parts.select(F.col(volume).alias("volume"), *order, lines(F.col(text)).alias("ls")).withColumn("n", F.size("ls").cast("bigint")).where("n > 0")
-    placed = running_total(cut, "n", "volume", *order, name="before")
-    first = placed.groupBy("volume").agg(F.min("before").alias("base"))
-    placed = placed.join(first, "volume").withColumn("start", F.col("before") - F.col("base"))
-    heads = placed.select("volume", F.col("start").alias("end"), F.element_at("ls", 1).alias("after"))
-    both = placed.withColumn("end", F.col("start") + F.col("n")).join(heads, ["volume", "end"], "left")
+    whole = parts.select(F.col(volume).alias("volume"), *order, F.col(text).alias("text")).where("text is not null")
+    sorted_ = whole.repartitionByRange("volume", *order).sortWithinPartitions("volume", *order)  # reads its input twice, so texts are split behind it
+    cut = sorted_.select("volume", *order, lines(F.col("text")).alias("ls"))
+    kinds = StructType([*cut.schema.fields, *StructType.fromDDL("n bigint, before bigint, head string, after string, closing boolean, part int").fields])
+    placed = staged(cut.mapInArrow(_placed, kinds))
+    ranges = placed.groupBy("part", "volume").agg(F.sum("n").alias("n"), F.max("head").alias("head"))
+    w = Window.partitionBy("volume").orderBy("part")
+    ranges = ranges.select(F.col("part").alias("_part"), F.col("volume").alias("_volume"), F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.lead("head").over(w).alias("follows"))
+    both = placed.join(F.broadcast(ranges), (F.col("part") == F.col("_part")) & F.col("volume").eqNullSafe(F.col("_volume")))
+    after = F.when(F.col("closing"), F.col("follows")).otherwise(F.col("after"))
+    both = both.select("volume", (F.col("base") + F.col("before")).alias("start"), "ls", after.alias("after"))
     pairs = F.transform("ls", lambda s, i: F.struct(s.alias("line"), F.coalesce(F.get("ls", i + 1), F.col("after")).alias("next_line")))
     rows = both.select("volume", "start", F.posexplode(pairs).alias("i", "p"))
     return rows.select("volume", (F.col("start") + F.col("i")).alias("line_no"), "p.line", "p.next_line")
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted parts (volume, ..., ls) of a range with their number of lines, if any, the lines of the volume before them in it, `head` (first line) of the first part of a volume,
+    `after` (first line of the next part of the volume), whether the part is the volume's last one in the range, and the range."""
+    part, total, held = TaskContext.get().partitionId(), 0, None
+
+    def whole(held: tuple, next_head: pa.Scalar | None) -> pa.RecordBatch:
+        b, n, before, heads, new = held
+        closing = np.r_[new[1:], next_head is None]
+        last = pa.array([None if next_head is None else next_head.as_py()], pa.string())
+        after = pc.if_else(pa.array(closing), pa.scalar(None, pa.string()), pa.concat_arrays([heads.slice(1), last]))
+        head = pc.if_else(pa.array(new), heads, pa.scalar(None, pa.string()))
+        columns = [*b.columns, pa.array(n), pa.array(before), head, after, pa.array(closing), pa.array(np.full(len(b), part, np.int32))]
+        return pa.RecordBatch.from_arrays(columns, [*b.schema.names, "n", "before", "head", "after", "closing", "part"])
+
+    for b in batches:
+        b = b.filter(pc.greater(pc.list_value_length(b.column("ls")), 0))
+        if not len(b):
+            continue
+        volume, n = b.column("volume"), pc.list_value_length(b.column("ls")).to_numpy(zero_copy_only=False).astype(np.int64)
+        code = pc.fill_null(volume.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        goes_on = held is not None and held[0].column("volume")[-1].as_py() == volume[0].as_py()
+        new = np.r_[not goes_on, code[1:] != code[:-1]]
+        heads = pc.list_element(b.column("ls"), 0)
+        if held is not None:
+            yield whole(held, heads[0] if goes_on else None)
+        ahead = np.cumsum(n) - n
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(n)), -1))
+        before = ahead - np.where(begin < 0, -total, ahead[begin])
+        total, held = int(before[-1] + n[-1]), (b, n, before, heads, new)
+    if held is not None:
+        yield whole(held, None)
+
+
 def _group(line: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
 
@@ -57,9 +102,10 @@ def marks(rows: DataFrame) -> DataFrame:
     last opening of chapter 1, or the first line where there is none. A colophon may run on into the next line. rows: as of `volume_lines`."""
     line = F.col("line")
     window = F.concat_ws(" ", line, "next_line")
-    kinds = [("open", parse_roman(_group(line, OPENING))), ("close", parse_ordinal(_group(window, COLOPHON))), ("run", parse_roman(_group(line, RUNNING)))]
+    told = F.when(line.contains("CHAPTER"), line), F.when(F.lower(window).contains("thus end"), window), F.when(line.contains("["), line)  # what no pattern can hold is not searched
+    kinds = [("open", parse_roman(_group(told[0], OPENING))), ("close", parse_ordinal(_group(told[1], COLOPHON))), ("run", parse_roman(_group(told[2], RUNNING)))]
     found = rows.select("volume", "line_no", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), n.alias("n")) for k, n in kinds])).alias("m"))
-    found = found.select("volume", "line_no", "m.kind", "m.n").where("n is not null")
+    found = staged(found.select("volume", "line_no", "m.kind", "m.n").where("n is not null"))  # used twice
     body = found.where("kind = 'open' and n = 1").groupBy("volume").agg(F.max("line_no").alias("body"))
     return found.join(body, "volume", "left").where(F.col("line_no") >= F.coalesce("body", F.lit(0))).drop("body")
 

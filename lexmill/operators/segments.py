@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ NOISE_RULES = {
     "bare header": r"^[•\s]*CHAPTER\s+[IVXLC][IVXLC.,\s\x{400}-\x{4ff}]*$",
     "library stamp": r"LIBRARY|DIRECTOR OF|UNIVERSITY OF",
 }
+#: What the small letters of a line hold wherever a rule finds something; looked for first, as it is found faster than the rule.
+NOISE_HINTS = {
+    "running head": ["chap."], "title": ["sushruta", "sutrasth", "sam"], "colophon": ["thus end"], "bare header": ["chapter"],
+    "library stamp": ["library", "director of", "university of"],
+}
 
 # The steps that clean the joined lines of the first family, in order.
 CLEANING = [
@@ -39,6 +46,8 @@ CLEANING = [
     (r"(?i)^CHAPTER\s+[IVXLC ]+[.,]?\s*", ""),
     (r"[\s\p{Z}]+", " "),
 ]
+#: What the small letters of a text hold wherever the step of CLEANING of that place changes something; "" holds always.
+CLEANING_HINTS = ["-", "-", ":", "--", "", "thoritative verse", "chapter", ""]
 
 #: What stands between the parts of a stitched volume.
 SEPARATOR = r"^={10} .* ={10}$"
@@ -52,14 +61,24 @@ def stripped(line: Column) -> Column:
     return F.regexp_replace(line, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
+def _rule(s: Column) -> Column:
+    """`noise_rule` of a stripped line."""
+
+    def first(s: Column, low: Column) -> Column:
+        found = F.when(s == "", "blank")
+        for name, pattern in NOISE_RULES.items():
+            may = [low.contains(x) for x in NOISE_HINTS.get(name, [])]
+            found = found.when(reduce(Column.__or__, may) & s.rlike(pattern) if may else s.rlike(pattern), name)
+        return found.when(~s.rlike("[A-Za-z][^A-Za-z]*[A-Za-z][^A-Za-z]*[A-Za-z]"), "short")
+
+    both = F.transform(F.array(s), lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))  # a lambda's argument is computed once, a column at each use
+    return F.get(F.transform(both, lambda x: first(x["s"], x["low"])), 0)
+
+
 def noise_rule(line: Column) -> Column:
     """The first rule by which a line of the first family carries no text: `blank`, one of NOISE_RULES, or `short` for two ASCII letters or fewer; null
     for lines of text."""
-    s = stripped(line)
-    found = F.when(s == "", "blank")
-    for name, pattern in NOISE_RULES.items():
-        found = found.when(s.rlike(pattern), name)
-    return found.when(F.length(F.regexp_replace(s, r"[^A-Za-z]", "")) <= 2, "short")
+    return _rule(stripped(line))
 
 
 def noise_rule_sql(line: str) -> str:
@@ -90,13 +109,18 @@ def noise_rule_2_sql(line: str, names: list[str] | None = None) -> str:
     )
 
 
+def _mended(text: Column) -> Column:
+    """CLEANING in order, then no blanks at the ends and no points or blanks in front."""
+    one = F.array(text)
+    for (old, new), hint in zip(CLEANING, CLEANING_HINTS, strict=True):
+        one = F.transform(one, lambda s: F.when(F.lower(s).contains(hint), F.regexp_replace(s, old, new)).otherwise(s) if hint else F.regexp_replace(s, old, new))  # noqa: B023
+    return F.regexp_replace(stripped(F.get(one, 0)), r"^[. ]+", "")
+
+
 def cleaned(text: Column) -> Column:
     """A text of the first family rebuilt from its lines: noise dropped, the rest stripped and joined, then CLEANING in order, then no blanks at the ends and
     no points or blanks in front. A line of two letters goes before hyphens are closed."""
-    joined = F.array_join(F.transform(F.filter(lines(text), lambda s: ~is_noise(s)), stripped), " ")
-    for old, new in CLEANING:
-        joined = F.regexp_replace(joined, old, new)
-    return F.regexp_replace(stripped(joined), r"^[. ]+", "")
+    return _mended(F.array_join(F.filter(F.transform(lines(text), stripped), lambda s: _rule(s).isNull()), " "))
 
 
 def cleaned_2(text: Column, names: list[str] | None = None, separators: bool = True) -> Column:
@@ -209,11 +233,11 @@ def volume_chunks(rows: DataFrame, bounds: DataFrame, least: int, markers: str =
     as whole texts, so words broken over lines are closed. Parts that are empty after cleaning are dropped.
     """
     w = Window.partitionBy("volume", "n").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    kept = chapter_texts(rows, bounds).where(noise_rule(F.col("line")).isNull())
-    opens = stripped(F.col("line")).rlike(f"(?i)^(?:{markers})").cast("int")
-    placed = kept.withColumn("part", F.sum(opens).over(w))
+    text = rows.select("volume", "line_no", F.explode(F.filter(F.array(stripped(F.col("line"))), lambda s: _rule(s).isNull())).alias("line"))  # a filter would compute its column twice, here and below
+    opens = F.col("line").rlike(f"(?i)^(?:{markers})").cast("int")
+    placed = chapter_texts(text, bounds).withColumn("part", F.sum(opens).over(w))
     items = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    parts = placed.groupBy("volume", "n", "part").agg(F.array_join(F.transform(items, lambda x: x["line"]), "\n").alias("text"))
-    parts = parts.withColumn("text", cleaned(F.col("text"))).where("text <> ''").withColumn("size", word_count(F.col("text")))
+    parts = placed.groupBy("volume", "n", "part").agg(F.array_join(F.transform(items, lambda x: x["line"]), " ").alias("text"))
+    parts = parts.select("volume", "n", "part", F.explode(F.filter(F.array(_mended(F.col("text"))), lambda x: x != "")).alias("text")).withColumn("size", word_count(F.col("text")))
     whole = merged_fragments(parts, ["volume", "n"], "part", "size", "text", least)
     return whole.select("volume", "n", "place", chunk_name(F.col("volume"), F.col("n"), F.col("place")).alias("name"), role_by_opening(F.col("text")).alias("role"), "n_tokens", "text")

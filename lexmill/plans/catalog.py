@@ -414,7 +414,8 @@ def _printed(spark: SparkSession, folder: str, bare: bool = False) -> DataFrame:
     60) have no header; with bare their first record is printed all the same, else, as in SQL, it has no lines."""
     rows = chunks(spark, folder, "source", "chapter", "chunk_index", "text").where("text is not null")
     rows = rows.withColumn("section", F.regexp_extract("source", r"-([a-z]+sthana)$", 1)).withColumn("volume", F.regexp_replace("source", r"-[a-z]+sthana$", ""))
-    first = rows.groupBy("source", "chapter").agg(F.min(F.struct("chunk_index", "chunk_id"))["chunk_id"].alias("first_id")).select("first_id")
+    first = table(spark, folder, "all_chunks").where("text is not null").groupBy("source", "chapter")  # repeated rows change no least one
+    first = first.agg(F.min(F.struct("chunk_index", "chunk_id"))["chunk_id"].alias("first_id")).select("first_id")
     rows = rows.join(first, rows["chunk_id"] == first["first_id"], "left")
     numeral = F.when(F.col("chapter") != 0, F.try_element_at(F.array(*[F.lit(roman(n)) for n in range(1, 61)]), F.col("chapter")))
     header = F.when(F.col("first_id").isNotNull(), F.concat(F.lit("CHAPTER "), numeral, F.lit(".\n"))).otherwise("")

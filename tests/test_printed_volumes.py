@@ -57,3 +57,8 @@ def test_rechunked_volumes_keep_every_record(spark, folder):
 
 def test_section_bounds(spark, folder):
     equal(spark, folder, "section_bounds")
+
+
+def test_rechunked_volumes_read_their_lines_few_times(spark, folder):
+    plan = catalog.QUERIES["rechunked_volumes"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 20
