@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.ranking import numbered
+from lexmill.functions.staging import staged
+
+#: Most repeated ids that every task may be given.
+REPEATED = 200_000
 
 
 def point_id(name: Column, namespace: uuid.UUID) -> Column:
@@ -51,3 +55,14 @@ def ensured(spark: SparkSession, path: str, schema: str, force: bool = False) ->
 def verified(df: DataFrame, expected: int) -> DataFrame:
     """One row (n, expected, same): the count after a write against what was sent."""
     return df.agg(F.count("*").alias("n")).select("n", F.lit(expected).cast("bigint").alias("expected"), (F.col("n") == expected).alias("same"))
+
+
+def once(rows: DataFrame, id: str) -> DataFrame:
+    """`rows` with one row an id. Rows whose id is not repeated stay where they are: where few ids are, every task is told these, and only their rows go
+    between tasks; else all rows do."""
+    again = staged(rows.groupBy(F.col(id).alias("_again")).agg(F.count("*").alias("n")).where("n > 1").select("_again"), 1)
+    if again.count() > REPEATED:
+        return rows.dropDuplicates([id])
+    same = F.col(id).eqNullSafe(F.col("_again"))
+    told = F.broadcast(again)
+    return rows.join(told, same, "left_anti").unionByName(rows.join(told, same, "left_semi").dropDuplicates([id]))

@@ -134,7 +134,8 @@ lex as (select query_id, id, score, row_number() over (partition by query_id ord
 def manifest_search(spark, folder):
     """The query of every manifest against all chunks."""
     asked = table(spark, folder, "manifests").dropDuplicates(["artifact_dir"]).select(F.col("artifact_dir").alias("query_id"), F.col("query").alias("text"))
-    return retrieval.bm25(chunks(spark, folder, "text"), "chunk_id", "text", asked, 6)
+    texts = records.once(table(spark, folder, "all_chunks").select("chunk_id", "text"), "chunk_id")
+    return retrieval.bm25(texts, "chunk_id", "text", asked, 6)
 
 
 @query(
