@@ -71,3 +71,11 @@ def test_repeats_and_tiny_texts(spark):
     short = [f"s{i}" for i in range(30)]
     texts = [" ".join(once), " ".join(once * 3), " ".join(short), " ".join([*short, "more"]), " ".join(short[:5]), " ".join(short[:6]), "a b", "a b", "a", None, " - "]
     assert pairs(spark, texts) == {(0, 1), (2, 3), (4, 5), (6, 7)}
+
+
+def test_words_of_few_and_many_marks():
+    from lexmill.llm import near_copies
+
+    for marks in ("—", "“”—…", "".join(map(chr, range(0x2010, 0x2060)))):
+        text = "Ān " + "".join(f"oil{m}Root{m} १२ " for m in marks) + "x_y"
+        assert near_copies.words_of(text) == [w.encode() for w in near_copies._word.findall(text.lower())]
