@@ -19,8 +19,7 @@ Null and blank texts, and texts without any word, are in no pair. Repeated ids c
 from __future__ import annotations
 
 import re
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +42,8 @@ SHARE, HOT = 64, 4096
 #: Share of k-mers that are repeats from which a text is also sketched without them.
 REPEATS = 0.1
 
+#: Texts sketched at once; the k-mers of many more don't stay in a processor's memory.
+FEW_TEXTS = 2500
 #: The most classes (24 bytes each) that every task may be given.
 FEW = 1_000_000
 
@@ -60,8 +61,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def words_of(text: str) -> list[bytes]:
-    """What `_word` finds in the text in small letters, as UTF-8: everything that is no letter or digit becomes a blank."""
+def _blanked(text: str) -> bytes:
+    """The text in small letters, as UTF-8: everything that is no letter or digit becomes a blank."""
     text = text.lower()
     if not text.isascii():
         marks = set(_mark.findall(text))
@@ -70,7 +71,12 @@ def words_of(text: str) -> list[bytes]:
         else:  # each is found much faster than letters are looked up one by one
             for mark in marks:
                 text = text.replace(mark, " ")
-    return text.encode("utf-8", "replace").translate(_blanks).split()
+    return text.encode("utf-8", "replace").translate(_blanks)
+
+
+def words_of(text: str) -> list[bytes]:
+    """What `_word` finds in the text in small letters."""
+    return _blanked(text).split()
 
 
 def _grams(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,23 +169,23 @@ def _text_sketches(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, row
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of (id, body, ...) as batches of (id, cls, words, sketches, tiny)."""
     known = _Hashes()
-    for batch in batches:
-        ids, cls, said, flat, sizes = [], [], [], array("Q"), []
+    for batch in (whole.slice(at, FEW_TEXTS) for whole in batches for at in range(0, whole.num_rows, FEW_TEXTS)):
+        ids, plain = [], []
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ws = words_of(t) if t else []
-            if not ws:
-                continue
-            flat.extend(map(known.__getitem__, ws))
-            sizes.append(len(ws)), ids.append(i), said.append(b" ".join(ws))
-            cls.append(xxhash.xxh3_128_digest(said[-1]))
+            if t and (one := _blanked(t).strip()):
+                ids.append(i), plain.append(one)
+        lists = pc.ascii_split_whitespace(pa.array(plain, pa.binary()).view(pa.string()))  # nothing but blanks is left to split at
+        said, flat = pc.binary_join(lists, " "), lists.flatten().dictionary_encode()
+        cls = [xxhash.xxh3_128_digest(x) for x in said.view(pa.binary()).to_pylist()]
+        hashes = np.fromiter(map(known.__getitem__, flat.dictionary.view(pa.binary()).to_pylist()), np.uint64)  # each distinct word is looked up once
+        words, sizes = hashes[flat.indices.to_numpy()], pc.list_value_length(lists).to_numpy().astype(np.int64)
         if len(known) > 500_000:
             known.clear()
-        words, sizes = np.frombuffer(flat, np.uint64) if flat else np.zeros(0, np.uint64), np.array(sizes, np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else sizes
+        starts = np.cumsum(sizes) - sizes
         found = []
         for pick, k, order, odd in ((sizes >= KMER + ORDER - 1, KMER, ORDER, _odd[:SKETCHES]), ((sizes >= SHINGLE) & (sizes <= TINY), SHINGLE, 1, _odd[SKETCHES:])):
             found.append(_lists(*_text_sketches(words, starts, sizes, np.flatnonzero(pick), k, order, odd), len(ids)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(cls, pa.binary()), pa.array(said, pa.string()), *found], ["id", "cls", "words", "sketches", "tiny"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(cls, pa.binary()), said, *found], ["id", "cls", "words", "sketches", "tiny"])
 
 
 def sketch_schema(kind: str) -> str:
@@ -201,6 +207,50 @@ def _buckets(classes: DataFrame) -> F.Column:
     return F.array_distinct(F.concat(keys("sketches", 0, SKETCHES), keys("tiny", SKETCHES, TINY_SKETCHES)))
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of (c, sketches, tiny) as (c, bucket) of every bucket of each class: what `_buckets` gives, exploded."""
+    for batch in batches:
+        classes, found = batch.column("c").to_numpy(), []
+        for name, base, functions in (("sketches", 0, SKETCHES), ("tiny", SKETCHES, TINY_SKETCHES)):
+            lists = batch.column(name)
+            sizes, values = pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy()
+            place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            key = (place % functions + base) << 32 | values.view(np.uint32).astype(np.int64)
+            once = np.ones(len(key), bool)  # a text has at most two sketches of a function
+            once[functions:] = (place[functions:] < functions) | (key[functions:] != key[:-functions])
+            found.append((np.repeat(classes, sizes)[once], key[once]))
+        yield tuple(map(np.concatenate, zip(*found)))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for cls, key in _keys(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(key)], ["c", "key"])
+
+
+def _dealt(lots: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same, all of a batch that fall into one of `lots` lots by their bucket packed into one row (lot, cs, keys), 16 bytes each."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cls, key in _keys(batches):
+            lot = (_mix(key.view(np.uint64)) % np.uint64(lots)).astype(np.min_scalar_type(lots))
+            order, ends = np.argsort(lot, kind="stable"), np.cumsum(np.bincount(lot, minlength=lots))
+            some = np.flatnonzero(np.diff(ends, prepend=0))
+            offsets = pa.py_buffer(np.concatenate([[0], 8 * ends[some]]).astype(np.int32))
+            packed = [pa.Array.from_buffers(pa.binary(), len(some), [None, offsets, pa.py_buffer(x[order])]) for x in (cls, key)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *packed], ["lot", "cs", "keys"])
+
+    return deal
+
+
+def _paired_lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`_paired` of the packed rows of a lot."""
+    numbers = lambda packed: pa.array(np.frombuffer(b"".join(packed.to_pylist()), np.int64))
+    yield from _paired(pa.RecordBatch.from_arrays([numbers(b.column("cs")), numbers(b.column("keys"))], ["c", "key"]) for b in batches)
+
+
+_PAIRED = "a bigint, b bigint, key bigint"
+
+
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of (c, key): pairs (a, b, null) of the classes of each bucket of up to CROWD classes; the members of larger ones as (c, null, key). A
     partition holds whole buckets; it is sorted by bucket and paired at growing distances, all buckets at once."""
@@ -243,47 +293,57 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
 def candidates(classes: DataFrame, agree: int = AGREE) -> DataFrame:
     """(a, b): pairs of classes, a < b, that share `agree` sketches or more. classes: (c, sketches, tiny), staged, one row a class, c its number.
 
-    Sketches are shuffled once, 16 bytes each. A bucket of level n holds the classes that share n given sketches. A pair that shares s sketches, some of
-    them crowded at level 1, shares at least s - 1 buckets of level 2 (one crowded sketch with each of the others), and so on; at level `agree` every
-    bucket is paired.
+    Sketches are shuffled once, 16 bytes each, packed by the task that pairs them. A bucket of level n holds the classes that share n given sketches. A
+    pair that shares s sketches, some of them crowded at level 1, shares at least s - 1 buckets of level 2 (one crowded sketch with each of the others),
+    and so on; at level `agree` every bucket is paired. Crowded buckets are told to every task as long as they have few members.
     """
-    own = classes.select("c", _buckets(classes).alias("keys"))
-    rows = own.select("c", F.explode("keys").alias("key"))
-    waiting = None
+    spark = classes.sparkSession
+    lots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    classes = classes.select("c", "sketches", "tiny")
+    exploded = lambda own: own.mapInArrow(_rows, "c bigint, key bigint")
+    rows, waiting = None, None
     if classes.count() >= SHARE * HOT:  # else no key can be as hot
-        seen = own.where(F.pmod(F.xxhash64("c"), F.lit(SHARE)) == 0).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+        seen = exploded(classes.where(F.pmod(F.xxhash64("c"), F.lit(SHARE)) == 0)).groupBy("key").agg(F.count("*").alias("n"))
         hot = staged(seen.where(F.col("n") >= HOT).select("key"), 1)
         if not hot.isEmpty():
-            waiting = rows.join(hot, "key", "left_semi")
-            rows = rows.join(hot, "key", "left_anti")
+            waiting = exploded(classes).join(hot, "key", "left_semi")
+            rows = exploded(classes).join(hot, "key", "left_anti").select("c", "key")
     pairs = None
     for level in range(1, agree + 1):
-        found = staged(rows.repartition("key").mapInArrow(_paired, "a bigint, b bigint, key bigint"))
+        if rows is None:
+            met = classes.mapInArrow(_dealt(lots), "lot int, cs binary, keys binary").repartitionById(lots, "lot").mapInArrow(_paired_lots, _PAIRED)
+        else:
+            met = rows.repartition("key").mapInArrow(_paired, _PAIRED)
+        found = staged(met)
         got = found.where("b is not null").select("a", "b")
         if level < agree:
             got = got.groupBy("a", "b").agg(F.count("*").alias("v")).where(F.col("v") >= agree - level + 1).select("a", "b")
         crowded = found.where("b is null").select(F.col("a").alias("c"), "key")
-        crowded = crowded if waiting is None else crowded.unionByName(waiting)
+        if waiting is None:
+            members = crowded.count()
+            told = F.broadcast if members <= FEW else lambda df: df
+        else:
+            crowded, members, told = crowded.unionByName(waiting.select("c", "key")), 1, lambda df: df
         waiting = None
         pairs = got if pairs is None else pairs.unionByName(got)
-        if crowded.isEmpty():
+        if not members:
             break
         if level == agree:
             pairs = pairs.unionByName(_in_blocks(crowded))
             break
         # Each crowded bucket with every other sketch of its members; a set of sketches has one key, whichever of them was crowded first.
-        more = crowded.groupBy("c").agg(F.collect_set("key").alias("held")) if level == 1 else crowded.select("c", F.col("key").alias("base"))
-        wide = more.join(own, "c")
         if level == 1:
+            more = crowded.groupBy("c").agg(F.collect_set("key").alias("held"))
+            wide = classes.join(told(more), "c").select("c", "held", _buckets(classes).alias("keys"))
             both = wide.select("c", F.explode("held").alias("x"), "keys").select("c", "x", F.explode("keys").alias("y")).where("x <> y")
-            members = both.select("c", F.array_sort(F.array("x", "y")).alias("set"))
-            rows = staged(members.select("c", F.xxhash64("set").alias("key"), "set").dropDuplicates(["c", "key"]))
-            sets = rows
+            sets = both.select("c", F.array_sort(F.array("x", "y")).alias("set"))
         else:
-            held = sets.join(crowded, ["c", "key"]).join(own, "c").select("c", "set", F.explode("keys").alias("y")).where(~F.array_contains("set", F.col("y")))
-            rows = staged(held.select("c", F.array_sort(F.concat("set", F.array("y"))).alias("set")).select("c", F.xxhash64("set").alias("key"), "set").dropDuplicates(["c", "key"]))
-            sets = rows
-        rows = rows.select("c", "key")
+            more = sets.join(told(crowded), ["c", "key"]).select("c", "set")
+            wide = classes.join(told(more), "c").select("c", "set", _buckets(classes).alias("keys"))
+            both = wide.select("c", "set", F.explode("keys").alias("y")).where(~F.array_contains("set", F.col("y")))
+            sets = both.select("c", F.array_sort(F.concat("set", F.array("y"))).alias("set"))
+        sets = staged(sets.select("c", F.xxhash64("set").alias("key"), "set").dropDuplicates(["c", "key"]))
+        rows = sets.select("c", "key")
     return pairs.distinct()
 
 

@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +54,7 @@ MISREAD = [
     ("o", "e"), ("q", "g"), ("rn", "m"), ("s", "5"), ("s", "8"), ("s", "a"), ("t", "f"), ("t", "l"), ("u", "ii"), ("u", "n"), ("v", "y"), ("w", "vv"),
     ("cl", "d"), ("li", "h"), ("vv", "w"), ("z", "2"), ("y", "v"),
 ]
+_misread = {first: [(a, b) for a, b in MISREAD if a[0] == first] for first in {a[0] for a, _ in MISREAD}}
 STRAY = "‡†§¶•^~\\|*¦°·¤«»_<>{}=#"
 EDGE = ".,;:?!\"'()[]।॥“”‘’"
 BROKEN = "\u00ad"  # stands where a word was broken; the character layer has removed it from every text
@@ -264,6 +266,16 @@ class _Heads(dict):
             self.clear()
         return got
 
+    def held(self, texts: list[str | None]) -> list[int]:
+        """`of` the tokens of each text; every distinct token of all texts is looked up once."""
+        lists = pc.utf8_split_whitespace(pa.array(texts, pa.string()))  # at what str.split splits
+        tokens, sizes = lists.flatten().dictionary_encode(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        flags = np.fromiter(map(self.__getitem__, tokens.dictionary.to_pylist()), np.uint8)[tokens.indices.to_numpy()]
+        got, some = np.zeros(len(texts), np.uint8), sizes > 0
+        if some.any():
+            got[some] = np.bitwise_or.reduceat(flags, (np.cumsum(sizes) - sizes)[some])
+        return got.tolist()
+
     def of(self, words: list[str]) -> int:
         got = 0
         for v in set(map(self.__getitem__, words)):
@@ -372,12 +384,16 @@ def _heads_inside(line: str, titles: list[tuple[str, ...]], heads: _Heads) -> li
 def structure(text: str | None, source: str | None, lines_model: Lines) -> tuple[str | None, set[str]]:
     """(text without furniture and with broken words closed around BROKEN, kinds of furniture found)."""
     text = looks_latin(text)
+    return _structure(text, source, lines_model, lines_model.ready().heads.of((text or "").split()))
+
+
+def _structure(text: str | None, source: str | None, lines_model: Lines, held: int) -> tuple[str | None, set[str]]:
+    """The same for a text that looks Latin. held: what its tokens may be (`_Heads.of`)."""
     if not text or not text.strip():
         return text, set()
     kinds: set[str] = set()
     title = title_of(source)
-    heads = lines_model.ready().heads
-    held = heads.of(text.split())
+    heads = lines_model.heads
     if "\n" in text:
         lines = text.split("\n")
         usual, drop = _usual(lines), set()
@@ -418,16 +434,15 @@ def structured(texts: DataFrame, id: str = "chunk_id", text: str = "text", sourc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [structure(t, s, model) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            raw: Counter[str] = Counter()  # of tokens as they stand; their keys are made once for each distinct token
-            for t, _ in done:
-                if t:
-                    raw.update(t.split())
+            latin = [looks_latin(t) for t in b.column(1).to_pylist()]
+            done = [_structure(t, s, model, h) for t, s, h in zip(latin, b.column(2).to_pylist(), model.ready().heads.held(latin))]
+            bodies = pa.array([d[0] for d in done], pa.string())
+            raw = pc.utf8_split_whitespace(bodies).flatten().value_counts()  # of tokens as they stand; their keys are made once for each distinct token
             by_key: Counter[str] = Counter()
-            for w, n in raw.items():
+            for w, n in zip(raw.field(0).to_pylist(), raw.field(1).to_pylist()):
                 by_key[w.lower().strip(EDGE)] += n
             counts = pa.array([list(by_key.items())] + [None] * (len(done) - 1) if done else [], pa.map_(pa.string(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([sorted(d[1]) for d in done], pa.list_(pa.string())), counts], ["id", "body", "kinds", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), bodies, pa.array([sorted(d[1]) for d in done], pa.list_(pa.string())), counts], ["id", "body", "kinds", "counts"])
 
     kind = texts.schema[id].dataType.simpleString()
     schema = f"id {kind}, body string, kinds array<string>, counts map<string,bigint>"
@@ -454,23 +469,27 @@ def edit(token: str, word: str) -> tuple[str, str, int, int]:
 @lru_cache(200_000)
 def _steps(a: str, b: str) -> tuple[int, int]:
     """(known misreadings, other letters) by which b was read for a, cheapest first."""
-    best = {(0, 0): (0, 0)}
+    wide, dear = len(b) + 1, 1000  # a cell has 1000 for each other letter and 1 for each known misreading
+    best = [dear * dear] * ((len(a) + 1) * wide)
+    best[0] = 0
+    stray = [0 if c in STRAY else dear for c in b]
     for i in range(len(a) + 1):
-        for j in range(len(b) + 1):
-            at = best.get((i, j))
-            if at is None:
-                continue
-            moves = [(i + len(x), j + len(y), (at[0] + 1, at[1])) for x, y in MISREAD if a.startswith(x, i) and b.startswith(y, j)]
-            if i < len(a) and j < len(b):
-                moves.append((i + 1, j + 1, at if a[i] == b[j] else (at[0], at[1] + 1)))
-            if i < len(a):
-                moves.append((i + 1, j, (at[0], at[1] + 1)))
-            if j < len(b):
-                moves.append((i, j + 1, at if b[j] in STRAY else (at[0], at[1] + 1)))
-            for p, q, cost in moves:
-                if (p, q) not in best or (cost[1], cost[0]) < (best[p, q][1], best[p, q][0]):
-                    best[p, q] = cost
-    return best[len(a), len(b)]
+        c, row = a[i : i + 1], i * wide
+        ways = [(len(x) * wide + len(y), y) for x, y in _misread.get(c, ()) if a.startswith(x, i)]
+        for j in range(wide):
+            at = best[row + j]
+            if c:
+                for far, y in ways:
+                    if b.startswith(y, j) and at + 1 < best[row + j + far]:
+                        best[row + j + far] = at + 1
+                if j < len(b) and (cost := at if c == b[j] else at + dear) < best[row + j + wide + 1]:
+                    best[row + j + wide + 1] = cost
+                if at + dear < best[row + j + wide]:
+                    best[row + j + wide] = at + dear
+            if j < len(b) and (cost := at + stray[j]) < best[row + j + 1]:
+                best[row + j + 1] = cost
+    other, known = divmod(best[-1], dear)
+    return known, other
 
 
 def pair_features(token: str, n: int, word: str, word_n: int, shared: int) -> list[float]:
@@ -495,6 +514,13 @@ def grams_of(column: str) -> F.Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(column) + 1), lambda i: F.substring(padded, i, 2)))
 
 
+def _bits(grams: str, half: int) -> F.Column:
+    """The first (0) or second (1) 64 of the 128 bits that stand for some bigrams."""
+    place = lambda g: F.xxhash64(g).bitwiseAND(F.lit(127).cast("bigint")) - 64 * half
+    bit = lambda g: F.when(place(g).between(0, 63), F.call_function("shiftleft", F.lit(1).cast("bigint"), place(g).cast("int"))).otherwise(F.lit(0).cast("bigint"))
+    return F.aggregate(grams, F.lit(0).cast("bigint"), lambda seen, g: seen.bitwiseOR(bit(g)))
+
+
 # Fixed value: letters by how common they are, the common ones first. Any order of bigrams gives the same candidates; this one looks up few.
 COMMON_FIRST = "e^$tainosrhldcumfgpwybvkxjqz"
 
@@ -516,23 +542,42 @@ def similar_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
 
     An inverted join on bigrams and lengths, of which only those are looked up that decide: two sets that must share t elements share one among the
     g - t + 1 of either that come first in any common order. Both sides are dealt by bigram and length into a fixed number of tasks, as few small rows
-    meet very many.
+    meet very many. Most of what meets shares too little: each side's bigrams are also 128 bits, and what one side has and the other lacks there bounds
+    what both share from above, so that the sets themselves are compared for few.
     """
     spark = tokens.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     need = lambda size: F.greatest(F.lit(2), F.ceil((size + 1) * F.lit(LIKE))).cast("int")
 
-    def deciding(key: str, t: F.Column) -> F.Column:
-        grams = grams_of(key)
-        return F.explode(F.slice(_rare_first(grams), F.lit(1), F.greatest(F.size(grams) - t + 1, F.lit(0)))).alias("gram")
+    def dealt(rows: DataFrame, key: str, kept: list[str], t: F.Column) -> DataFrame:
+        """A row for each deciding bigram, with the number of all bigrams (`key`_grams) and their bits (`key`_low, `key`_high)."""
+        rows = rows.select(*kept, t.alias("least"), grams_of(key).alias("grams"))
+        rows = rows.select(*kept, "least", "grams", F.size("grams").alias(f"{key}_grams"), *(_bits("grams", half).alias(f"{key}_{name}") for half, name in enumerate(("low", "high"))))
+        first = F.slice(_rare_first(F.col("grams")), F.lit(1), F.greatest(F.size("grams") - F.col("least") + 1, F.lit(0)))
+        return rows.select(*kept, "least", f"{key}_grams", f"{key}_low", f"{key}_high", F.explode(first).alias("gram"))
 
     size = F.char_length("key")
-    a = tokens.select("key", "n", size.alias("size"), deciding("key", need(F.greatest(size - FAR, F.lit(1)))))
-    b = words.select("word", "word_n", F.char_length("word").alias("word_size"), deciding("word", need(F.char_length("word"))))
-    b = b.select("word", "word_n", "gram", F.explode(F.sequence(F.col("word_size") - FAR, F.col("word_size") + FAR)).alias("size"))
+    a = dealt(tokens.withColumn("size", size), "key", ["key", "n", "size"], need(F.greatest(size - FAR, F.lit(1)))).drop("least")
+    b = dealt(words, "word", ["word", "word_n"], need(F.char_length("word")))
+    b = b.withColumn("size", F.explode(F.sequence(F.char_length("word") - FAR, F.char_length("word") + FAR)))
     met = a.repartition(tasks, "gram", "size").join(b.repartition(tasks, "gram", "size").hint("shuffle_hash"), ["gram", "size"])
-    met = met.where(F.col("word_n") >= RATIO * F.col("n")).select("key", "n", "word", "word_n").distinct()
-    met = met.withColumn("shared", F.size(F.array_intersect(grams_of("key"), grams_of("word"))))
+    met = met.where(F.col("word_n") >= RATIO * F.col("n"))
+    for own, other in (("key", "word"), ("word", "key")):
+        alone = sum(F.bit_count(F.col(f"{own}_{half}").bitwiseAND(F.bitwise_not(f"{other}_{half}"))) for half in ("low", "high"))
+        met = met.where(F.col(f"{own}_grams") - alone >= F.col("least"))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[str, frozenset[str]] = {}
+        for batch in batches:
+            ends = [batch.column(c).to_pylist() for c in ("key", "word")]
+            for w in {w for end in ends for w in end if w not in sets}:
+                sets[w] = frozenset(_grams(w))
+            both = pa.array([len(sets[a] & sets[b]) for a, b in zip(*ends)], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, both], [*batch.schema.names, "shared"])
+            if len(sets) > 100_000:
+                sets.clear()
+
+    met = met.select("key", "n", "word", "word_n").distinct().mapInArrow(shared, "key string, n bigint, word string, word_n bigint, shared int")
     return met.where(F.col("shared") >= need(F.char_length("word")))
 
 

@@ -70,7 +70,7 @@ def _joins(text: str, at: int) -> bool:
 
 def base_form(text: str | None) -> str | None:
     """The character layer. Returns the same object for texts that need nothing."""
-    if not text or not ODD.search(text):
+    if not text or (text.isascii() and text.replace("\n", " ").replace("\t", " ").isprintable()) or not ODD.search(text):  # most texts are plain, and the first test is fast
         return text
     if "\r" in text:
         text = text.replace("\r\n", "\n")
